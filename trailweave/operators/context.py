@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from trailweave.session import written
 
-INPUT, OUTPUT = F.col("direction") == "input", F.col("direction") == "output"
+
+def is_input() -> Column:
+    return F.col("direction") == "input"
+
+
+def is_output() -> Column:
+    return F.col("direction") == "output"
 
 
 def transaction_shapes(flows: DataFrame) -> DataFrame:
@@ -17,12 +23,12 @@ def transaction_shapes(flows: DataFrame) -> DataFrame:
     """
     sized = flows.groupBy("txid", "direction", "amount_sats").agg(F.count(F.lit(1)).alias("n"))
     amounts = sized.groupBy("txid").agg(
-        F.coalesce(F.sum(F.when(INPUT, F.col("n"))), F.lit(0)).alias("n_in"),
-        F.coalesce(F.sum(F.when(OUTPUT, F.col("n"))), F.lit(0)).alias("n_out"),
-        F.coalesce(F.sum(F.when(INPUT, F.col("n") * F.col("amount_sats"))), F.lit(0)).alias("in_sats"),
-        F.coalesce(F.sum(F.when(OUTPUT, F.col("n") * F.col("amount_sats"))), F.lit(0)).alias("out_sats"),
-        F.coalesce(F.sum(F.when(OUTPUT & (F.col("amount_sats") % 1_000_000 == 0), F.col("n"))), F.lit(0)).alias("round_outs"),
-        F.coalesce(F.max(F.when(OUTPUT, F.col("n"))), F.lit(0)).alias("most_equal"),
+        F.coalesce(F.sum(F.when(is_input(), F.col("n"))), F.lit(0)).alias("n_in"),
+        F.coalesce(F.sum(F.when(is_output(), F.col("n"))), F.lit(0)).alias("n_out"),
+        F.coalesce(F.sum(F.when(is_input(), F.col("n") * F.col("amount_sats"))), F.lit(0)).alias("in_sats"),
+        F.coalesce(F.sum(F.when(is_output(), F.col("n") * F.col("amount_sats"))), F.lit(0)).alias("out_sats"),
+        F.coalesce(F.sum(F.when(is_output() & (F.col("amount_sats") % 1_000_000 == 0), F.col("n"))), F.lit(0)).alias("round_outs"),
+        F.coalesce(F.max(F.when(is_output(), F.col("n"))), F.lit(0)).alias("most_equal"),
     )
     return amounts
 
@@ -30,8 +36,8 @@ def transaction_shapes(flows: DataFrame) -> DataFrame:
 def mixer_shapes(flows: DataFrame) -> DataFrame:
     """txids with over one distinct input and three outputs within max(1, 1 %) of the least of them."""
     ordered = Window.partitionBy("txid").orderBy("amount_sats")
-    near = flows.filter(OUTPUT).withColumn("third", F.lead("amount_sats", 2).over(ordered)).filter(F.col("third") - F.col("amount_sats") <= F.greatest(F.lit(1.0), F.col("amount_sats") * 0.01)).select("txid").distinct()
-    many = flows.filter(INPUT).groupBy("txid").agg(F.count_distinct("address").alias("n")).filter("n > 1")
+    near = flows.filter(is_output()).withColumn("third", F.lead("amount_sats", 2).over(ordered)).filter(F.col("third") - F.col("amount_sats") <= F.greatest(F.lit(1.0), F.col("amount_sats") * 0.01)).select("txid").distinct()
+    many = flows.filter(is_input()).groupBy("txid").agg(F.count_distinct("address").alias("n")).filter("n > 1")
     return near.join(many.select("txid"), "txid", "left_semi")
 
 
@@ -46,22 +52,22 @@ def appearances(flows: DataFrame, transactions: DataFrame) -> DataFrame:
 def change_candidates(flows: DataFrame, transactions: DataFrame) -> DataFrame:
     """txid, source, target of transactions with one input and two outputs, exactly one of them new and no input."""
     seen = appearances(flows, transactions)
-    own = seen.filter(INPUT).select("txid", "address").distinct().withColumn("_own", F.lit(True))
-    new = OUTPUT & ~F.col("seen_before") & F.col("_own").isNull()
+    own = seen.filter(is_input()).select("txid", "address").distinct().withColumn("_own", F.lit(True))
+    new = is_output() & ~F.col("seen_before") & F.col("_own").isNull()
     shaped = seen.join(own, ["txid", "address"], "left").groupBy("txid").agg(
-        F.count_if(INPUT).alias("n_in"), F.count_if(OUTPUT).alias("n_out"), F.count_if(new).alias("n_new"),
-        F.max(F.when(INPUT, F.col("address"))).alias("source"), F.max(F.when(new, F.col("address"))).alias("target"))
+        F.count_if(is_input()).alias("n_in"), F.count_if(is_output()).alias("n_out"), F.count_if(new).alias("n_new"),
+        F.max(F.when(is_input(), F.col("address"))).alias("source"), F.max(F.when(new, F.col("address"))).alias("target"))
     return shaped.filter("n_in = 1 AND n_out = 2 AND n_new = 1").select("txid", "source", "target")
 
 
 def reused(flows: DataFrame, transactions: DataFrame) -> DataFrame:
     """txids with an output address that an earlier transaction has."""
-    return appearances(flows, transactions).filter(OUTPUT & F.col("seen_before")).select("txid").distinct()
+    return appearances(flows, transactions).filter(is_output() & F.col("seen_before")).select("txid").distinct()
 
 
 def edges(flows: DataFrame) -> DataFrame:
     """Distinct (src, dst) from the inputs to the outputs of each transaction."""
-    return flows.filter(INPUT).select("txid", F.col("address").alias("src")).distinct().join(flows.filter(OUTPUT).select("txid", F.col("address").alias("dst")).distinct(), "txid").select("src", "dst").distinct()
+    return flows.filter(is_input()).select("txid", F.col("address").alias("src")).distinct().join(flows.filter(is_output()).select("txid", F.col("address").alias("dst")).distinct(), "txid").select("src", "dst").distinct()
 
 
 def degrees(flows: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def components(pairs: DataFrame, label: str = "cc") -> DataFrame:
 
 def common_input_links(flows: DataFrame, most_inputs: int = 20) -> DataFrame:
     """(a, b): the least input of a transaction with each other one; mixer shapes and over ``most_inputs`` left out."""
-    inputs = flows.filter(INPUT).select("txid", "address").distinct()
+    inputs = flows.filter(is_input()).select("txid", "address").distinct()
     sized = inputs.groupBy("txid").agg(F.min("address").alias("a"), F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most_inputs))
     return inputs.join(sized.join(mixer_shapes(flows), "txid", "left_anti"), "txid").filter("address <> a").select("a", F.col("address").alias("b")).distinct()
 
@@ -122,9 +128,9 @@ def entities(flows: DataFrame) -> DataFrame:
 def peel_links(flows: DataFrame, transactions: DataFrame, share: float = 0.7) -> DataFrame:
     """address, next, txid, first_seen: where an address's last one-in two-out spend with a dominant output leads."""
     two = flows.groupBy("txid").agg(
-        F.count_if(INPUT).alias("n_in"), F.count_if(OUTPUT).alias("n_out"), F.max(F.when(INPUT, F.col("address"))).alias("address"),
-        F.max_by("address", F.when(OUTPUT, F.struct("amount_sats", -F.col("ordinal")))).alias("next"), F.max(F.when(OUTPUT, F.col("amount_sats"))).alias("most"),
-        F.sum(F.when(OUTPUT, F.col("amount_sats"))).alias("total"))
+        F.count_if(is_input()).alias("n_in"), F.count_if(is_output()).alias("n_out"), F.max(F.when(is_input(), F.col("address"))).alias("address"),
+        F.max_by("address", F.when(is_output(), F.struct("amount_sats", -F.col("ordinal")))).alias("next"), F.max(F.when(is_output(), F.col("amount_sats"))).alias("most"),
+        F.sum(F.when(is_output(), F.col("amount_sats"))).alias("total"))
     shaped = two.filter(f"n_in = 1 AND n_out = 2 AND most / greatest(total, 1) >= {share}").join(transactions.select("txid", "first_seen"), "txid")
     return shaped.groupBy("address").agg(F.max_by(F.struct("next", "txid", "first_seen"), F.struct("first_seen", "txid")).alias("p")).select("address", "p.*")
 
@@ -195,7 +201,7 @@ def relay_associations(flows: DataFrame, observations: DataFrame, window_s: int
     Inputs that occur twice in a transaction give two rows; an association claims no ownership.
     """
     pairs, _ = relay_pairs(observations, window_s, hub_limit)
-    inputs = flows.filter(INPUT)
+    inputs = flows.filter(is_input())
     source = inputs.select("txid", F.col("address").alias("source"))
     target = inputs.select(F.col("txid").alias("other_txid"), F.col("address").alias("target"))
     return pairs.join(source, "txid").join(target, "other_txid").filter("source <> target").select("source", "target", "src_ip", "txid", "other_txid", "delta_seconds").withColumn("ownership_claim", F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.operators.context import INPUT, degrees, edges, relay_associations, seed_distances, transaction_shapes
+from trailweave.operators.context import degrees, edges, is_input, relay_associations, seed_distances, transaction_shapes
 from trailweave.schema import SATS
 
 CHAIN = ("log_tx_count", "log_total_btc", "log_mean_btc", "amount_variation", "max_fan_out", "max_fan_in", "log_median_gap_seconds", "mean_fee_ratio", "equal_output_fraction")
@@ -18,7 +18,7 @@ NO_GAP, UNREACHED = 86_400.0, 7
 
 def spends(flows: DataFrame, transactions: DataFrame) -> DataFrame:
     """(address, txid) of inputs, once each, with the transaction's columns and shape."""
-    mine = flows.filter(INPUT).select("address", "txid").distinct()
+    mine = flows.filter(is_input()).select("address", "txid").distinct()
     shaped = transactions.join(transaction_shapes(flows), "txid")
     return mine.join(shaped, "txid")
 

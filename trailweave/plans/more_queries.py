@@ -137,7 +137,7 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def btc_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.sources.references import btc
 
-    return flows(spark, sf_dir).filter(cx.OUTPUT & F.col("address").startswith("S")).select("txid", "address", "amount_sats", btc(F.col("amount_sats")).alias("btc"))
+    return flows(spark, sf_dir).filter(cx.is_output() & F.col("address").startswith("S")).select("txid", "address", "amount_sats", btc(F.col("amount_sats")).alias("btc"))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_nationkey AS value FROM customer), z AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s, median(c_acctbal) AS med FROM customer)

@@ -77,7 +77,7 @@ SELECT (SELECT count(*) FROM orders) AS transactions, (SELECT count(*) FROM p_ob
        (SELECT count(DISTINCT txid) FROM p_obs) AS observed_transactions, (SELECT coalesce(sum(amount_sats), 0) / 1e8 FROM p_flows WHERE direction = 'output') AS output_btc,
        (SELECT count(*) FROM p_flows WHERE direction = 'input') AS input_flows""")
 def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flows(spark, sf_dir).agg(F.count_distinct("address").alias("addresses"), (F.coalesce(F.sum(F.when(cx.OUTPUT, F.col("amount_sats"))), F.lit(0)) / 1e8).alias("output_btc"), F.count_if(cx.INPUT).alias("input_flows"))
+    f = flows(spark, sf_dir).agg(F.count_distinct("address").alias("addresses"), (F.coalesce(F.sum(F.when(cx.is_output(), F.col("amount_sats"))), F.lit(0)) / 1e8).alias("output_btc"), F.count_if(cx.is_input()).alias("input_flows"))
     o = observations(spark, sf_dir).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("txid").alias("observed_transactions"))
     t = transactions(spark, sf_dir).agg(F.count(F.lit(1)).alias("transactions"))
     one = F.lit(1).alias("one")
@@ -91,7 +91,7 @@ def hourly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FLOWS} SELECT txid, count(*) FILTER (direction = 'input') AS inputs, count(*) FILTER (direction = 'output') AS outputs FROM p_flows GROUP BY txid")
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).groupBy("txid").agg(F.count_if(cx.INPUT).alias("inputs"), F.count_if(cx.OUTPUT).alias("outputs"))
+    return flows(spark, sf_dir).groupBy("txid").agg(F.count_if(cx.is_input()).alias("inputs"), F.count_if(cx.is_output()).alias("outputs"))
 
 
 @query(f"WITH {OBS} SELECT src_ip, count(DISTINCT txid) AS degree FROM p_obs WHERE src_ip IS NOT NULL GROUP BY src_ip")
@@ -101,7 +101,7 @@ def source_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FLOWS}, {TX} SELECT txid, strftime(first_seen, '%Y-%m-%d') AS day FROM p_tx WHERE txid IN (SELECT DISTINCT txid FROM p_flows WHERE address LIKE 'A1%' AND direction = 'input')")
 def spending_tx_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = flows(spark, sf_dir).filter(cx.INPUT & F.col("address").startswith("A1"))
+    mine = flows(spark, sf_dir).filter(cx.is_input() & F.col("address").startswith("A1"))
     return transactions(spark, sf_dir).join(mine, "txid", "left_semi").select("txid", F.date_format("first_seen", "yyyy-MM-dd").alias("day"))
 
 
@@ -284,7 +284,7 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'both' AS kind, address FROM (SELECT address FROM i INTERSECT SELECT address FROM o) UNION ALL SELECT 'inputs only', address FROM (SELECT address FROM i EXCEPT SELECT address FROM o)
 UNION ALL SELECT 'outputs only', address FROM (SELECT address FROM o EXCEPT SELECT address FROM i)""")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = flows(spark, sf_dir).groupBy("address").agg(F.max(cx.INPUT).alias("i"), F.max(cx.OUTPUT).alias("o"))
+    sides = flows(spark, sf_dir).groupBy("address").agg(F.max(cx.is_input()).alias("i"), F.max(cx.is_output()).alias("o"))
     return sides.select(F.when(F.col("i") & F.col("o"), "both").when(F.col("i"), "inputs only").otherwise("outputs only").alias("kind"), "address")
 
 
@@ -311,7 +311,7 @@ SELECT address, funders FROM funders WHERE funders >= 3 AND address NOT IN (SELE
 def terminal_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir)
     into = cx.edges(f).groupBy(F.col("dst").alias("address")).agg(F.count(F.lit(1)).alias("funders")).filter("funders >= 3")
-    return into.join(f.filter(cx.INPUT), "address", "left_anti")
+    return into.join(f.filter(cx.is_input()), "address", "left_anti")
 
 
 @query(f"""WITH {FLOWS}, {TX} SELECT t.txid AS txid, strftime(first_seen, '%Y-%m-%d') AS day, direction, address, amount_sats FROM p_flows JOIN p_tx t USING (txid) WHERE first_seen <= TIMESTAMP '1995-01-01'""")

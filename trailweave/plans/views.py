@@ -38,7 +38,7 @@ def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame
         order = Window.partitionBy("txid").orderBy((F.col("address") == address).desc(), "direction", "ordinal")
         near = flows.join(chosen, "txid", "left_semi").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= flows_per_tx)
         node = F.concat(F.lit("address:"), F.col("address"))
-        parts.append(near.select(F.when(cx.INPUT, node).otherwise(tx).alias("source"), F.when(cx.INPUT, tx).otherwise(node).alias("target"), F.col("direction").alias("kind"), "amount_sats", F.lit("reported_transaction_metadata").alias("certainty")))
+        parts.append(near.select(F.when(cx.is_input(), node).otherwise(tx).alias("source"), F.when(cx.is_input(), tx).otherwise(node).alias("target"), F.col("direction").alias("kind"), "amount_sats", F.lit("reported_transaction_metadata").alias("certainty")))
     else:
         parts.append(chosen.select(F.lit(f"address:{address}").alias("source"), tx.alias("target"), F.lit("transaction_context").alias("kind"), F.lit(None).cast("long").alias("amount_sats"), F.lit("reported_transaction_metadata").alias("certainty")))
     if layer != "chain":
@@ -70,7 +70,7 @@ def evidence_transactions(alerts: DataFrame) -> DataFrame:
 def evidence_edges(flows: DataFrame, observations: DataFrame, txids: DataFrame) -> DataFrame:
     """Edges of the supporting transactions with the first relay seen for each."""
     tx, node = F.concat(F.lit("tx:"), F.col("txid")), F.concat(F.lit("address:"), F.col("address"))
-    own = flows.join(txids, "txid", "left_semi").select(F.when(cx.INPUT, node).otherwise(tx).alias("source"), F.when(cx.INPUT, tx).otherwise(node).alias("target"), F.col("direction").alias("kind"), "amount_sats")
+    own = flows.join(txids, "txid", "left_semi").select(F.when(cx.is_input(), node).otherwise(tx).alias("source"), F.when(cx.is_input(), tx).otherwise(node).alias("target"), F.col("direction").alias("kind"), "amount_sats")
     first = observations.filter("src_ip IS NOT NULL").join(txids, "txid", "left_semi").groupBy("txid").agg(F.min_by("src_ip", F.struct("timestamp", "id")).alias("src_ip"))
     return own.unionByName(first.select(F.concat(F.lit("ip:"), F.col("src_ip")).alias("source"), tx.alias("target"), F.lit("first_observed_relay").alias("kind"), F.lit(None).cast("long").alias("amount_sats")))
 

@@ -27,4 +27,5 @@ def write_samples(records: DataFrame, path: str, rows: int = 30) -> None:
     first.write.mode("overwrite").json(f"{path}/json")
     flat = first.select(*[F.to_json(n).alias(n) if t.startswith("array") else F.col(n) for n, t in first.dtypes])
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
-    first.write.mode("overwrite").option("rowTag", "record").option("rootTag", "records").format("xml").save(f"{path}/xml")
+    listed = first.select(*[F.struct(F.col(n).alias("item")).alias(n) if t.startswith("array") else F.col(n) for n, t in first.dtypes])
+    listed.write.mode("overwrite").option("rowTag", "record").option("rootTag", "records").format("xml").save(f"{path}/xml")
