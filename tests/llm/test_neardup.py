@@ -55,8 +55,13 @@ def test_fingerprint(text):
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_join_finds_every_link(seed):
     keys = near_keys(random.Random(seed), 60, 6)
-    label = neardup.trie_components(keys, 3, 0)
-    assert label.tolist() == slow_components(keys, 3)
+    a, b = neardup.trie_forest(keys, 3, 0)
+    assert len(a) < len(keys) and all((int(keys[i]) ^ int(keys[j])).bit_count() <= 3 for i, j in zip(a, b, strict=True))
+    least = list(range(len(keys)))
+    for _ in keys:
+        for i, j in zip(a, b, strict=True):
+            least[i] = least[j] = min(least[i], least[j])
+    assert least == slow_components(keys, 3)
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -82,3 +87,24 @@ def test_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "6", "9", "None"]
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, groups = [], []
+    for g in range(60):
+        text = [word() for _ in range(rng.randrange(80, 500))]
+        rows.append((10 * g, " ".join(text)))
+        for c in range(1, rng.randrange(1, 6)):
+            other = list(text)
+            for _ in range(max(1, len(text) // 80)):
+                other[rng.randrange(len(other))] = word()
+            rows.append((10 * g + c, " ".join(other)))
+        groups.append(10 * g)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = sum(1 for i in shingles if i % 10 and len(shingles[i] & shingles[i - i % 10]) >= 0.8 * len(shingles[i] | shingles[i - i % 10]))
+    assert kept >= set(groups) and near > 60
+    assert len(kept) - len(groups) <= sum(1 for i in shingles if i % 10) - near + 0.03 * near

@@ -9,6 +9,12 @@ has used up the budget (in the block's own bits, at once). What a task emits is
 component that it has seen, at most a link for each of its fingerprints; the stars of all tasks are then joined by
 rounds of large-star and small-star contraction over written tables.
 
+A fingerprint of 64 bits tells texts apart that share four fifths of their shingles (they differ in about ten bits), and
+a budget of ten bits prunes no trie. ``keep_one`` therefore takes fingerprints of 1,024 bits over five-word shingles,
+where such texts differ in 155 bits give or take 12. It cuts them into 32 keys of 32 bits, finds the pairs of keys
+that differ in at most two bits by the same trie join, and keeps those whose whole fingerprints differ in at most
+``WIDE_BUDGET`` bits: 98 % of the pairs at similarity 0.8 share such a key, and nearly all above.
+
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are hashed whole; a null doc_id takes part but is no representative unless its component has no other
 (then the component_id is null); repeated rows come out as often as they occur; an empty table gives an empty
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from trailweave.llm.shared import extended, replace_columns, written
@@ -31,20 +38,50 @@ from trailweave.llm.shared import extended, replace_columns, written
 SEED = 42
 #: Node pairs that a task expands at once, and pairs of fingerprints that two small nodes may have to be compared directly.
 _FRONT, _DIRECT = 1 << 19, 16
+#: Words of a wide fingerprint, bits that linked ones may differ in, bits that a table's keys may, and bits that a
+#: further word, carried along, may differ in before a pair of keys is taken for chance.
+WIDE, WIDE_BUDGET, KEY_BUDGET, CHECK_BUDGET = 16, 176, 2, 20
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits; words are runs of other bytes than space and 0x09 to 0x0D, A-Z lower-cased."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle; words are runs of other bytes than space and 0x09 to 0x0D, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     tokens = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, tokens, repeat(SEED)), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].view(np.uint8)
-        counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.fromiter(map(xxh64_intdigest, tokens, repeat(SEED)), np.uint64)
+
+
+def _majority(rows: np.ndarray) -> np.ndarray:
+    """Words whose bits are set in over half the rows of a matrix of 64-bit words."""
+    n, width = rows.shape
+    counts = np.zeros(64 * width, np.int64)
+    for at in range(0, n, 255):  # so many ones fit a byte
+        bits = np.unpackbits(np.ascontiguousarray(rows[at : at + 255]).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits, of all shingles with repeats."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
+    return int(_majority(hashes[:, None])[0])
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """``WIDE`` words of 64 bits, of the set of shingles: each shingle's hash is mixed anew for each word."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return np.zeros(WIDE, np.uint64)
+    out = np.empty((len(hashes), WIDE), np.uint64)
+    for i in range(WIDE):
+        h = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, i] = h ^ (h >> np.uint64(31))
+    return _majority(out)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -61,30 +98,31 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels, each the smallest index of its component so far, with the links a-b taken in."""
+def _join_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, links: list) -> np.ndarray:
+    """Labels, each the smallest index of its component so far, with the pairs a-b taken in; those that joined two components go to ``links``."""
     while len(a):
         x, y = label[a], label[b]
         differ = x != y
         if not differ.any():
             break
         a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label = label[label]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        label[high] = np.minimum(x, y)[first]
+        links.append((a[first], b[first]))
+        while ((up := label[label]) != label).any():
+            label = up
     return label
 
 
-def trie_components(keys: np.ndarray, bits: int, exact: int) -> np.ndarray:
-    """For each of the sorted distinct 64-bit keys the smallest index that it is linked with, itself included.
+def trie_forest(keys: np.ndarray, bits: int, exact: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices a, b), fewer than keys, that connect what all links of the sorted distinct 64-bit keys connect.
 
-    Links are of keys that differ in at most ``bits`` bits, none of them among the first ``exact``.
+    Linked are keys that differ in at most ``bits`` bits, none of them among the first ``exact`` (and whose words of
+    ``check`` differ in at most ``CHECK_BUDGET``).
     """
     n = len(keys)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    stack = [(0, *(np.array([v]) for v in (0, n, 0, n, 0)))]
+    label, links = np.arange(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    stack = [(0, *(np.array([v]) for v in (0, n, 0, n, 0)))] if n > 1 else []
     while stack:
         depth, a0, a1, b0, b1, used = stack.pop()
         same = a0 == b0
@@ -96,7 +134,9 @@ def trie_components(keys: np.ndarray, bits: int, exact: int) -> np.ndarray:
             wide = (b1 - b0)[which]
             i, j = a0[which] + k // wide, b0[which] + k % wide
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= bits)
-            label = _join_labels(label, i[near], j[near])
+            if check is not None:
+                near &= np.bitwise_count(check[i] ^ check[j]) <= CHECK_BUDGET
+            label = _join_forest(label, i[near], j[near], links)
             a0, a1, b0, b1, used, same = (v[~small] for v in (a0, a1, b0, b1, used, same))
         keep = ~(same & (a1 - a0 < 2))
         a0, a1, b0, b1, used, same = (v[keep] for v in (a0, a1, b0, b1, used, same))
@@ -114,7 +154,35 @@ def trie_components(keys: np.ndarray, bits: int, exact: int) -> np.ndarray:
         nodes = [v[full] for v in nodes]
         for at in range(0, len(nodes[0]), _FRONT):
             stack.append((depth + 1, *(v[at : at + _FRONT] for v in nodes)))
-    return label
+    return tuple(np.concatenate(v) for v in zip(*links, strict=True))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(block, columns after the second) of whole block values, several at a time, from batches sorted by block and value."""
+    at, held, size = None, [], 0
+    for batch in batches:
+        block, value, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
+            here = (block[lo], value[lo])
+            if at and (here[0] != at[0] or (here != at and size >= most)):
+                yield int(at[0]), [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+            at = here
+            held.append([c[lo:hi] for c in rest])
+            size += hi - lo
+    if held:
+        yield int(at[0]), [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a block value together and in order; values are dealt by hash."""
+    return rows.repartition("block", "value").sortWithinPartitions("block", "value")
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    a, b = a.view(np.int64), b.view(np.int64)
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def trie_links(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -124,34 +192,58 @@ def trie_links(prints: DataFrame, bits: int = 3) -> DataFrame:
     dealt = prints.select(F.inline(blocks)).withColumn("value", F.shiftrightunsigned("key", 64 - width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(block: int, keys: np.ndarray) -> pa.RecordBatch:
-            keys = np.sort(keys)
-            root = keys[trie_components(keys, bits, width)]
-            a, b = keys[root != keys], root[root != keys]
+        for block, (keys,) in _buckets(batches):
+            keys = np.sort(keys.view(np.uint64))
+            a, b = (keys[i] for i in trie_forest(keys, bits, width))
             if block:
                 back, rest = np.uint64(block * width), np.uint64(64 - block * width)
                 a, b = ((v >> back) | (v << rest) for v in (a, b))
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        at, held, size = None, [], 0
-        for batch in batches:  # sorted by block and value
-            block, value, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
-                here = (block[lo], value[lo])
-                if at and (here[0] != at[0] or (here != at and size >= 1 << 18)):  # tries of whole block values, many at a time
-                    yield links(int(at[0]), np.concatenate(held))
-                    held, size = [], 0
-                at = here
-                held.append(key[lo:hi].view(np.uint64))
-                size += hi - lo
-        if held:
-            yield links(int(at[0]), np.concatenate(held))
-
-    # Fingerprints of a value meet in one task; values are dealt by hash
-    parted = dealt.repartition("block", "value").sortWithinPartitions("block", "value").select("block", "value", "key")
-    return parted.mapInArrow(run, "a long, b long")
+            yield _link_batch(a, b)
+
+    return _dealt(dealt).select("block", "value", "key").mapInArrow(run, "a long, b long")
+
+
+def wide_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of ``prints`` (fp long, wide array<long>), whose wide fingerprints differ in at most ``WIDE_BUDGET`` bits.
+
+    A task emits a forest of each table's pairs, at most a link for each of its keys; equal keys are a chain.
+    """
+    parts, tables = KEY_BUDGET + 1, 2 * WIDE
+    cuts = [32 * i // parts for i in range(parts + 1)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                fp, wide = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+                halves = wide.view(np.uint32).astype(np.uint64)
+                for t in range(tables):
+                    check = wide[:, (t // 2 + WIDE // 2) % WIDE].view(np.int64)
+                    for i in range(parts):
+                        c, n = np.uint64(cuts[i]), cuts[i + 1] - cuts[i]
+                        key = (((halves[:, t] << c) | (halves[:, t] >> (np.uint64(32) - c))) & np.uint64(0xFFFFFFFF)) << np.uint64(32)
+                        yield pa.record_batch([pa.array(np.full(len(fp), t * parts + i, np.int32)), pa.array((key >> np.uint64(64 - n)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check), pa.array(fp)], names=["block", "value", "key", "check", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (keys, check, fp) in _buckets(batches):
+            keys, check = keys.view(np.uint64), check.view(np.uint64)
+            order = np.lexsort((fp, check, keys))
+            keys, check, fp = keys[order], check[order], fp[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            head = np.repeat(first, np.diff(np.append(first, len(keys))))
+            near = lambda i, j: np.bitwise_count(check[i] ^ check[j]) <= CHECK_BUDGET
+            later = np.setdiff1d(np.arange(len(keys)), first, assume_unique=True)
+            to = np.where(near(later, head[later]), head[later], later - 1)
+            linked = near(later, to)
+            part = block % parts
+            a, b = trie_forest(keys[first], KEY_BUDGET, cuts[part + 1] - cuts[part], check[first])
+            yield _link_batch(fp[np.concatenate([first[a], later[linked]])], fp[np.concatenate([first[b], to[linked]])])
+
+    found = _dealt(prints.select("fp", "wide").mapInArrow(deal, "block int, value int, key long, check long, fp long")).mapInArrow(run, "a long, b long")
+    pairs = written(found.distinct(), "wide_pairs")
+    one, two = (prints.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "ab")
+    bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(one, "a").join(two, "b").filter(bits <= WIDE_BUDGET).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,10 +273,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """``prints`` (with doc_id and fp) with component_id, the smallest doc_id reachable by links."""
+def with_components(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints`` (with doc_id and fp) with component_id, the smallest doc_id reachable by links, and root_fp."""
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    roots = written(components(trie_links(unique, bits)), "roots")
+    roots = written(components(links), "roots")
     rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root_fp"), "least_id")
     least = rooted.groupBy("root_fp").agg(F.min("least_id").alias("component_id"))
     of_print = written(rooted.join(least, "root_fp").select(F.col("fp").alias("_tw_fp"), "component_id", "root_fp"), "of_print")
@@ -192,15 +284,35 @@ def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
     return kept.join(of_print, kept.fp == of_print["_tw_fp"]).drop("_tw_fp")
 
 
-def keep_one(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id, once.
+def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """``prints`` (with doc_id and fp) with component_id, by links of fingerprints within ``bits`` bits."""
+    return with_components(prints, trie_links(prints.select("fp").distinct(), bits))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` (text last) without text, with wide, an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            wide = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "wide"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("wide", ArrayType(LongType()))]))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document of each component of near copies: that of the smallest doc_id, once.
 
     Rows without a doc_id stay only where their component has no other, one of them.
     """
     names = docs.columns
     row = replace_columns(docs, _tw_id=F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), _tw_text=F.xxhash64("text"))
-    slim = fingerprints(row.select("doc_id", "_tw_id", "_tw_text", "text"), shingle=shingle).drop("text")
-    found = near_duplicates(written(slim, "slim"), bits)
+    wide = wide_fingerprints(row.select("doc_id", "_tw_id", "_tw_text", "text"), shingle)
+    slim = written(wide.withColumn("fp", F.xxhash64("wide")), "slim")
+    unique = written(slim.groupBy("fp").agg(F.any_value("wide").alias("wide")), "wide")
+    found = with_components(slim.drop("wide"), wide_links(unique))
     first = found.filter("doc_id <=> component_id").groupBy("root_fp", "_tw_id").agg(F.min("_tw_text").alias("_tw_text")).select("_tw_id", "_tw_text")
     kept = row.join(first, ["_tw_id", "_tw_text"], "left_semi")
     return kept.dropDuplicates(["_tw_id", "_tw_text"]).select(*[F.col(f"`{c}`") for c in names])
