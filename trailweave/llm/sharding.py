@@ -68,9 +68,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, text: str = "text", doc_id
     edges = [min(e, (1 << 128) - 1) for e in edges]
     start = [n - rows_below[i - i % a_shard] for i, n in enumerate(rows_below)]
     run = _runs_below(F.col("_tw_k1"), F.col("_tw_k2"), edges)
-    dealt = docs.withColumns({"_tw_k1": k1, "_tw_k2": k2}).withColumn("_tw_run", run)
+    dealt = docs.withColumns({"_tw_k1": k1, "_tw_k2": k2, "_tw_size": byte_size(F.col(text))}).withColumn("_tw_run", run)
     at = F.row_number().over(Window.partitionBy("_tw_run").orderBy("_tw_k1", "_tw_k2")) - 1
     numbered = dealt.withColumn("_tw_at", at)
     base = F.element_at(F.from_json(F.lit(json.dumps(start)), "array<bigint>"), F.col("_tw_run") + 1)
-    out = replace_columns(numbered, size=byte_size(F.col(text)), law=F.lit("bytes"), shard=F.floor(F.col("_tw_run") / a_shard).cast("int"), slot=(base + F.col("_tw_at")).cast("long"))
-    return out.drop("_tw_k1", "_tw_k2", "_tw_run", "_tw_at")
+    out = replace_columns(numbered, size=F.col("_tw_size"), law=F.lit("bytes"), shard=F.floor(F.col("_tw_run") / a_shard).cast("int"), slot=(base + F.col("_tw_at")).cast("long"))
+    return out.drop("_tw_k1", "_tw_k2", "_tw_run", "_tw_at", "_tw_size")
