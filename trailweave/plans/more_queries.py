@@ -11,9 +11,16 @@ from trailweave.operators import drift, rules, taint
 from trailweave.operators import features as ft
 from trailweave.plans import audit, index, views
 from trailweave.plans.proxies import FLOWS, OBS, SPARSE, TX, flows, observations, seeds, table, transactions
-from trailweave.plans.queries import EDGES, MIXERS, SHAPES
+from trailweave.plans.queries import EDGES, FIRST, MIXERS, SHAPES
 from trailweave.session import written
 
+ENTITIES = """inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
+sized AS (SELECT txid, min(address) AS a FROM inputs WHERE txid NOT IN (SELECT txid FROM mixers) GROUP BY txid HAVING count(*) BETWEEN 2 AND 20),
+links AS (SELECT DISTINCT a, address AS b FROM inputs JOIN sized USING (txid) WHERE address <> a), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS address, a AS other FROM both_ways UNION SELECT r.address, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+roots AS (SELECT f.address AS address, coalesce(least(min(other), f.address), f.address) AS root FROM (SELECT DISTINCT address FROM p_flows) f LEFT JOIN reach r ON r.address = f.address GROUP BY f.address),
+named AS (SELECT root, 'entity:' || substr(sha256(string_agg(address, '|' ORDER BY address)), 1, 16) AS entity_id, CAST(count(*) AS INTEGER) AS n_members FROM roots GROUP BY root)"""
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -58,12 +65,7 @@ def behavioural_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.behavioural_drift(ft.spends(flows(spark, sf_dir), transactions(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
-sized AS (SELECT txid, min(address) AS a FROM inputs WHERE txid NOT IN (SELECT txid FROM mixers) GROUP BY txid HAVING count(*) BETWEEN 2 AND 20),
-links AS (SELECT DISTINCT a, address AS b FROM inputs JOIN sized USING (txid) WHERE address <> a), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT DISTINCT a AS address, a AS other FROM both_ways UNION SELECT r.address, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
-roots AS (SELECT f.address AS address, coalesce(least(min(other), f.address), f.address) AS root FROM (SELECT DISTINCT address FROM p_flows) f LEFT JOIN reach r ON r.address = f.address GROUP BY f.address),
-named AS (SELECT root, 'entity:' || substr(sha256(string_agg(address, '|' ORDER BY address)), 1, 16) AS entity_id, CAST(count(*) AS INTEGER) AS n_members FROM roots GROUP BY root)
+@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, {ENTITIES}
 SELECT address, entity_id, n_members FROM roots JOIN named USING (root)""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.entities(flows(spark, sf_dir, True))
@@ -149,11 +151,17 @@ def feature_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.round(z, 6).alias("z"), (F.abs(z) > 1.5).alias("far"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, {ENTITIES}, {OBS}, {FIRST},
+kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
+pairs AS (SELECT a.txid AS t1, b.txid AS t2 FROM kept a JOIN kept b ON a.src_ip = b.src_ip AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000),
+assoc AS (SELECT s.address AS x, t.address AS y FROM pairs JOIN inputs s ON s.txid = t1 JOIN inputs t ON t.txid = t2 WHERE s.address <> t.address),
+near AS (SELECT a.address AS address, b.address AS other FROM roots a JOIN roots b ON a.root = b.root AND a.address <> b.address UNION SELECT x, y FROM assoc UNION SELECT y, x FROM assoc)
+SELECT address, other AS neighbour, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY other) AS n FROM near) WHERE n <= 16""")
 def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir, True)
-    linked = cx.relay_associations(f, observations(spark, sf_dir), window_s=3600)
-    return learn.neighbour_lists(cx.entities(f).select("address", "entity_id"), linked)
+    linked = cx.relay_associations(f, observations(spark, sf_dir), window_s=604_800)
+    lists = learn.neighbour_lists(cx.entities(f).select("address", "entity_id"), linked)
+    return lists.select("address", F.posexplode("neighbours").alias("place", "neighbour")).select("address", "neighbour", (F.col("place") + 1).alias("place"))
 
 
 @query("""SELECT o_custkey AS actor, o_orderkey AS txid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'""")

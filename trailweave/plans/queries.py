@@ -120,11 +120,11 @@ def first_observed_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FLOWS}, {OBS}, {FIRST}, kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
 pairs AS (SELECT a.src_ip, a.txid, b.txid AS other_txid, (epoch_us(b.timestamp) - epoch_us(a.timestamp)) / 1e6 AS delta_seconds FROM kept a JOIN kept b ON a.src_ip = b.src_ip
-          AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 3600000000)
+          AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000)
 SELECT s.address AS source, t.address AS target, src_ip, p.txid AS txid, other_txid, round(delta_seconds, 6) AS delta_seconds
 FROM pairs p JOIN p_flows s ON s.txid = p.txid AND s.direction = 'input' JOIN p_flows t ON t.txid = p.other_txid AND t.direction = 'input' WHERE s.address <> t.address""")
 def relay_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cx.relay_associations(flows(spark, sf_dir), observations(spark, sf_dir), window_s=3600)
+    out = cx.relay_associations(flows(spark, sf_dir), observations(spark, sf_dir), window_s=604_800)
     return out.select("source", "target", "src_ip", "txid", "other_txid", F.round("delta_seconds", 6).alias("delta_seconds"))
 
 
