@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import values
 from trailweave.operators import features as ft
-from trailweave.plans import views
+from trailweave.plans import audit, views
 from trailweave.sources import ingest as ing
 from trailweave.sources import references, sinks, synthetic
 from trailweave.sources.normalize import normalize
@@ -83,10 +83,13 @@ def test_ingest(spark, tmp_path):
     assert sorted(r.error for r in case.table("quarantine").collect()) == ["Blank JSONL record", "Conflicting blockchain fields for an existing TXID", "Invalid JSON record"]
     assert {r.src_ip: r.tor_exit for r in case.observations().collect()} == {"198.51.100.10": True, "198.51.100.99": False, "198.51.100.11": None}
     assert ing.ingest(case, path)["already_ingested"]
+    spark.range(1).write.parquet(f"{case.folder}/alerts")
     second = ing.ingest(case, write(tmp_path, "more.jsonl", [record(timestamp="2024-12-31T00:00:00Z"), record(vsize=9)]))
     assert (second["accepted"], second["new_transactions"], second["quarantined"]) == (1, 0, 1)
     assert str(case.transactions().filter(F.col("txid") == "a" * 64).first().first_seen) == "2024-12-31 00:00:00"
     assert views.violations(case.accepted(), case.flows(), case.transactions()).count() == 0
+    chain = audit.verify(case.table("audit"))
+    assert chain["valid"] and chain["rows"] == 7 + 2 + 2 + 2 and not case.has("alerts")
     tampered = case.flows().withColumn("amount_sats", F.col("amount_sats") + F.when(F.col("direction") == "output", 1).otherwise(0))
     assert {r.kind for r in views.violations(case.accepted(), tampered, case.transactions()).collect()} == {"flow"}
     strict = ing.ingest(ing.Case(spark, str(tmp_path / "strict")), path, max_gap_seconds=3600.0)

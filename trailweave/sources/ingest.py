@@ -6,12 +6,14 @@ whose hash the case has is skipped, and a file without records changes nothing.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.values import canonical
+from trailweave.plans import audit
 from trailweave.sources.normalize import normalize
 from trailweave.sources.readers import file_hash, read_records
 from trailweave.session import written
@@ -41,6 +43,23 @@ class Case:
     def accepted(self) -> DataFrame:
         return self.table("records")
 
+    def drop(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def archive(self, path: str, name: str) -> str:
+        """A copy of a source file in the case's folder."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        source, copy = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/evidence/{name}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+        return copy.toString()
+
+    def append_audit(self, events: DataFrame, order: list[str]) -> None:
+        """Extends the case's audit chain by events (payload and columns to order by)."""
+        chain = self.table("audit")
+        last = chain.agg(F.max("seq"), F.max_by("hash", "seq")).first() if chain is not None else (0, audit.ZERO)
+        self.append("audit", written(audit.extend(events, order, seq=last[0], head=last[1]), "audit"))
+
     def transactions(self) -> DataFrame:
         """First seen is the least time of all observations of a transaction, whenever they came."""
         rows = self.accepted()
@@ -142,7 +161,10 @@ def ingest(case: Case, path: str, mapping: dict[str, str] | None = None, ranges:
     source = file_hash(spark, path)
     if (known_sources := case.table("sources")) is not None and not known_sources.filter(F.col("hash") == source).isEmpty():
         return {"already_ingested": True, "source_sha256": source}
-    rows = written(normalize(read_records(spark, path), mapping, allow_fee_mismatch), "normalized")
+    stored = case.archive(path, f"{source}.{path.rsplit('.', 1)[-1].lower()}")
+    if file_hash(spark, stored) != source:
+        raise ValueError("Source changed during evidence capture; retry with a stable file")
+    rows = written(normalize(read_records(spark, stored), mapping, allow_fee_mismatch), "normalized")
     if rows.isEmpty():
         raise ValueError("No records found; expected JSON array / records array, or XML record/transaction elements")
     good = rows.filter("error IS NULL")
@@ -168,8 +190,17 @@ def ingest(case: Case, path: str, mapping: dict[str, str] | None = None, ranges:
     counts = dict(judged.groupBy("status").count().collect())
     unmapped = sorted(r[0] for r in rows.select(F.explode("unmapped")).distinct().collect())
     warnings = gaps.orderBy("ordinal").limit(100).collect()
+    raw_hash = F.sha2("raw", 256).alias("raw_sha256")
+    known = judged.filter("status <> 'conflict'")
+    rest = quarantine.select("ordinal", F.lit(1).alias("step"), F.to_json(F.struct(F.lit("quarantined").alias("event"), "error", raw_hash, F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
+    told = known.select("ordinal", F.lit(1).alias("step"), F.to_json(F.struct(F.col("status").alias("event"), "observation_id", raw_hash, F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
+    fees = known.filter("status = 'accepted' AND fee_mismatch_sats <> 0").select("ordinal", F.lit(0).alias("step"), F.to_json(F.struct(F.lit("fee_mismatch_accepted").alias("event"), F.col("fee_sats").alias("computed_fee_sats"), "reported_fee_sats", F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
+    review = {"event": "schema_review", "source_sha256": source, "timestamp_gap_warnings": [[r[0], r[1]] for r in warnings], "unmapped_fields": unmapped}
+    ends = [(0, 0, json.dumps({"event": "source_ingested", "mapping": mapping or {}, "name": path, "sha256": source}, sort_keys=True)), (1 << 62, 0, json.dumps(review, sort_keys=True))]
     case.append("quarantine", quarantine)
-    case.append("events", judged.select("source_hash", F.col("ordinal"), "status", F.sha2("raw", 256).alias("raw_sha256"), "observation_id").unionByName(quarantine.select("source_hash", "ordinal", F.lit("quarantined").alias("status"), F.sha2("raw", 256).alias("raw_sha256"), F.lit(None).cast("string").alias("observation_id"))).filter("status <> 'conflict'"))
+    case.append_audit(told.unionByName(rest).unionByName(fees).unionByName(spark.createDataFrame(ends, "ordinal long, step int, payload string")), ["ordinal", "step"])
+    if case.has("alerts"):  # stale from here on
+        case.drop("alerts")
     case.append("records", accepted)
-    case.append("sources", spark.createDataFrame([(source, path, path.rsplit(".", 1)[-1].lower())], "hash string, name string, format string"))
+    case.append("sources", spark.createDataFrame([(source, stored, path.rsplit(".", 1)[-1].lower())], "hash string, name string, format string"))
     return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "quarantined": rows.filter("error IS NOT NULL").count() + refused.count() + counts.get("conflict", 0), "new_transactions": new_count, "source_sha256": source, "unmapped_fields": unmapped, "timestamp_gap_warnings": [(r[0], r[1]) for r in warnings], "review_required": bool(unmapped or warnings)}
