@@ -27,7 +27,7 @@ def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame
     transactions alone.
     """
     if layer not in ("fused", "chain", "network"):
-        raise ValueError("Unknown layer")
+        raise ValueError("layer is fused, chain or network")
     mine = flows.filter(F.col("address") == address).select("txid").distinct().join(transactions.select("txid", "first_seen"), "txid")
     if until:
         mine = mine.filter(F.col("first_seen") <= F.lit(until).cast("timestamp"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.values import canonical
 from trailweave.plans import audit
-from trailweave.sources.normalize import normalize
+from trailweave.sources.normalize import SAYS, normalize
 from trailweave.sources.readers import file_hash, read_records
 from trailweave.session import written
 
@@ -163,10 +163,10 @@ def ingest(case: Case, path: str, mapping: dict[str, str] | None = None, ranges:
         return {"already_ingested": True, "source_sha256": source}
     stored = case.archive(path, f"{source}.{path.rsplit('.', 1)[-1].lower()}")
     if file_hash(spark, stored) != source:
-        raise ValueError("Source changed during evidence capture; retry with a stable file")
+        raise ValueError("the file changed while it was copied")
     rows = written(normalize(read_records(spark, stored), mapping, allow_fee_mismatch), "normalized")
     if rows.isEmpty():
-        raise ValueError("No records found; expected JSON array / records array, or XML record/transaction elements")
+        raise ValueError("the file holds no records")
     good = rows.filter("error IS NULL")
     if ranges is not None:
         good = enrich_geo(good, ranges)
@@ -175,12 +175,12 @@ def ingest(case: Case, path: str, mapping: dict[str, str] | None = None, ranges:
     if max_gap_seconds:
         gaps = written(strict_gaps(good, max_gap_seconds), "gaps")
         good = good.join(gaps.select("ordinal"), "ordinal", "left_anti")
-        refused = rows.join(gaps.select("ordinal"), "ordinal", "left_semi").withColumn("error", F.lit("Timestamp gap exceeds operator-configured maximum"))
+        refused = rows.join(gaps.select("ordinal"), "ordinal", "left_semi").withColumn("error", F.lit(SAYS["gap"]))
     else:
         gaps = file_gaps(good).filter(F.col("gap_seconds") > limit)
         refused = rows.limit(0)
     judged = written(classify(good, case.accepted()), "judged").withColumn("source_hash", F.lit(source))
-    conflict = judged.filter("status = 'conflict'").select(F.col("ordinal"), "raw").withColumn("error", F.lit("Conflicting blockchain fields for an existing TXID"))
+    conflict = judged.filter("status = 'conflict'").select(F.col("ordinal"), "raw").withColumn("error", F.lit(SAYS["conflict"]))
     out = ("ordinal", "raw", "error")
     quarantine = rows.filter("error IS NOT NULL").select(*out).unionByName(refused.select(*out)).unionByName(conflict.select(*out)).withColumn("source_hash", F.lit(source))
     accepted = judged.filter("status = 'accepted'")
