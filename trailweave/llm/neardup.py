@@ -278,7 +278,8 @@ def with_components(prints: DataFrame, links: DataFrame) -> DataFrame:
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = written(components(links), "roots")
     rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root_fp"), "least_id")
-    least = rooted.groupBy("root_fp").agg(F.min("least_id").alias("component_id"))
+    # a table of its own, so that nothing but the join stands above its exchange and a large component can be split
+    least = written(rooted.groupBy("root_fp").agg(F.min("least_id").alias("component_id")), "least")
     of_print = written(rooted.join(least, "root_fp").select(F.col("fp").alias("_tw_fp"), "component_id", "root_fp"), "of_print")
     kept = prints.drop("component_id", "root_fp")
     return kept.join(of_print, kept.fp == of_print["_tw_fp"]).drop("_tw_fp")
