@@ -17,9 +17,14 @@ NO_GAP, UNREACHED = 86_400.0, 7
 
 
 def spends(flows: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(address, txid) of inputs, once each, with the transaction's columns and shape."""
-    mine = flows.filter(is_input()).select("address", "txid").distinct()
-    shaped = transactions.join(transaction_shapes(flows), "txid")
+    """(address, txid) of inputs, once each, with the transaction's columns and shape.
+
+    Flows are dealt by txid first: the counts of equal amounts, the shapes, the distinct inputs and the joins all keep to
+    that partitioning.
+    """
+    dealt = flows.repartition("txid")
+    mine = dealt.filter(is_input()).select("address", "txid").distinct()
+    shaped = transactions.join(transaction_shapes(dealt), "txid")
     return mine.join(shaped, "txid")
 
 

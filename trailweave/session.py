@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +37,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once for an application, wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        target = Path(os.path.realpath(tempfile.mkdtemp())) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+    return spark
