@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trailweave.llm import langid, mixing, neardup, packing, quality
 from trailweave.llm.queries import tokenizer_path
 from trailweave.llm.shared import written
+from trailweave.session import ship
 
 
 def _columns(df: DataFrame, of: DataFrame) -> DataFrame:
@@ -41,7 +42,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+def _shipped(stage):
+    """The stage, after the package has been sent to the executors."""
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage))]
 
 #: The stages are learnt models, hashes and tokenizers, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
