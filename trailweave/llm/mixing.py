@@ -81,7 +81,7 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
         rows.append([r[0], i, r[1], float(targets[i]), whole[i], low, last, more[i] - f.weight if f else 0, f.straddle if f else 0])
     plan = literal_table(spark, rows, "source string, _tw_part int, _tw_size long, _tw_target double, _tw_whole long, _tw_low long, _tw_last long, _tw_rest long, _tw_cell long")
     key = F.col("_tw_key")
-    extra = F.when(key < F.col("_tw_low"), F.col("size")).when((F.col("_tw_cell") > 0) & (key <= F.col("_tw_last")), F.expr("size * _tw_rest div _tw_cell")).otherwise(F.lit(0))
+    extra = F.when(key < F.col("_tw_low"), F.col("size")).when((F.col("_tw_cell") > 0) & (key <= F.col("_tw_last")), F.expr("size * _tw_rest div nullif(_tw_cell, 0)")).otherwise(F.lit(0))
     joined = with_part(sized.withColumn("_tw_key", order_key(F.col("doc_id"), seed)), plan).withColumn("_tw_extra", extra.cast("long"))
     taken = F.col("_tw_whole") * F.col("size") + F.col("_tw_extra")
     copies = F.col("_tw_whole") + F.when((F.col("_tw_extra") * 2 > F.col("size")), 1).otherwise(0)
