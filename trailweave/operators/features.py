@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.operators.context import degrees, edges, is_input, relay_associations, seed_distances, transaction_shapes
@@ -14,6 +14,8 @@ NETWORK = ("mean_observations_per_tx", "mean_source_ips_per_tx", "log_relay_span
 #: The vector's order.
 FEATURES = (*CHAIN, *EXTRA, *NETWORK, "relay_associations")
 NO_GAP, UNREACHED = 86_400.0, 7
+#: Powers of two of seconds that gaps are counted by; the last also takes what is beyond (a million years).
+GAP_BINS = 46
 
 
 def spends(flows: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -35,35 +37,52 @@ def gaps(spent: DataFrame) -> DataFrame:
     return spent.withColumn("gap", (micros - F.lag(micros).over(order)) / 1e6)
 
 
-def chain_features(spent: DataFrame) -> DataFrame:
-    """The nine chain features, n (transactions), median_gap and the gap-free columns that rules need.
-
-    Sums are of whole satoshis, divided last.
-    """
-    fee = F.coalesce(F.col("fee_sats"), F.col("in_sats") - F.col("out_sats"))
-    rows = gaps(spent).withColumn("fee", fee)
+def _chain_parts() -> dict[str, Column]:
     total, n = F.sum("out_sats"), F.count(F.lit(1))
-    out = rows.groupBy("address").agg(
-        n.alias("n"), F.log1p(n).alias("log_tx_count"), F.log1p(total / SATS).alias("log_total_btc"), F.log1p(total / n / SATS).alias("log_mean_btc"),
-        (F.coalesce(F.stddev_pop("out_sats"), F.lit(0.0)) / SATS / F.greatest(total / n / SATS, F.lit(1e-12))).alias("amount_variation"),
-        F.max("n_out").cast("double").alias("max_fan_out"), F.max("n_in").cast("double").alias("max_fan_in"), F.median("gap").alias("median_gap"),
-        F.avg(F.col("fee") / F.greatest(F.lit(1), F.col("in_sats"))).alias("mean_fee_ratio"), F.avg((F.col("most_equal") >= 3).cast("double")).alias("equal_output_fraction"))
-    return out.withColumn("log_median_gap_seconds", F.log1p(F.coalesce("median_gap", F.lit(NO_GAP))))
+    fee = F.coalesce(F.col("fee_sats"), F.col("in_sats") - F.col("out_sats"))
+    return {
+        "n": n, "log_tx_count": F.log1p(n), "log_total_btc": F.log1p(total / SATS), "log_mean_btc": F.log1p(total / n / SATS),
+        "amount_variation": F.coalesce(F.stddev_pop("out_sats"), F.lit(0.0)) / SATS / F.greatest(total / n / SATS, F.lit(1e-12)),
+        "max_fan_out": F.max("n_out").cast("double"), "max_fan_in": F.max("n_in").cast("double"), "log_median_gap_seconds": F.log1p(F.coalesce(F.median("gap"), F.lit(NO_GAP))),
+        "mean_fee_ratio": F.avg(fee / F.greatest(F.lit(1), F.col("in_sats"))), "equal_output_fraction": F.avg((F.col("most_equal") >= 3).cast("double")),
+    }
+
+
+def _counts(of: Column, values: int) -> Column:
+    """How often a whole number takes each value from 0: one conditional count for each, so no second aggregate is needed."""
+    return F.array(*[F.count_if(of == i) for i in range(values)])
+
+
+def _timing_parts() -> dict[str, Column]:
+    rate = F.when(F.col("vsize") > 0, F.coalesce(F.col("fee_sats"), F.col("in_sats") - F.col("out_sats")) / F.col("vsize"))
+    bins = F.least(F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap")))), F.lit(GAP_BINS - 1))
+    return {
+        "_bins": _counts(bins, GAP_BINS), "_hours": _counts(F.hour("first_seen"), 24), "_gaps": F.count("gap"), "_n": F.count(F.lit(1)),
+        "round_output_ratio": F.sum("round_outs") / F.greatest(F.lit(1), F.sum("n_out")),
+        "fee_rate_cv": F.coalesce(F.stddev_pop(rate) / F.greatest(F.avg(rate), F.lit(1e-8)), F.lit(0.0)), "fee_rate_available": (F.count(rate) > 0).cast("int"),
+    }
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """Entropy of the gaps' powers of two and share of the busiest hour, from the counts."""
+    share = lambda k: k / F.greatest(F.col("_gaps"), F.lit(1))
+    entropy = F.aggregate("_bins", F.lit(0.0), lambda total, k: F.when(k > 0, total - share(k) * F.log2(share(k))).otherwise(total))
+    return rows.withColumns({"interval_entropy": entropy, "hour_concentration": F.array_max("_hours") / F.col("_n")}).drop("_bins", "_hours", "_gaps", "_n")
+
+
+def chain_features(spent: DataFrame) -> DataFrame:
+    """The nine chain features and n (transactions). Sums are of whole satoshis, divided last."""
+    return gaps(spent).groupBy("address").agg(*[c.alias(n) for n, c in _chain_parts().items()])
 
 
 def timing_features(spent: DataFrame) -> DataFrame:
     """interval_entropy, hour_concentration, round_output_ratio, fee_rate_cv and fee_rate_available."""
-    rows = gaps(spent)
-    rate = F.when(F.col("vsize") > 0, F.coalesce(F.col("fee_sats"), F.col("in_sats") - F.col("out_sats")) / F.col("vsize"))
-    flat = rows.groupBy("address").agg(
-        (F.sum("round_outs") / F.greatest(F.lit(1), F.sum("n_out"))).alias("round_output_ratio"), F.count("gap").alias("n_gaps"), F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.stddev_pop(rate) / F.greatest(F.avg(rate), F.lit(1e-8)), F.lit(0.0)).alias("fee_rate_cv"), (F.count(rate) > 0).cast("int").alias("fee_rate_available"))
-    binned = rows.filter("gap IS NOT NULL").groupBy("address", F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap")))).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
-    share = F.col("k") / F.sum("k").over(Window.partitionBy("address"))
-    entropy = binned.withColumn("p", share).groupBy("address").agg((-F.sum(F.col("p") * F.log2("p"))).alias("interval_entropy"))
-    hours = rows.groupBy("address", F.hour("first_seen").alias("hour")).agg(F.count(F.lit(1)).alias("k")).groupBy("address").agg(F.max("k").alias("top"))
-    joined = flat.join(entropy, "address", "left").join(hours, "address")
-    return joined.select("address", F.coalesce("interval_entropy", F.lit(0.0)).alias("interval_entropy"), (F.col("top") / F.col("n")).alias("hour_concentration"), "round_output_ratio", "fee_rate_cv", "fee_rate_available")
+    return _timed(gaps(spent).groupBy("address").agg(*[c.alias(n) for n, c in _timing_parts().items()]))
+
+
+def history_features(spent: DataFrame) -> DataFrame:
+    """Chain and timing features in one aggregate over each address's ordered spends."""
+    return _timed(gaps(spent).groupBy("address").agg(*[c.alias(n) for n, c in (_chain_parts() | _timing_parts()).items()]))
 
 
 def hour_histogram(spent: DataFrame) -> DataFrame:
@@ -95,7 +114,7 @@ def profiles(flows: DataFrame, transactions: DataFrame, observations: DataFrame,
     spent = spends(flows, transactions)
     linked = relay_associations(flows, observations, window_s, hub_limit)
     touched = linked.select(F.explode(F.array("source", "target")).alias("address")).groupBy("address").agg(F.count(F.lit(1)).cast("double").alias("relay_associations"))
-    out = chain_features(spent).join(timing_features(spent), "address").join(degrees(flows), "address", "left").join(network_features(spent, observations), "address").join(touched, "address", "left")
+    out = history_features(spent).join(degrees(flows), "address", "left").join(network_features(spent, observations), "address").join(touched, "address", "left")
     if seeds is not None:
         out = out.join(seed_distances(edges(flows), seeds), "address", "left")
     else:
