@@ -55,7 +55,7 @@ def _counts(of: Column, values: int) -> Column:
 
 def _timing_parts() -> dict[str, Column]:
     rate = F.when(F.col("vsize") > 0, F.coalesce(F.col("fee_sats"), F.col("in_sats") - F.col("out_sats")) / F.col("vsize"))
-    bins = F.least(F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap")))), F.lit(GAP_BINS - 1))
+    bins = F.when(F.col("gap").isNotNull(), F.least(F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap")))), F.lit(GAP_BINS - 1)))
     return {
         "_bins": _counts(bins, GAP_BINS), "_hours": _counts(F.hour("first_seen"), 24), "_gaps": F.count("gap"), "_n": F.count(F.lit(1)),
         "round_output_ratio": F.sum("round_outs") / F.greatest(F.lit(1), F.sum("n_out")),
