@@ -37,7 +37,7 @@ from trailweave.llm.shared import extended, replace_columns, written
 
 SEED = 42
 #: Node pairs that a task expands at once, and pairs of fingerprints that two small nodes may have to be compared directly.
-_FRONT, _DIRECT = 1 << 19, 16
+_FRONT, _DIRECT = 1 << 16, 16
 #: Words of a wide fingerprint, bits that linked ones may differ in, bits that a table's keys may, and bits that a
 #: further word, carried along, may differ in before a pair of keys is taken for chance.
 WIDE, WIDE_BUDGET, KEY_BUDGET, CHECK_BUDGET = 16, 176, 2, 20
