@@ -108,3 +108,53 @@ def test_near_copies_go_and_others_stay(spark):
     near = sum(1 for i in shingles if i % 10 and len(shingles[i] & shingles[i - i % 10]) >= 0.8 * len(shingles[i] | shingles[i - i % 10]))
     assert kept >= set(groups) and near > 60
     assert len(kept) - len(groups) <= sum(1 for i in shingles if i % 10) - near + 0.03 * near
+
+
+def wide_prints(spark, rows):
+    return spark.createDataFrame([(i, [int(w) for w in np.array(r, np.uint64).view(np.int64)]) for i, r in enumerate(rows)], "fp long, wide array<long>").repartition(3)
+
+
+def flipped(rng, words, bits):
+    words = list(words)
+    for at in bits:
+        words[at // 64] ^= 1 << at % 64
+    return words
+
+
+def differ(a, b):
+    return sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b, strict=True))
+
+
+def test_a_chance_candidate_does_not_hide_a_link(spark):
+    rng = random.Random(7)
+    one = [rng.getrandbits(64) for _ in range(16)]
+    one[8] |= 0b111 << 61
+    # the same first key, every other key three bits or more apart
+    two = flipped(rng, one, [32 * key + at for key in range(1, 32) for at in rng.sample(range(29), 4)])
+    # first among the rows of that key, near both there and nowhere else
+    chance = [one[0] & 0xFFFFFFFF | rng.getrandbits(32) << 32, *(rng.getrandbits(64) for _ in range(7)), one[8] & ~(0b111 << 61), *(rng.getrandbits(64) for _ in range(7))]
+    assert differ(one, two) <= neardup.WIDE_BUDGET < min(differ(one, chance), differ(two, chance))
+    links = neardup.wide_links(wide_prints(spark, [one, two, chance])).collect()
+    assert {(r.a, r.b) for r in links} == {(0, 1)}
+
+
+def test_wide_links_connect_all_true_candidates(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(3):
+        base = [rng.getrandbits(64) for _ in range(16)]
+        rows += [flipped(rng, base, rng.sample(range(1024), rng.randrange(80, 130))) for _ in range(60)]
+    halves = [[w >> s & 0xFFFFFFFF for w in r for s in (0, 32)] for r in rows]
+    got = list(range(len(rows)))
+    links = [(r.a, r.b) for r in neardup.wide_links(wide_prints(spark, rows)).collect()]
+    for _ in rows:
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    true = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            checks = [t for t in range(32) if (halves[i][t] ^ halves[j][t]).bit_count() <= 2 and differ([rows[i][(t // 2 + 8) % 16]], [rows[j][(t // 2 + 8) % 16]]) <= 20]
+            if checks and differ(rows[i], rows[j]) <= neardup.WIDE_BUDGET:
+                true += 1
+                assert got[i] == got[j]
+    assert true > 50 and all(differ(rows[a], rows[b]) <= neardup.WIDE_BUDGET for a, b in links)

@@ -12,8 +12,9 @@ rounds of large-star and small-star contraction over written tables.
 A fingerprint of 64 bits tells texts apart that share four fifths of their shingles (they differ in about ten bits), and
 a budget of ten bits prunes no trie. ``keep_one`` therefore takes fingerprints of 1,024 bits over five-word shingles,
 where such texts differ in 155 bits give or take 12. It cuts them into 32 keys of 32 bits, finds the pairs of keys
-that differ in at most two bits by the same trie join, and keeps those whose whole fingerprints differ in at most
-``WIDE_BUDGET`` bits: 98 % of the pairs at similarity 0.8 share such a key, and nearly all above.
+that differ in at most two bits by the same trie join, and links those whose whole fingerprints differ in at most
+``WIDE_BUDGET`` bits, which a task tests before it joins two components: 98 % of the pairs at similarity 0.8 share such
+a key, and nearly all above.
 
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are hashed whole; a null doc_id takes part but is no representative unless its component has no other
@@ -24,7 +25,7 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from trailweave.llm.shared import extended, replace_columns, written
 SEED = 42
 #: Node pairs that a task expands at once, and pairs of fingerprints that two small nodes may have to be compared directly.
 _FRONT, _DIRECT = 1 << 16, 16
+#: Pairs of rows that a task compares at once.
+_PAIRS = 1 << 16
 #: Words of a wide fingerprint, bits that linked ones may differ in, bits that a table's keys may, and bits that a
 #: further word, carried along, may differ in before a pair of keys is taken for chance.
 WIDE, WIDE_BUDGET, KEY_BUDGET, CHECK_BUDGET = 16, 176, 2, 20
@@ -114,14 +117,9 @@ def _join_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, links: list) -
     return label
 
 
-def trie_forest(keys: np.ndarray, bits: int, exact: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices a, b), fewer than keys, that connect what all links of the sorted distinct 64-bit keys connect.
-
-    Linked are keys that differ in at most ``bits`` bits, none of them among the first ``exact`` (and whose words of
-    ``check`` differ in at most ``CHECK_BUDGET``).
-    """
+def _trie_pairs(keys: np.ndarray, bits: int, exact: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair (i < j), some at a time, of the sorted distinct 64-bit keys that differ in at most ``bits`` bits, none of them among the first ``exact``."""
     n = len(keys)
-    label, links = np.arange(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     stack = [(0, *(np.array([v]) for v in (0, n, 0, n, 0)))] if n > 1 else []
     while stack:
         depth, a0, a1, b0, b1, used = stack.pop()
@@ -134,9 +132,7 @@ def trie_forest(keys: np.ndarray, bits: int, exact: int, check: np.ndarray | Non
             wide = (b1 - b0)[which]
             i, j = a0[which] + k // wide, b0[which] + k % wide
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= bits)
-            if check is not None:
-                near &= np.bitwise_count(check[i] ^ check[j]) <= CHECK_BUDGET
-            label = _join_forest(label, i[near], j[near], links)
+            yield i[near], j[near]
             a0, a1, b0, b1, used, same = (v[~small] for v in (a0, a1, b0, b1, used, same))
         keep = ~(same & (a1 - a0 < 2))
         a0, a1, b0, b1, used, same = (v[keep] for v in (a0, a1, b0, b1, used, same))
@@ -154,6 +150,94 @@ def trie_forest(keys: np.ndarray, bits: int, exact: int, check: np.ndarray | Non
         nodes = [v[full] for v in nodes]
         for at in range(0, len(nodes[0]), _FRONT):
             stack.append((depth + 1, *(v[at : at + _FRONT] for v in nodes)))
+
+
+def trie_forest(keys: np.ndarray, bits: int, exact: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices a, b), fewer than keys, that connect what all links of the sorted distinct 64-bit keys connect.
+
+    Linked are keys that differ in at most ``bits`` bits, none of them among the first ``exact``.
+    """
+    label, links = np.arange(len(keys)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in _trie_pairs(keys, bits, exact):
+        label = _join_forest(label, i, j, links)
+    return tuple(np.concatenate(v) for v in zip(*links, strict=True))
+
+
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices that hold ``_PAIRS`` of the sizes' sum, or a single one."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PAIRS, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] numbers), then those of first[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def _row_pairs(pairs: Iterator, first: np.ndarray, size: np.ndarray, matters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``pairs`` of keys (a key has ``size`` rows from ``first``), some at a time.
+
+    ``matters(row, key)`` says, when its turn comes, which rows are still to meet which keys.
+    """
+    for i, j in pairs:
+        for some in _slices(size[i]):
+            a, k = _spread(first[i[some]], size[i[some]]), np.repeat(j[some], size[i[some]])
+            for part in _slices(size[k]):
+                x, y = a[part], k[part]
+                now = matters(x, y)
+                x, y = x[now], y[now]
+                if len(x):
+                    yield np.repeat(x, size[y]), _spread(first[y], size[y])
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row and number of rows of each of the sorted keys, and the keys that have several."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    return first, size, np.flatnonzero(size > 1)
+
+
+def _with_candidates(keys: np.ndarray, check: np.ndarray, exact: int, before: list[np.uint64]) -> np.ndarray:
+    """Which rows (sorted keys) have another whose key is within ``KEY_BUDGET`` bits and whose word within ``CHECK_BUDGET``.
+
+    Pairs that agree in one of the masks ``before`` have met in another block.
+    """
+    first, size, several = _grouped(keys)
+    has = np.zeros(len(keys), bool)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not before:
+            yield several, several
+        for i, j in _trie_pairs(keys[first], KEY_BUDGET, exact):
+            x = keys[first[i]] ^ keys[first[j]]
+            new = np.ones(len(x), bool)
+            for mask in before:
+                new &= (x & mask) != 0
+            yield i[new], j[new]
+
+    for a, b in _row_pairs(pairs(), first, size, lambda row, key: ~has[row] | ~np.logical_and.reduceat(has, first)[key]):
+        near = (a != b) & (np.bitwise_count(check[a] ^ check[b]) <= CHECK_BUDGET)
+        has[a[near]] = has[b[near]] = True
+    return has
+
+
+def _wide_forest(keys: np.ndarray, wide: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows a, b), fewer than rows (sorted keys), that connect all pairs of near keys and of fingerprints within ``WIDE_BUDGET`` bits."""
+    first, size, several = _grouped(keys)
+    label, links = np.arange(len(keys)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def matters(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+        low, high = np.minimum.reduceat(label, first)[key], np.maximum.reduceat(label, first)[key]
+        return (label[row] != low) | (low != high)
+
+    for a, b in _row_pairs(chain([(several, several)], _trie_pairs(keys[first], KEY_BUDGET, exact)), first, size, matters):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= WIDE_BUDGET
+        label = _join_forest(label, a[near], b[near], links)
     return tuple(np.concatenate(v) for v in zip(*links, strict=True))
 
 
@@ -161,7 +245,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator
     """(block, columns after the second) of whole block values, several at a time, from batches sorted by block and value."""
     at, held, size = None, [], 0
     for batch in batches:
-        block, value, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        block, value, *rest = (c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns)
         cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
             here = (block[lo], value[lo])
@@ -206,7 +290,9 @@ def trie_links(prints: DataFrame, bits: int = 3) -> DataFrame:
 def wide_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) of ``prints`` (fp long, wide array<long>), whose wide fingerprints differ in at most ``WIDE_BUDGET`` bits.
 
-    A task emits a forest of each table's pairs, at most a link for each of its keys; equal keys are a chain.
+    The keys alone are dealt first, and only rows that have a candidate are dealt again with their whole fingerprints.
+    So a task compares every candidate by all bits before it joins two components, and what it emits is a forest of
+    true links, fewer than its rows.
     """
     parts, tables = KEY_BUDGET + 1, 2 * WIDE
     cuts = [32 * i // parts for i in range(parts + 1)]
@@ -224,26 +310,29 @@ def wide_links(prints: DataFrame) -> DataFrame:
                         key = (((halves[:, t] << c) | (halves[:, t] >> (np.uint64(32) - c))) & np.uint64(0xFFFFFFFF)) << np.uint64(32)
                         yield pa.record_batch([pa.array(np.full(len(fp), t * parts + i, np.int32)), pa.array((key >> np.uint64(64 - n)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check), pa.array(fp)], names=["block", "value", "key", "check", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (keys, check, fp) in _buckets(batches):
-            keys, check = keys.view(np.uint64), check.view(np.uint64)
-            order = np.lexsort((fp, check, keys))
-            keys, check, fp = keys[order], check[order], fp[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            head = np.repeat(first, np.diff(np.append(first, len(keys))))
-            near = lambda i, j: np.bitwise_count(check[i] ^ check[j]) <= CHECK_BUDGET
-            later = np.setdiff1d(np.arange(len(keys)), first, assume_unique=True)
-            to = np.where(near(later, head[later]), head[later], later - 1)
-            linked = near(later, to)
             part = block % parts
-            a, b = trie_forest(keys[first], KEY_BUDGET, cuts[part + 1] - cuts[part], check[first])
-            yield _link_batch(fp[np.concatenate([first[a], later[linked]])], fp[np.concatenate([first[b], to[linked]])])
-
-    found = _dealt(prints.select("fp", "wide").mapInArrow(deal, "block int, value int, key long, check long, fp long")).mapInArrow(run, "a long, b long")
-    pairs = written(found.distinct(), "wide_pairs")
-    one, two = (prints.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "ab")
-    bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(one, "a").join(two, "b").filter(bits <= WIDE_BUDGET).select("a", "b")
+            c, n = cuts[part], cuts[part + 1] - cuts[part]
+            order = np.argsort(keys.view(np.uint64), kind="stable")
+            keys, check, fp = keys.view(np.uint64)[order], check.view(np.uint64)[order], fp[order]
+            before = [np.uint64(((1 << (cuts[q + 1] - cuts[q])) - 1) << (32 + c - cuts[q + 1])) for q in range(part)]
+            has = _with_candidates(keys, check, n, before)
+            keys, fp = keys[has], fp[has]
+            yield pa.record_batch([pa.array(np.full(len(fp), block, np.int32)), pa.array((keys >> np.uint64(64 - n)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(fp)], names=["block", "value", "key", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (keys, fp, wide) in _buckets(batches, 1 << 16):
+            part = block % parts
+            order = np.argsort(keys.view(np.uint64), kind="stable")
+            keys, fp, wide = keys.view(np.uint64)[order], fp[order], wide[order].view(np.uint64)
+            a, b = _wide_forest(keys, wide, cuts[part + 1] - cuts[part])
+            yield _link_batch(fp[a], fp[b])
+
+    dealt = _dealt(prints.select("fp", "wide").mapInArrow(deal, "block int, value int, key long, check long, fp long"))
+    candidates = written(dealt.mapInArrow(kept, "block int, value int, key long, fp long"), "candidates")
+    whole = _dealt(candidates.join(prints.select("fp", "wide"), "fp").select("block", "value", "key", "fp", "wide"))
+    return whole.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
