@@ -54,10 +54,16 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.endpoints(flows(spark, sf_dir, True), seeds(spark, sf_dir)).select("address", "endpoint", "hops", F.round("score", 6).alias("score"))
 
 
+@query()
+def endpoints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``endpoints`` over all orders."""
+    return taint.endpoints(flows(spark, sf_dir), seeds(spark, sf_dir, sparse=False)).select("address", "endpoint", "hops", F.round("score", 6).alias("score"))
+
+
 @query()
 def haircut_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = [r[0] for r in seeds(spark, sf_dir).collect()]
-    return taint.haircut(flows(spark, sf_dir, True), transactions(spark, sf_dir), known)
+    known = [r[0] for r in seeds(spark, sf_dir, sparse=False).collect()]
+    return taint.haircut(flows(spark, sf_dir), transactions(spark, sf_dir), known)
 
 
 @query()
@@ -71,6 +77,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.entities(flows(spark, sf_dir, True))
 
 
+@query()
+def entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entities`` over all orders."""
+    return cx.entities(flows(spark, sf_dir))
+
+
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, t = flows(spark, sf_dir), transactions(spark, sf_dir)
     spent = ft.spends(f, t)
@@ -151,6 +163,13 @@ def feature_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.round(z, 6).alias("z"), (F.abs(z) > 1.5).alias("far"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
+    f = flows(spark, sf_dir, sparse)
+    linked = cx.relay_associations(f, observations(spark, sf_dir), window_s=604_800)
+    lists = learn.neighbour_lists(cx.entities(f).select("address", "entity_id"), linked)
+    return lists.select("address", F.posexplode("neighbours").alias("place", "neighbour")).select("address", "neighbour", (F.col("place") + 1).alias("place"))
+
+
 @query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, {ENTITIES}, {OBS}, {FIRST},
 kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
 pairs AS (SELECT a.txid AS t1, b.txid AS t2 FROM kept a JOIN kept b ON a.src_ip = b.src_ip AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000),
@@ -158,10 +177,13 @@ assoc AS (SELECT s.address AS x, t.address AS y FROM pairs JOIN inputs s ON s.tx
 near AS (SELECT a.address AS address, b.address AS other FROM roots a JOIN roots b ON a.root = b.root AND a.address <> b.address UNION SELECT x, y FROM assoc UNION SELECT y, x FROM assoc)
 SELECT address, other AS neighbour, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY other) AS n FROM near) WHERE n <= 16""")
 def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flows(spark, sf_dir, True)
-    linked = cx.relay_associations(f, observations(spark, sf_dir), window_s=604_800)
-    lists = learn.neighbour_lists(cx.entities(f).select("address", "entity_id"), linked)
-    return lists.select("address", F.posexplode("neighbours").alias("place", "neighbour")).select("address", "neighbour", (F.col("place") + 1).alias("place"))
+    return _neighbours(spark, sf_dir, True)
+
+
+@query()
+def neighbour_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``neighbour_lists`` over all orders."""
+    return _neighbours(spark, sf_dir, False)
 
 
 @query("""SELECT o_custkey AS actor, o_orderkey AS txid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'""")

@@ -32,9 +32,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("txid"), F.col("ts").alias("timestamp"), F.concat(F.lit("ip"), F.col("user_id")).alias("src_ip"))
 
 
-def seeds(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+def seeds(spark: SparkSession, sf_dir: str, k: int = 3, sparse: bool = True) -> DataFrame:
     """The first k addresses of inputs."""
-    return flows(spark, sf_dir, True).filter("direction = 'input'").select("address").distinct().orderBy("address").limit(k)
+    return flows(spark, sf_dir, sparse).filter("direction = 'input'").select("address").distinct().orderBy("address").limit(k)
 
 
 FLOWS_SQL = """p_lines AS (

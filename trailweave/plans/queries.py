@@ -233,6 +233,12 @@ def seed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.seed_distances(cx.edges(flows(spark, sf_dir, True)), seeds(spark, sf_dir))
 
 
+@query()
+def seed_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seed_distance`` over all orders."""
+    return cx.seed_distances(cx.edges(flows(spark, sf_dir)), seeds(spark, sf_dir, sparse=False))
+
+
 @query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
 sized AS (SELECT txid, min(address) AS a FROM inputs WHERE txid NOT IN (SELECT txid FROM mixers) GROUP BY txid HAVING count(*) BETWEEN 2 AND 20),
 links AS (SELECT DISTINCT a, address AS b FROM inputs JOIN sized USING (txid) WHERE address <> a), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -242,6 +248,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.clusters(flows(spark, sf_dir, True))
 
 
+@query()
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``components`` over all orders."""
+    return cx.clusters(flows(spark, sf_dir))
+
+
 @query("""SELECT CASE WHEN c_acctbal / 100 > 60 THEN 'High' WHEN c_acctbal / 100 > 30 THEN 'Moderate' ELSE 'Low' END AS band, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1""")
 def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority = F.col("c_acctbal") / 100
@@ -257,6 +269,13 @@ def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentile_ranks(orders.filter("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v")), reference).select("id", F.round("percentile", 9).alias("percentile"))
 
 
+@query()
+def percentile_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``percentile_rank`` of all orders among all orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    return metrics.percentile_ranks(orders, orders.select("v")).select("id", F.round("percentile", 9).alias("percentile"))
+
+
 SCORED = "scored AS (SELECT d.doc_id AS id, CAST(n_chars AS DOUBLE) AS score, toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
@@ -330,3 +349,11 @@ def guarded_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.sources.sinks import formula_guard
 
     return table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("user_id", "event_id", formula_guard(F.col("event_type")).alias("event_type"), F.format_string("%.8f", "value").alias("amount"))
+
+
+@query()
+def guarded_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``guarded_export`` of all events."""
+    from trailweave.sources.sinks import formula_guard
+
+    return table(spark, sf_dir, "events").select("user_id", "event_id", formula_guard(F.col("event_type")).alias("event_type"), F.format_string("%.8f", "value").alias("amount"))
