@@ -147,3 +147,18 @@ def test_text_media(spark):
     out = {r.doc_id: r for r in media.text_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (out[1].n_bytes, out[1].payload_bytes) == (576, 576) and out[2].payload_bytes == 1152 and out[9002].payload_bytes == 576
     assert out[9001].payload_sha256 == out[9002].payload_sha256
+
+
+def test_license_notices_of_any_case_and_wrapping():
+    known = licenses.Templates()
+    for text, name in [
+        ("RELEASED UNDER THE MIT LICENSE", "MIT"), ("REDISTRIBUTION AND USE IN SOURCE AND BINARY FORMS, WITH OR WITHOUT MODIFICATION, ARE PERMITTED", "BSD-3-Clause"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at this place. */", "MPL-2.0"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following holds", "BSD-3-Clause"),
+    ]:
+        cosine, found, _ = known.scan(text)
+        assert found == name and cosine > 0.85
+    words = "Anyone may share\nthese zebra notes\nforever"
+    own = licenses.Templates({"Own": ("Anyone may share these zebra notes forever",)})
+    assert own.scan(f"other words first\n{words}\nand more")[:2] == (pytest.approx(1.0), "Own")
+    assert known.scan("plain words\nover two lines") == (0.0, None, False)

@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Every line of a file that shares a rare word with a template is compared with all templates as a sparse TF-IDF
-vector (weights from the templates themselves, so they are the same for any corpus); the best line decides the
-file's own license. A file is a licence file of its directory if its name says so, or if the matching line makes up
+vector (weights from the templates themselves, so they are the same for any corpus), and so are the sentences of a
+line and every run of words over line ends that is as long as a template and holds a rare word of it; the best of
+them decides the file's own license. A file is a licence file of its directory if its name says so, or if the matching text makes up
 at least half of its words. Files without a license inherit that of the nearest directory above that has one, by
 joins of directories with the licence files' directories; of several licence files in one directory the best match
 counts, then the smallest name.
@@ -37,6 +38,7 @@ TEMPLATES = {
 }
 LEAST = 0.6
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_SENTENCE = re.compile(r"[^.;|]+(?:\.\d[^.;|]*)*")
 _FILE = re.compile(r"(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?\Z", re.I)
 #: Words that make a line worth comparing: those of templates that are not everyday words.
 _EVERYDAY = frozenset("a and any are by forms form free in is of or person s source the this to under use version with without work binary obtaining copy subject code v charge terms".split())
@@ -55,34 +57,53 @@ class Templates:
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
             for w, n in bag.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
-        self.quick = re.compile("|".join(sorted({w[:4] for w in self.telling if len(w) > 2})), re.I)
+        self.quick = re.compile("|".join(map(re.escape, sorted(self.telling))))
+        self.lengths = sorted({b.total() for b in bags})
 
-    def match(self, line: str) -> tuple[float, str | None, int]:
-        """Best cosine, its license and the line's words."""
-        bag = Counter(_WORD.findall(line.lower()))
+    def match(self, words: list[str]) -> tuple[float, str | None, int]:
+        """Best cosine, its license and the number of words."""
+        bag = Counter(words)
         if self.telling.isdisjoint(bag):
-            return 0.0, None, bag.total()
+            return 0.0, None, len(words)
         dots: Counter = Counter()
         for w, n in bag.items():
             for i, v in self.postings.get(w, ()):
                 dots[i] += n * self.idf[w] * v
         norm = math.sqrt(sum((n * self.idf.get(w, self.unknown)) ** 2 for w, n in bag.items()))
         i = min(dots, key=lambda i: (-dots[i], self.names[i]))
-        return dots[i] / norm, self.names[i], bag.total()
+        return dots[i] / norm, self.names[i], len(words)
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """Words of all lines, of their sentences, and of windows over line ends, where they hold a rare word."""
+        lines = [_WORD.findall(line) for line in text.split("\n")]
+        for line, words in zip(text.split("\n"), lines, strict=True):
+            if self.telling.isdisjoint(words):
+                continue
+            yield words
+            sentences = _SENTENCE.findall(line)
+            if len(sentences) > 1:
+                yield from map(_WORD.findall, sentences)
+        flat = [w for words in lines for w in words]
+        line_of = [i for i, words in enumerate(lines) for _ in words]
+        done = set()
+        for at in [i for i, w in enumerate(flat) if w in self.telling]:
+            for n in self.lengths:
+                for lo in range(max(0, at - n + 1), min(at, len(flat) - n) + 1):
+                    if line_of[lo] != line_of[lo + n - 1] and (lo, n) not in done:
+                        done.add((lo, n))
+                        yield flat[lo : lo + n]
 
     def scan(self, text: str | None) -> tuple[float, str | None, bool]:
-        """Cosine and license of a text's best line, and whether that line is half of the text."""
+        """Cosine and license of a text's best part, and whether that part is half of the text."""
         best, name, size = 0.0, None, 0
-        for line in (text or "").split("\n"):
-            for part in [line] if len(line) < 400 else re.findall(r"[^.;|]+(?:\.\d[^.;|]*)*", line):
-                if "icen" not in part and "ermi" not in part and "LICEN" not in part:
-                    continue
-                cosine, found, n = self.match(part)
-                if found and (cosine > best or (cosine == best and name is not None and found < name)):
-                    best, name, size = cosine, found, n
+        text = (text or "").lower()
+        for words in self.parts(text) if self.quick.search(text) else ():
+            cosine, found, n = self.match(words)
+            if found and (cosine > best or (cosine == best and name is not None and found < name)):
+                best, name, size = cosine, found, n
         if best < LEAST:
             return best, None, False
-        return best, name, 2 * size >= len(_WORD.findall(text.lower()))
+        return best, name, 2 * size >= len(_WORD.findall(text))
 
 
 def scan_texts(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
