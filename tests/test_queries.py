@@ -93,3 +93,14 @@ def test_whole_tables_reach_the_graph_queries(spark, sql):
 
     assert {r.id: r.percentile for r in run("percentile_rank_all")} == {k: round(bisect_right(ranked, v) / len(ranked), 9) for k, v in prices.items()}
     assert sorted(r.event_id for r in run("guarded_export_all")) == [i for (i,) in sql.execute("SELECT event_id FROM events ORDER BY 1").fetchall()]
+
+
+def test_percentiles_are_among_all_rows(spark):
+    from bisect import bisect_right
+
+    from trailweave.plans.more_queries import with_percentiles
+
+    scores = [i * i % 4999 / 4999 for i in range(5000)]
+    ranked = sorted(scores)
+    out = with_percentiles(spark.createDataFrame(list(enumerate(scores)), "address long, fused double"), "fused").collect()
+    assert {r.address: r.fused_percentile for r in out} == {i: bisect_right(ranked, v) / 5000 for i, v in enumerate(scores)}

@@ -9,7 +9,7 @@ from trailweave.models import forest, learn
 from trailweave.operators import context as cx
 from trailweave.operators import drift, rules, taint
 from trailweave.operators import features as ft
-from trailweave.plans import audit, index, views
+from trailweave.plans import audit, index, metrics, views
 from trailweave.plans.proxies import FLOWS, OBS, SPARSE, TX, flows, observations, seeds, table, transactions
 from trailweave.plans.queries import EDGES, FIRST, MIXERS, SHAPES
 from trailweave.session import written
@@ -96,14 +96,20 @@ def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir).select("address", named("Rapid repeated spending").alias("rapid"), named("High fan-out").alias("fan_out"), named("High fan-in").alias("fan_in"), named("Repeated equal outputs").alias("equal_outs"))
 
 
+def with_percentiles(scored: DataFrame, column: str) -> DataFrame:
+    """``scored`` with ``column`` + '_percentile', the share of all its rows at or below each score."""
+    values = scored.select(F.col(column).alias("v"))
+    ranks = metrics.percentile_ranks(values.distinct().withColumn("id", F.lit(0)), values).select(F.col("v").alias(column), F.col("percentile").alias(f"{column}_percentile"))
+    return scored.drop(f"{column}_percentile").join(ranks, column)
+
+
 @query()
 def fracture_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest, drift and rules in the weighted index, ranked."""
     ruled = written(_ruled(spark, sf_dir), "ruled")
     names = list(ft.FEATURES)
     grown = forest.fit(ruled, names)
-    raw = grown.raw(ruled.orderBy(F.xxhash64("address")).select(*names).limit(2000).toPandas().to_numpy(float))
-    scored = forest.score(ruled, grown, "fused", raw)
+    scored = with_percentiles(written(forest.score(ruled, grown, "fused"), "scored"), "fused")
     moved = drift.behavioural_drift(ft.spends(flows(spark, sf_dir), transactions(spark, sf_dir))).groupBy("address").agg(F.max("score").alias("drift_score"))
     rows = scored.join(moved, "address", "left").withColumns({"taint": F.lit(None).cast("double"), "graph_score": F.lit(None).cast("double")})
     out = index.case_note(index.fracture_index(rows))
