@@ -1,17 +1,25 @@
 """Language identification by interpolated Kneser-Ney models over character trigrams.
 
 A model for each language is fitted on about ``sample`` labelled documents of it (a documented bound; they are drawn
-by a hash of doc_id, with a rate that follows from the language's count), counted on the executors. The models of all
-languages share one sorted array of hashes for each order, with a column of probabilities for each language; whole
-texts of every document are scored against all. Letters are lower-cased, other characters are one separator.
+by a hash of doc_id and text, with a rate that follows from the language's count), counted on the executors. Letters
+are lower-cased and stand for themselves, whatever their script; all other characters are one separator. N-grams of
+code points are hashed (by a bijection, so none share a hash) into one sorted array for each order, with a column of
+probabilities for each language; whole texts of every document are scored against all. What remains is spread evenly
+over all letters of Unicode, so a letter that no language has costs the same in each.
 
-The language of the lowest length-normalised cross-entropy is chosen. Whether a text is rejected is calibrated on the
-sample: its entropy may exceed the language's mean by a multiple of the standard error for its length, plus the slack
-that all but ``miss`` of the language's own sample documents need.
+The language of the lowest length-normalised cross-entropy is chosen. When a text is rejected is calibrated on a
+quarter of the drawn documents, which the models are not fitted on: its entropy may exceed the language's mean by
+``errors`` standard errors for its length, plus the slack that all but ``miss`` of these documents need, plus
+``margin`` nats.
+
+The languages are a setting of a corpus: their models must stay below ``most_bytes``, which is checked before they are
+broadcast.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0 and rejected; a null doc_id is never
-held out (its hash counts as that of an empty text); repeated rows are scored alike; with no language to learn from
-all is ``und``; an empty table gives an empty result; a column of the input that is named like a new one gives way.
+held out (its hash counts as that of an empty text); repeated rows are scored alike and drawn once; a language whose
+drawn documents have no letter is not learnt; with no language to learn from all is ``und``; long texts are read in
+chunks that carry two letters over the seam, so they score as if read at once; an empty table gives an empty result; a
+column of the input that is named like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -29,10 +37,10 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.shared import extended
 
-#: Classes of characters: 0 is the separator, 1 any letter that is not among the commonest.
-CLASSES = 64
 DISCOUNT = 0.75
-_CHUNK = 1 << 20
+#: Bits of a code point, and code points read at once.
+_BITS, _CHUNK = np.uint64(21), 1 << 18
+_POINT, _PAIR = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
 
 
 def held_out(doc_id) -> F.Column:
@@ -42,185 +50,205 @@ def held_out(doc_id) -> F.Column:
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter."""
-    return np.fromiter((category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
-
-
-def points(text: str) -> np.ndarray:
-    """Lower-cased code points."""
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """For each code point, itself where it is a letter, else 0."""
+    return np.fromiter((c if category(chr(c))[0] == "L" else 0 for c in range(0x110000)), np.uint32, 0x110000)
 
 
-def trigrams(at: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Codes of the class trigrams of code points; separators don't repeat, and one stands at both ends."""
-    kind = np.concatenate([[0], classes[at], [0]]).astype(np.int32)
-    kind = kind[np.concatenate([[True], (kind[1:] != 0) | (kind[:-1] != 0)])]
-    kind = np.concatenate([[0], kind])
-    return (kind[:-2] * CLASSES + kind[1:-1]) * CLASSES + kind[2:]
-
-
-def mixed(codes: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of n-grams of an order (a bijective mix of 64 bits, so no two n-grams share one)."""
-    h = (codes.astype(np.uint64) << np.uint64(2)) | np.uint64(order)
+@lru_cache(1)
+def alphabet() -> int:
+    """Number of signs: all letters of Unicode and the separator."""
+    return int((_letters() != 0).sum()) + 1
+
+
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Codes of the trigrams of a text, some at a time; separators don't repeat, and one stands at both ends."""
+    before, text = np.zeros(2, np.uint64), text.lower()
+    for lo in range(0, len(text), _CHUNK):
+        points = np.frombuffer(text[lo : lo + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = _letters()[points].astype(np.uint64)
+        if lo + _CHUNK >= len(text):
+            signs = np.append(signs, np.uint64(0))
+        signs = signs[(signs != 0) | (np.concatenate([before[-1:], signs[:-1]]) != 0)]
+        line = np.concatenate([before, signs])
+        before = line[-2:]
+        if len(signs):
+            yield (line[:-2] << (_BITS + _BITS)) | (line[1:-1] << _BITS) | line[2:]
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of one order (a bijective mix of 64 bits, so no two n-grams share one)."""
+    h = codes.astype(np.uint64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     return h ^ (h >> np.uint64(31))
 
 
+class HashArray:
+    """Sorted hashes of n-grams, and for each a row of values by language."""
+
+    def __init__(self, rows: dict[int, np.ndarray], languages: int, missing: float):
+        codes = np.fromiter(rows, np.uint64, len(rows))
+        keys = mixed(codes)
+        at = np.argsort(keys)
+        values = np.array(list(rows.values()), np.float64).reshape(len(rows), languages)
+        self.keys, self.missing = keys[at], missing
+        self.values = np.where(values[at] == 0, missing, values[at])
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full((len(codes), self.values.shape[1]), self.missing)
+        want = mixed(codes)
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        out = self.values[at]
+        out[self.keys[at] != want] = self.missing
+        return out
+
+
 class Models:
     """Kneser-Ney models of all languages in sorted hash arrays."""
 
-    def __init__(self, languages: list[str], counts: list[dict[int, int]], classes: np.ndarray):
-        self.languages, self.classes, self.limits = languages, classes, np.zeros((len(languages), 3))
-        table: dict[int, dict[int, np.ndarray]] = {order: {} for order in (1, 2, 3)}
-        back: dict[int, dict[int, np.ndarray]] = {order: {} for order in (1, 2)}
-        row = lambda t, code: t.setdefault(code, np.zeros(len(languages)))
-        self.base = np.zeros(len(languages))
+    def __init__(self, languages: list[str], counts: list[dict[int, int]]):
+        n, signs = len(languages), alphabet()
+        self.languages, self.limits, self.base = languages, np.zeros((n, 3)), np.full(n, 1 / signs)
+        rows: list[dict[int, np.ndarray]] = [{} for _ in range(5)]
+
+        def put(part: int, code: int, language: int, value: float) -> None:
+            rows[part].setdefault(code, np.zeros(n))[language] = value
+
         for i, c3 in enumerate(counts):
-            c2, c1, n1, n2, left, kinds = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-            for code, n in c3.items():
-                left[code // CLASSES] += n
-                kinds[code // CLASSES] += 1
-                c2[code % CLASSES**2] += 1  # continuations
-            for code, n in c2.items():
-                n2[code // CLASSES] += n
-                n1[code // CLASSES] += 1
-                c1[code % CLASSES] += 1
-            all1 = sum(c1.values())
-            self.base[i] = DISCOUNT * len(c1) / all1 / CLASSES if all1 else 1 / CLASSES
-            for code, n in c1.items():
-                row(table[1], code)[i] = (n - DISCOUNT) / all1
-            for code, n in c2.items():
-                row(table[2], code)[i] = (n - DISCOUNT) / n2[code // CLASSES]
-            for code, n in n2.items():
-                row(back[1], code)[i] = DISCOUNT * n1[code] / n
-            for code, n in c3.items():
-                row(table[3], code)[i] = (n - DISCOUNT) / left[code // CLASSES]
-            for code, n in left.items():
-                row(back[2], code)[i] = DISCOUNT * kinds[code] / n
-        self.table, self.back = ({o: self._sorted(t, o) for o, t in part.items()} for part in (table, back))
-        self.memo = None
-
-    def _sorted(self, rows: dict[int, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array(list(rows), np.int64)
-        keys = mixed(codes, order)
-        at = np.argsort(keys)
-        return keys[at], (np.array(list(rows.values())) if rows else np.zeros((0, len(self.languages))))[at].astype(np.float64)
-
-    def _get(self, part: dict, order: int, codes: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = part[order]
-        if not len(keys):
-            return np.full((len(codes), len(self.languages)), missing)
-        want = mixed(codes, order)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        out = values[at]
-        if missing:
-            out = np.where(out == 0, missing, out)
-        out[keys[at] != want] = missing
-        return out
+            c2, c1, follow2, kinds2, follow3, kinds3 = (defaultdict(int) for _ in range(6))
+            for code, k in c3.items():
+                follow3[code >> 21] += k
+                kinds3[code >> 21] += 1
+                c2[code & int(_PAIR)] += 1  # continuations
+            for code, k in c2.items():
+                follow2[code >> 21] += k
+                kinds2[code >> 21] += 1
+                c1[code & int(_POINT)] += 1
+            total = sum(c1.values())
+            if total:
+                self.base[i] = DISCOUNT * len(c1) / total / signs
+            for code, k in c1.items():
+                put(0, code, i, (k - DISCOUNT) / total)
+            for code, k in c2.items():
+                put(1, code, i, (k - DISCOUNT) / follow2[code >> 21])
+            for code, k in follow2.items():
+                put(2, code, i, DISCOUNT * kinds2[code] / k)
+            for code, k in c3.items():
+                put(3, code, i, (k - DISCOUNT) / follow3[code >> 21])
+            for code, k in follow3.items():
+                put(4, code, i, DISCOUNT * kinds3[code] / k)
+        self.one, self.two, self.back_one, self.three, self.back_two = (HashArray(r, n, missing) for r, missing in zip(rows, (0.0, 0.0, 1.0, 0.0, 1.0), strict=True))
+        self.held = None
+
+    def bytes(self) -> int:
+        return sum(a.keys.nbytes + a.values.nbytes for a in (self.one, self.two, self.back_one, self.three, self.back_two))
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last class of each trigram after the first two, in each language."""
-        two, one = codes % CLASSES**2, codes % CLASSES
-        p = self._get(self.table, 1, one, 0.0) + self.base
-        p = self._get(self.table, 2, two, 0.0) + self._get(self.back, 1, two // CLASSES, 1.0) * p
-        return self._get(self.table, 3, codes, 0.0) + self._get(self.back, 2, codes // CLASSES, 1.0) * p
+        """Of the last sign of each trigram after the first two, in each language."""
+        two = codes & _PAIR
+        p = self.one.get(codes & _POINT) + self.base
+        p = self.two.get(two) + self.back_one.get(two >> _BITS) * p
+        return self.three.get(codes) + self.back_two.get(codes >> _BITS) * p
+
+    def _costs(self, codes: np.ndarray) -> np.ndarray:
+        """Negative log probabilities; those of trigrams met lately come from a table with a place for each hash."""
+        if self.held is None:
+            places = 1 << max(10, 20 - len(self.languages).bit_length())
+            self.held = np.full(places, ~np.uint64(0)), np.zeros((places, len(self.languages)), np.float32)
+        keys, costs = self.held
+        at = (mixed(codes) >> np.uint64(32)).astype(np.int64) & (len(keys) - 1)
+        missed = keys[at] != codes
+        if not missed.any():
+            return costs[at]
+        new, back = np.unique(codes[missed], return_inverse=True)
+        fresh = -np.log(self.probability(new)).astype(np.float32)
+        out = costs[at]
+        out[missed] = fresh[back]
+        place = (mixed(new) >> np.uint64(32)).astype(np.int64) & (len(keys) - 1)
+        keys[place] = new  # of several the last stays, in both tables
+        winner = keys[place] == new
+        costs[place[winner]] = fresh[winner]
+        return out
 
     def surprise(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Mean negative log probability and mean square in each language, and the number of trigrams."""
-        if self.memo is None:
-            self.memo, self.known = np.zeros((CLASSES**3, len(self.languages)), np.float32), np.zeros(CLASSES**3, bool)
-        total, square, n, at = np.zeros(len(self.languages)), np.zeros(len(self.languages)), 0, points(text)
-        for lo in range(0, len(at), _CHUNK):
-            codes = trigrams(at[lo : lo + _CHUNK], self.classes)
-            if not self.known[codes].all():
-                new = np.unique(codes[~self.known[codes]])
-                self.memo[new], self.known[new] = -np.log(self.probability(new)), True
-            s = self.memo[codes]
+        total, square, n = np.zeros(len(self.languages)), np.zeros(len(self.languages)), 0
+        for codes in trigrams(text):
+            s = self._costs(codes)
             total, square, n = total + s.sum(0, dtype=np.float64), square + np.einsum("ij,ij->j", s, s, dtype=np.float64), n + len(codes)
         return total / max(n, 1), square / max(n, 1), n
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the text is rejected."""
-        if not text or not self.languages or not _letters()[points(text)].any():
+        if not text or not self.languages:
             return "und", 0.0, True
         mean, _, n = self.surprise(text)
+        if n < 2:  # no letter
+            return "und", 0.0, True
         best = int(mean.argmin())
         score = 1 / np.exp(-np.minimum((mean - mean[best]) * min(n, 200), 700)).sum()
         level, spread, slack = self.limits[best]
-        rejected = bool(mean[best] > level + 4 * spread / math.sqrt(n) + slack)
+        rejected = bool(mean[best] > level + spread / math.sqrt(n) + slack)
         return self.languages[best], float(score) * (0.5 if rejected else 1.0), rejected
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": None, "known": None}
+        return self.__dict__ | {"held": None}
 
 
-def fit(docs: DataFrame, sample: int = 600, miss: float = 0.001) -> Models:
+def fit(docs: DataFrame, sample: int = 800, miss: float = 0.001, errors: float = 4.0, margin: float = 0.05, most_bytes: int = 256 << 20) -> Models:
     """Models from rows of ``docs`` with a language that aren't held out."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = dict(rows.groupBy("lang").count().collect())
-    languages = sorted(sizes)
-    if not languages:
-        return Models([], [], np.ones(0x110000, np.uint8))
-    number = {v: i for i, v in enumerate(languages)}
-    rate = F.create_map(*[F.lit(x) for v in languages for x in (v, min(1.0, sample / sizes[v]))])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < rate[F.col("lang")] * float(1 << 20)).select("lang", "text")
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for text in batch.column(1):
-                at = points(text.as_py())
-                counts += np.bincount(at, minlength=0x110000)
-        at = np.flatnonzero(counts * _letters())
-        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["point", "n"])
-
-    common = drawn.mapInArrow(letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(CLASSES - 2).collect()
-    classes = _letters().astype(np.uint8)
-    for i, (point, _) in enumerate(common):
-        classes[point] = i + 2
-    shared = spark.sparkContext.broadcast((classes, number))
+    if not sizes:
+        return Models([], [])
+    rate = F.create_map(*[F.lit(x) for v in sizes for x in (v, min(1.0, sample / sizes[v]))])
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20))
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < rate[F.col("lang")] * float(1 << 20)).dropDuplicates(["lang", "doc_id", "draw"])
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "doc_id", "draw"), F.lit(4)) == 0
+    fitted, calibrating = drawn.filter(~aside).select("lang", "text"), drawn.filter(aside).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, number = shared.value
-        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = points(text.as_py())
-                held = counts.setdefault(number[lang], np.zeros(CLASSES**3, np.int64))
-                for lo in range(0, len(at), _CHUNK):
-                    held += np.bincount(trigrams(at[lo : lo + _CHUNK], classes), minlength=CLASSES**3)
-        for i, held in counts.items():
-            at = np.flatnonzero(held)
-            yield pa.record_batch([pa.array(np.full(len(at), i)), pa.array(at), pa.array(held[at])], names=["language", "code", "n"])
-
-    counts: list[dict[int, int]] = [{} for _ in languages]
-    for i, code, n in drawn.mapInArrow(grams, "language long, code long, n long").groupBy("language", "code").agg(F.sum("n")).collect():
-        counts[i][code] = n
-    models = Models(languages, counts, classes)
-    fitted = spark.sparkContext.broadcast((models, number))
+                for part in trigrams(text.as_py()):
+                    code, n = np.unique(part, return_counts=True)
+                    yield pa.record_batch([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    for lang, code, n in fitted.mapInArrow(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n")).collect():
+        counts[lang][code] = n
+    languages = sorted(counts)
+    models = Models(languages, [counts[v] for v in languages])
+    if models.bytes() > most_bytes:
+        raise ValueError(f"models of {len(languages)} languages take {models.bytes()} bytes, more than may be broadcast")
+    shared = spark.sparkContext.broadcast(models)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, number = fitted.value
+        models = shared.value
+        number = {v: i for i, v in enumerate(models.languages)}
         for batch in batches:
             out = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 mean, square, n = models.surprise(text.as_py())
-                i = number[lang]
-                out.append((i, float(mean[i]), float(square[i]), n))
+                if lang in number and n > 1:
+                    out.append((number[lang], float(mean[number[lang]]), float(square[number[lang]]), n))
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["language", "mean", "square", "n"])
 
-    own = defaultdict(list)
-    for i, mean, square, n in drawn.mapInArrow(entropies, "language long, mean double, square double, n long").collect():
-        if n > 2:
-            own[i].append((mean, square, n))
+    # where a language has no document aside, those of the fit stand in
+    own: dict[int, list] = defaultdict(list)
+    for part in (calibrating, fitted):
+        missing = [v for i, v in enumerate(languages) if i not in own]
+        if missing:
+            for i, mean, square, n in part.filter(F.col("lang").isin(missing)).mapInArrow(entropies, "language long, mean double, square double, n long").collect():
+                own[i].append((mean, square, n))
     for i, seen in own.items():
-        mean, square, n = np.array(seen).T
+        mean, square, n = np.array(sorted(seen)).T
         level = np.average(mean, weights=n)
-        spread = math.sqrt(max(0.0, np.average(square, weights=n) - level**2))
-        models.limits[i] = level, spread, max(0.1, float(np.quantile(mean - level - 4 * spread / np.sqrt(n), 1 - miss)) * 1.5)
+        spread = errors * math.sqrt(max(0.0, np.average(square, weights=n) - level**2))
+        models.limits[i] = level, spread, max(0.0, float(np.quantile(mean - level - spread / np.sqrt(n), 1 - miss))) + margin
     return models
 
 

@@ -16,10 +16,12 @@ from pyspark.sql.types import StructType
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; where the session names none (tests on one machine), a temporary one is set."""
+    """The shared folder; a temporary one is set where the session names none and driver and tasks are one machine."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="trailweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,6 +38,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, names: tuple[str, ...], work) -> DataFrame:
+    """The rows that ``work`` makes of ``df``, with the columns of ``df`` as they were.
+
+    Columns that ``work`` makes too, by one of ``names``, wait under other names meanwhile.
+    """
+    taken = {c: f"_tw_kept_{i}" for i, c in enumerate(df.columns) if c.lower() in names}
+    out = work(df.withColumnsRenamed(taken))
+    return out.select(*[F.col(f"`{taken.get(c, c)}`").alias(c) for c in df.columns])
+
+
 def literal_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     """A table of the given rows (lists of values in the order of ``ddl``), made by SQL functions alone."""
     fields = [c.split() for c in ddl.split(",")]
