@@ -1,24 +1,33 @@
-"""License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
-
-Every line of a file that shares a rare word with a template is compared with all templates as a sparse TF-IDF
-vector (weights from the templates themselves, so they are the same for any corpus), and so are the sentences of a
-line and every run of words over line ends that is as long as a template and holds a rare word of it; the best of
-them decides the file's own license. A file is a licence file of its directory if its name says so, or if the matching text makes up
-at least half of its words. Files without a license inherit that of the nearest directory above that has one, by
-joins of directories with the licence files' directories; of several licence files in one directory the best match
-counts, then the smallest name.
-
-Defined cases: a null text has no license of its own; a null path has neither directory nor inheritance; repeated
-rows are judged alike; an empty table gives an empty result; a column of the input that is named like a new one
-gives way.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor inheritance.
+
+Templates are whole short licences, the opening blocks of long ones and the notices that point to them. They and all
+parts of a file are sparse TF-IDF vectors (weights from the templates themselves, so they are the same for any
+corpus). A file's parts are the whole file, its blocks between empty lines (a header is one), its lines, their
+sentences, and every run of words over line ends that starts with a line or a sentence and is as long as a template; parts without a rare word of a
+template are left out, as none could come near one. The best part decides the file's own license, if its cosine
+reaches ``LEAST``, if it leads the best template of any other license by ``MARGIN``, and if it has just the marks of
+the template: words that tell near relatives apart (``MARKS``: version numbers, lesser, affero, share-alike and so
+on). A near relative without a template of its own is thus no license rather than a wrong one.
+
+A file is a licence file of its directory if its name says so, or if the matching part makes up at least half of its
+words. Files without a license inherit that of the nearest directory above that has one, by joins of directories with
+the licence files' directories; of several licence files in one directory the best match counts, then the smallest
+name.
+
+Defined cases: a null or empty text has no license of its own; a null path has neither directory nor inheritance;
+repeated rows are judged alike; of equally good licenses the first by name counts; texts and lines of any length and
+case are judged the same way, whole; an empty table gives an empty result; a column of the input that is named like a
+new one gives way to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,22 +35,94 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.shared import extended, written
 
-#: Short public notices, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only"),
-    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
+#: Public licence texts and notices, by SPDX identifier.
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+_BSD_TERMS = (
+    " provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. "
+    "in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; "
+    "loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, "
+    "even if advised of the possibility of such damage"
+)
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+_MIT_TERMS = (
+    " and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, "
+    "and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software. "
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+
+
+def _gnu(name: str, version: str) -> tuple[str, ...]:
+    """Notices and opening blocks of a licence of the GNU family."""
+    return (
+        f"GNU {name} License Version {version}", f"This work is licensed under the GNU {name} License, version {version}",
+        f"it under the terms of the GNU {name} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version",
+        f"it under the terms of the GNU {name} License as published by the Free Software Foundation, version {version} of the License",
+    )
+
+
+def _cc(short: str, long: str) -> tuple[str, ...]:
+    return (f"Licensed under CC {short} 4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License")
+
+
+#: Texts of each license; "SPDX-License-Identifier: " and the name is one of each.
+TEXTS = {
+    "AGPL-3.0-only": _gnu("Affero General Public", "3"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License"),
+    "BSD-2-Clause": (_BSD + _BSD_TERMS + _BSD_END,),
+    "BSD-3-Clause": (_BSD, _BSD + _BSD_TERMS + "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "GPL-2.0-only": (*_gnu("General Public", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0-only": (*_gnu("General Public", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "ISC": (_ISC, _ISC + ". the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be liable for any special, direct, "
+            "indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"),
+    "LGPL-2.1-only": (*_gnu("Lesser General Public", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0-only": (*_gnu("Lesser General Public", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "MIT": ("Released under the MIT License", _MIT, _MIT + _MIT_TERMS + _AS_IS),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 }
-LEAST = 0.6
+TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in TEXTS.items()}
+#: Words that tell near relatives apart, and words that a version number follows.
+MARKS = frozenset(
+    "lesser affero fdl mit bsd isc apache mozilla sharealike noncommercial noderivatives attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
+    "attribution-noncommercial-noderivatives by-sa by-nc by-nd by-nc-sa by-nc-nd cc0 endorse endorses".split())
+_VERSIONED = frozenset("version v license licence gpl lgpl agpl mpl by".split()) | MARKS
+LEAST, MARGIN = 0.6, 0.02
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _SENTENCE = re.compile(r"[^.;|]+(?:\.\d[^.;|]*)*")
 _FILE = re.compile(r"(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?\Z", re.I)
-#: Words that make a line worth comparing: those of templates that are not everyday words.
-_EVERYDAY = frozenset("a and any are by forms form free in is of or person s source the this to under use version with without work binary obtaining copy subject code v charge terms".split())
+#: Words of templates that are everyday words: a part of these alone is no license.
+_EVERYDAY = frozenset(
+    "a above action advised agreed all an and any anyone appear applicable are arising as associated at author authors back basis be binary business but by can cause caused charge charges claim code commercial compile compiled compliance conditions "
+    "connection consequential contract contributors copies copy cover damage damages data deal dealings derived domain exemplary fitness general incidental into limitations means permit permissions procurement regard resulting so regard direct distribute distributed do documentation either even event except express failure fee file files following for form forms foundation free from furnished goods governing holder holders however if implied in included including indirect "
+    "international interruption is it its january june february kind language later law liability liable library limitation limited list loss lost made materials may means merge met modify must name names neither no nor not notice obtain obtaining of on "
+    "one option or other otherwise out particular performance person persons portions possibility prior products profits promote provided public publish published purpose purposes reproduce required restriction retain rights s see sell services shall "
+    "similar software source special specific strict subject substantial substitute such terms that the theory this to under unless use used v version warranties warranty was way what whatsoever whether whom with without work writing written you your "
+    "1 2 3 4.0 2.0 2.1 29 1991 1999 2004 2007 http www org".split())
+
+
+def marks_of(words: list[str]) -> frozenset[str]:
+    """The marks among words, and the version numbers."""
+    versions = {f"#{w}" for before, w in pairwise(words) if w[0].isdigit() and before in _VERSIONED}
+    return MARKS.intersection(words) | versions
 
 
 class Templates:
@@ -52,16 +133,17 @@ class Templates:
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in seen.items()}
         self.unknown = math.log(1 + len(bags)) + 1
         self.telling = frozenset(self.idf) - _EVERYDAY
+        self.marks = [marks_of(_WORD.findall(t.lower())) for texts in templates.values() for t in texts]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
             for w, n in bag.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
-        self.quick = re.compile("|".join(map(re.escape, sorted(self.telling))))
-        self.lengths = sorted({b.total() for b in bags})
+        # rare words of the templates of each length
+        self.lengths = {n: frozenset().union(*(b.keys() & self.telling for b in bags if b.total() == n)) for n in sorted({b.total() for b in bags})}
 
     def match(self, words: list[str]) -> tuple[float, str | None, int]:
-        """Best cosine, its license and the number of words."""
+        """Best cosine with a template that has the same marks, its license if it leads by ``MARGIN``, and the number of words."""
         bag = Counter(words)
         if self.telling.isdisjoint(bag):
             return 0.0, None, len(words)
@@ -70,36 +152,60 @@ class Templates:
             for i, v in self.postings.get(w, ()):
                 dots[i] += n * self.idf[w] * v
         norm = math.sqrt(sum((n * self.idf.get(w, self.unknown)) ** 2 for w, n in bag.items()))
-        i = min(dots, key=lambda i: (-dots[i], self.names[i]))
-        return dots[i] / norm, self.names[i], len(words)
+        marks = marks_of(words)
+        by_name: dict[str, float] = {}
+        for i, dot in dots.items():
+            if self.marks[i] == marks:
+                by_name[self.names[i]] = max(by_name.get(self.names[i], 0.0), round(dot / norm, 9))
+        if not by_name:
+            return 0.0, None, len(words)
+        name = min(by_name, key=lambda n: (-by_name[n], n))
+        second = max((v for n, v in by_name.items() if n != name), default=0.0)
+        return by_name[name], name if by_name[name] - second >= MARGIN else None, len(words)
 
     def parts(self, text: str) -> Iterator[list[str]]:
-        """Words of all lines, of their sentences, and of windows over line ends, where they hold a rare word."""
-        lines = [_WORD.findall(line) for line in text.split("\n")]
-        for line, words in zip(text.split("\n"), lines, strict=True):
+        """Words of the whole text, its blocks, lines, sentences, and of windows over line ends, where they hold a rare word."""
+        raw = text.split("\n")
+        lines = [_WORD.findall(line) for line in raw]
+        flat = [w for words in lines for w in words]
+        yield flat
+        block: list[list[str]] = []
+        for line, words in zip([*raw, ""], [*lines, []], strict=True):
+            if words:
+                block.append(words)
+            elif not line.strip(" \t\r*#/;-"):  # an empty line, also one of a comment
+                if len(block) > 1:
+                    yield [w for part in block for w in part]
+                block = []
+        for line, words in zip(raw, lines, strict=True):
             if self.telling.isdisjoint(words):
                 continue
             yield words
             sentences = _SENTENCE.findall(line)
             if len(sentences) > 1:
                 yield from map(_WORD.findall, sentences)
-        flat = [w for words in lines for w in words]
-        line_of = [i for i, words in enumerate(lines) for _ in words]
+        line_of, starts, at = [i for i, words in enumerate(lines) for _ in words], [], 0
+        for line, words in zip(raw, lines, strict=True):
+            begun = set(accumulate(len(_WORD.findall(x)) for x in _SENTENCE.findall(line))) | {0}
+            starts += [at + i for i in sorted(begun) if i < len(words)]
+            at += len(words)
         done = set()
-        for at in [i for i, w in enumerate(flat) if w in self.telling]:
-            for n in self.lengths:
-                for lo in range(max(0, at - n + 1), min(at, len(flat) - n) + 1):
-                    if line_of[lo] != line_of[lo + n - 1] and (lo, n) not in done:
-                        done.add((lo, n))
-                        yield flat[lo : lo + n]
+        for at, word in enumerate(flat):
+            if word in self.telling:
+                for n, rare in self.lengths.items():
+                    if word in rare:
+                        for lo in starts[bisect_right(starts, at - n) : bisect_right(starts, min(at, len(flat) - n))]:
+                            if line_of[lo] != line_of[lo + n - 1] and (lo, n) not in done:
+                                done.add((lo, n))
+                                yield flat[lo : lo + n]
 
     def scan(self, text: str | None) -> tuple[float, str | None, bool]:
         """Cosine and license of a text's best part, and whether that part is half of the text."""
         best, name, size = 0.0, None, 0
         text = (text or "").lower()
-        for words in self.parts(text) if self.quick.search(text) else ():
+        for words in () if self.telling.isdisjoint(_WORD.findall(text)) else self.parts(text):
             cosine, found, n = self.match(words)
-            if found and (cosine > best or (cosine == best and name is not None and found < name)):
+            if found and (cosine > best or (cosine == best and name is not None and (found, -n) < (name, -size))):
                 best, name, size = cosine, found, n
         if best < LEAST:
             return best, None, False
