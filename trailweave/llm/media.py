@@ -1,18 +1,20 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized by integral images to NPY tiles with hashes.
 
-Decoded: Netpbm P1 to P6 with 8-bit samples, and uncompressed BMP of 8, 24 or 32 bits. Images are arrays of height x width x channels
-of uint8. Resizing averages over boxes with fractional edges; sums come from an integral image that is built strip by
-strip and kept only at the rows and columns that the boxes need, so memory is bounded by a strip.
-
-Defined cases: a null medium, and one that can't be decoded, give null columns; an image without pixels too.
+Decoded: Netpbm P1 to P6 with 8-bit samples, and uncompressed BMP of 8, 24 or 32 bits (32 also by bit fields of whole
+bytes). Images are arrays of height x width x channels of uint8. Resizing averages over boxes with fractional edges;
+sums come from an integral image that is built strip by strip and kept only at the rows and columns that the boxes
+need. A strip holds ``_STRIP`` samples (or one row), whatever the width, so memory is bounded by a strip and the medium.
+
+Defined cases: a null medium, one that can't be decoded (no such format, cut off, with samples above their maximum or
+numbers beyond 64 bits) and an image without pixels give null columns, and no medium is an error; repeated rows give
+equal values; an empty table gives an empty result; columns of the input that are named like new ones give way to
+them. For texts: a null text is an empty one, a text of any length is stored whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.shared import extended
+from trailweave.llm.shared import extended, written
 
-#: Rows of an image that are summed up at once.
-_STRIP = 1 << 14
+#: Samples of an image that are summed up at once.
+_STRIP = 1 << 20
+#: What a medium that can't be decoded raises.
+_BROKEN = (ValueError, IndexError, OverflowError, struct.error)
 
 
 def encode_pgm(samples: bytes, width: int) -> bytes:
@@ -52,16 +56,23 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     kind = data[1] - 48
     numbers, at = _header(data, 2 if kind in (1, 4) else 3)
     width, height, most = [*numbers, 1][:3]
+    if width * height >= 1 << 40:
+        raise ValueError("no medium holds so many pixels")
     channels = 3 if kind in (3, 6) else 1
     if not 0 < most < 256:
         raise ValueError("only 8-bit samples")
-    if kind in (1, 2, 3):
-        text = data[at - 1 :]
-        values = np.frombuffer(text.translate(None, b" \t\r\n"), np.uint8) - 48 if kind == 1 else np.array(text.split(), np.int64)
+    size = width * height * channels
+    if kind == 1:
+        values = np.frombuffer(data[at - 1 :].translate(None, b" \t\r\n\v\f"), np.uint8)[:size] - 48
+        most = 1
+    elif kind in (2, 3):
+        values = np.array(data[at - 1 :].split()[:size], np.int64)
     elif kind == 4:
-        values = np.unpackbits(np.frombuffer(data, np.uint8, offset=at).reshape(height, -1), axis=1)[:, :width]
+        values = np.unpackbits(np.frombuffer(data, np.uint8, height * -(-width // 8), at).reshape(height, -1), axis=1)[:, :width].ravel()
     else:
-        values = np.frombuffer(data, np.uint8, width * height * channels, at)
+        values = np.frombuffer(data, np.uint8, size, at)
+    if len(values) != size or (size and (values.min() < 0 or values.max() > most)):
+        raise ValueError("samples are missing or above their maximum")
     if kind in (1, 4):
         values = 255 * (1 - values)
     elif most != 255:
@@ -73,13 +84,23 @@ def decode_bmp(data: bytes) -> np.ndarray:
     (start,), (head, width, height, _, bits, packed) = struct.unpack_from("<I", data, 10), struct.unpack_from("<IiiHHI", data, 14)
     if bits not in (8, 24, 32) or packed not in (0, 3):
         raise ValueError("only uncompressed 8, 24 or 32 bits")
+    if packed == 3 and bits != 32 or width < 0 or width * abs(height) >= 1 << 40:
+        raise ValueError("bit fields are for 32 bits, and sizes are positive")
     stride = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * bits // 8]
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
+        if colours > 256 or (rows.size and rows.max() >= colours):
+            raise ValueError("a colour that the palette doesn't have")
         image = np.frombuffer(data, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[rows][:, :, 2::-1]
     else:
-        image = rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+        bytes_of = [2, 1, 0]
+        if packed == 3:  # masks of red, green and blue follow the first 40 bytes of the header
+            masks = struct.unpack_from("<3I", data, 54)
+            bytes_of = [{0xFF << 8 * i: i for i in range(4)}.get(m, -1) for m in masks]
+            if -1 in bytes_of:
+                raise ValueError("a bit field must be a whole byte")
+        image = rows.reshape(abs(height), width, bits // 8)[:, :, bytes_of]
     return np.ascontiguousarray(image[::-1] if height > 0 else image)
 
 
@@ -103,8 +124,9 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     rows, columns, channels = image.shape
     (y, fy), (x, fx) = _edges(rows, height), _edges(columns, width)
     total, sums = np.zeros((width + 1, channels)), np.empty((height + 1, width + 1, channels))
-    for at in range(0, rows, _STRIP):
-        strip = image[at : at + _STRIP].astype(np.int64)
+    step = max(1, _STRIP // max(1, columns * channels))
+    for at in range(0, rows, step):
+        strip = image[at : at + step].astype(np.int64)
         across = np.concatenate([np.zeros((len(strip), 1, channels), np.int64), strip.cumsum(1)], axis=1)
         line = across[:, x] + fx[:, None] * (across[:, np.minimum(x + 1, columns)] - across[:, x])
         down = np.concatenate([total[None], total + line.cumsum(0)])  # integral image at rows at .. at + len(strip)
@@ -139,7 +161,7 @@ def media_features(media: DataFrame, column: str = "media", side: int = 16) -> D
     def one(data: bytes | None) -> tuple:
         try:
             image = decode(data) if data else None
-        except (ValueError, IndexError, struct.error):
+        except _BROKEN:
             image = None
         if image is None or not image.size:
             return (None,) * len(new)
@@ -160,27 +182,30 @@ def media_features(media: DataFrame, column: str = "media", side: int = 16) -> D
 UNIT, WIDTH = 576, 24
 
 
-def text_media(docs: DataFrame, side: int = 16) -> DataFrame:
-    """Every text stored as a greymap, read back and described: the digest columns of ``docs`` (doc_id, text).
-
-    The stored form and the samples that are read back live in the task alone, text by text; ``media_features``
-    keeps them as columns.
-    """
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile_crc32": pa.int64()}
-
-    def one(text: str | None) -> tuple:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        stored = encode_pgm(data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)), WIDTH)
-        image = decode(stored)
-        back = image.tobytes()
-        tile = npy(area_resize(image, side, side))
-        return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), zlib.crc32(tile)
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media (a greymap of the text's bytes, padded with 255 to whole units) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t.as_py()) for t in batch.column(1)]
-            columns = zip(*rows, strict=True) if rows else ((),) * 8
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, list(kinds.values())[1:], strict=True))], names=list(kinds))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(1)]
+                media = [encode_pgm(t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\xff"), WIDTH) for t in texts]
+                yield pa.record_batch([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+
+def text_media(docs: DataFrame, side: int = 16) -> DataFrame:
+    """Every text stored as a greymap, read back and described: the digest columns of ``docs`` (doc_id, text).
+
+    The greymaps are written to a table of the shared folder; from there they are read, decoded and resized, and their
+    NPY tiles and hashes are a second table.
+    """
+    stored = written(stored_texts(docs), "media")
+    read = media_features(stored, side=side)
+    checks = read.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), "tile")
+    tiles = written(checks, "tiles")
+    return tiles.select(*[c for c in tiles.columns if c != "tile"], F.crc32("tile").alias("tile_crc32"))
