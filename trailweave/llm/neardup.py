@@ -14,7 +14,10 @@ a budget of ten bits prunes no trie. ``keep_one`` therefore takes fingerprints o
 where such texts differ in 155 bits give or take 12. It cuts them into 32 keys of 32 bits, finds the pairs of keys
 that differ in at most two bits by the same trie join, and links those whose whole fingerprints differ in at most
 ``WIDE_BUDGET`` bits, which a task tests before it joins two components: 98 % of the pairs at similarity 0.8 share such
-a key, and nearly all above.
+a key, and nearly all above. (The further word that a key carries differs in 10 bits, give or take 3, at that
+similarity: its budget of 20 loses one such pair in 2,000 in a table, and a pair has several.) Texts of few shingles
+differ in more bits at the same similarity, so ``wide_budget`` grows for them: the bits that 0.8 is expected to cost
+for their number of shingles, and as many standard deviations as 176 is above 155.
 
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are hashed whole; a null doc_id takes part but is no representative unless its component has no other
@@ -25,13 +28,15 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from trailweave.llm.shared import extended, replace_columns, written
@@ -75,7 +80,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
     """``WIDE`` words of 64 bits, of the set of shingles: each shingle's hash is mixed anew for each word."""
-    hashes = np.unique(shingle_hashes(text, shingle))
+    return _wide(np.unique(shingle_hashes(text, shingle)))
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WIDE, np.uint64)
     out = np.empty((len(hashes), WIDE), np.uint64)
@@ -87,6 +95,25 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
     return _majority(out)
 
 
+def _differ(common: int, one: int, other: int) -> float:
+    """Chance that majorities of fair signs differ, of which ``common`` are shared and the rest are not."""
+    chances = [np.array([comb(m, k) for k in range(m + 1)], float) / 2.0**m for m in (common, one, other)]
+    x, y, z = (np.arange(len(c)) for c in chances)
+    for_one = ((x[:, None] + y) * 2 > common + one) @ chances[1]
+    for_other = ((x[:, None] + z) * 2 > common + other) @ chances[2]
+    return float(chances[0] @ (for_one * (1 - for_other) + for_other * (1 - for_one)))
+
+
+@lru_cache(1 << 10)
+def wide_budget(shingles: int) -> int:
+    """Bits that the wide fingerprints of two texts may differ in, of which the shorter has so many shingles."""
+    n = min(max(1, shingles), 256)
+    # similarity 0.8 by further shingles, and by replaced ones
+    p = max(_differ(n, 0, n // 4), _differ(n - n // 9, n // 9, n // 9))
+    bits = 64 * WIDE
+    return max(WIDE_BUDGET, round(bits * p + 1.8 * (bits * p * (1 - p)) ** 0.5)) if n < 256 else WIDE_BUDGET
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` with fp, the fingerprint as a signed long; a column of that name gives way."""
     docs = docs.drop("fp") if any(c.lower() == "fp" for c in docs.columns) else docs
@@ -224,8 +251,8 @@ def _with_candidates(keys: np.ndarray, check: np.ndarray, exact: int, before: li
     return has
 
 
-def _wide_forest(keys: np.ndarray, wide: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows a, b), fewer than rows (sorted keys), that connect all pairs of near keys and of fingerprints within ``WIDE_BUDGET`` bits."""
+def _wide_forest(keys: np.ndarray, wide: np.ndarray, room: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows a, b), fewer than rows (sorted keys), that connect all pairs of near keys and of fingerprints within ``room`` bits, the larger of the two rows'."""
     first, size, several = _grouped(keys)
     label, links = np.arange(len(keys)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
@@ -236,7 +263,7 @@ def _wide_forest(keys: np.ndarray, wide: np.ndarray, exact: int) -> tuple[np.nda
     for a, b in _row_pairs(chain([(several, several)], _trie_pairs(keys[first], KEY_BUDGET, exact)), first, size, matters):
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
-        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= WIDE_BUDGET
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= np.maximum(room[a], room[b])
         label = _join_forest(label, a[near], b[near], links)
     return tuple(np.concatenate(v) for v in zip(*links, strict=True))
 
@@ -288,12 +315,16 @@ def trie_links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def wide_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) of ``prints`` (fp long, wide array<long>), whose wide fingerprints differ in at most ``WIDE_BUDGET`` bits.
+    """Links (a, b) of ``prints`` (fp long, wide array<long>, room int), whose wide fingerprints differ in at most ``room`` bits.
+
+    ``room`` is the larger of the two rows', and ``WIDE_BUDGET`` where ``prints`` has no such column.
 
     The keys alone are dealt first, and only rows that have a candidate are dealt again with their whole fingerprints.
     So a task compares every candidate by all bits before it joins two components, and what it emits is a forest of
     true links, fewer than its rows.
     """
+    if "room" not in prints.columns:
+        prints = prints.withColumn("room", F.lit(WIDE_BUDGET))
     parts, tables = KEY_BUDGET + 1, 2 * WIDE
     cuts = [32 * i // parts for i in range(parts + 1)]
 
@@ -322,16 +353,16 @@ def wide_links(prints: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.full(len(fp), block, np.int32)), pa.array((keys >> np.uint64(64 - n)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(fp)], names=["block", "value", "key", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (keys, fp, wide) in _buckets(batches, 1 << 16):
+        for block, (keys, fp, wide, room) in _buckets(batches, 1 << 16):
             part = block % parts
             order = np.argsort(keys.view(np.uint64), kind="stable")
-            keys, fp, wide = keys.view(np.uint64)[order], fp[order], wide[order].view(np.uint64)
-            a, b = _wide_forest(keys, wide, cuts[part + 1] - cuts[part])
+            keys, fp, wide, room = keys.view(np.uint64)[order], fp[order], wide[order].view(np.uint64), room[order]
+            a, b = _wide_forest(keys, wide, room, cuts[part + 1] - cuts[part])
             yield _link_batch(fp[a], fp[b])
 
     dealt = _dealt(prints.select("fp", "wide").mapInArrow(deal, "block int, value int, key long, check long, fp long"))
     candidates = written(dealt.mapInArrow(kept, "block int, value int, key long, fp long"), "candidates")
-    whole = _dealt(candidates.join(prints.select("fp", "wide"), "fp").select("block", "value", "key", "fp", "wide"))
+    whole = _dealt(candidates.join(prints.select("fp", "wide", "room"), "fp").select("block", "value", "key", "fp", "wide", "room"))
     return whole.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -380,29 +411,32 @@ def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` (text last) without text, with wide, an array of longs."""
+    """``docs`` (text last) without text, with wide, an array of longs, and room, the bits that a near copy may differ in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            wide = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in texts]
+            wide = np.array([_wide(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "wide"])
+            room = pa.array([wide_budget(min(len(s), 256)) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, room], names=[*batch.schema.names[:-1], "wide", "room"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("wide", ArrayType(LongType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("wide", ArrayType(LongType())), StructField("room", IntegerType())]))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each component of near copies: that of the smallest doc_id, once.
 
-    Rows without a doc_id stay only where their component has no other, one of them.
+    Rows without a doc_id stay only where their component has no other, one of them. Texts are exchanged once, by the
+    pair of id and text hash that the semi-join and the choice among repeated rows share.
     """
     names = docs.columns
     row = replace_columns(docs, _tw_id=F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), _tw_text=F.xxhash64("text"))
     wide = wide_fingerprints(row.select("doc_id", "_tw_id", "_tw_text", "text"), shingle)
     slim = written(wide.withColumn("fp", F.xxhash64("wide")), "slim")
-    unique = written(slim.groupBy("fp").agg(F.any_value("wide").alias("wide")), "wide")
-    found = with_components(slim.drop("wide"), wide_links(unique))
+    unique = written(slim.groupBy("fp").agg(F.any_value("wide").alias("wide"), F.max("room").alias("room")), "wide")
+    found = with_components(slim.drop("wide", "room"), wide_links(unique))
     first = found.filter("doc_id <=> component_id").groupBy("root_fp", "_tw_id").agg(F.min("_tw_text").alias("_tw_text")).select("_tw_id", "_tw_text")
     kept = row.join(first, ["_tw_id", "_tw_text"], "left_semi")
     return kept.dropDuplicates(["_tw_id", "_tw_text"]).select(*[F.col(f"`{c}`") for c in names])
