@@ -3,7 +3,9 @@
 Each round counts, in one pass over the partitions, the exact weight and rows below evenly spaced candidate keys
 inside the intervals that are still open (the digits of the key are the candidates); the driver keeps a candidate
 as soon as it meets its target's tolerance and opens only the digit that straddles the target otherwise. What
-comes to the driver in a round is one row for each digit of each open interval, whatever the size of the data.
+comes to the driver in a round is one row for each digit of each open interval, whatever the size of the data; there
+are no more open intervals than targets, and with hashed keys and tolerances of a cell's half the first round leaves
+only the cells of keys that weigh more than a target's share.
 """
 
 from __future__ import annotations
@@ -21,17 +23,12 @@ HALF, WORD = 1 << 63, 1 << 64
 
 @dataclass(frozen=True)
 class Found:
-    """The boundary found for a target: keys below ``key`` weigh ``weight`` and number ``rows``.
-
-    ``straddle`` is the weight of the cell [key, end) if the target lies inside a cell that no key splits, else 0.
-    """
+    """The boundary found for a target: keys below ``key`` weigh ``weight`` and number ``rows``."""
 
     target: int
     key: int
-    end: int
     weight: int
     rows: int
-    straddle: int
 
 
 def signed(key: int) -> tuple[int, int]:
@@ -58,11 +55,11 @@ def totals(narrow: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1] or 0, r[2]) for r in narrow.groupBy("part").agg(F.sum("weight"), F.count(F.lit(1))).collect()}
 
 
-def locate(narrow: DataFrame, targets: dict[int, list[tuple[int, int]]], widths: list[int], exact: bool = False) -> dict[int, list[Found]]:
+def locate(narrow: DataFrame, targets: dict[int, list[tuple[int, int]]], widths: list[int]) -> dict[int, list[Found]]:
     """The boundary for each (weight, tolerance) in ``targets`` of each part, in the targets' order.
 
     ``narrow`` has part int, k1 and k2 long, weight long. ``widths`` are the digits' bits; a digit lies in one of
-    the two words. With ``exact`` the target's own cell is returned, else the nearer edge of it.
+    the two words. Where no key splits the target's cell, the nearer edge of it is the boundary.
     """
     spark, taken = narrow.sparkSession, 0
     found: dict[tuple[int, int], Found] = {}
@@ -90,20 +87,18 @@ def locate(narrow: DataFrame, targets: dict[int, list[tuple[int, int]]], widths:
                 for target, tolerance in here:
                     key, end = (((at << width) | digit) << (128 - taken - width)), ((((at << width) | digit) + 1) << (128 - taken - width))
                     low, high = target - below, below + weight - target
-                    if low <= tolerance and (low <= high or exact):
-                        found[part, target] = Found(target, key, end, below, rows_below, 0)
-                    elif high <= tolerance and not exact:
-                        found[part, target] = Found(target, end, end, below + weight, rows_below + count, 0)
+                    if low <= tolerance and low <= high:
+                        found[part, target] = Found(target, key, below, rows_below)
+                    elif high <= tolerance:
+                        found[part, target] = Found(target, end, below + weight, rows_below + count)
                     elif count > 1 and not last:
                         inside.append((target, tolerance))
-                    elif exact:
-                        found[part, target] = Found(target, key, end, below, rows_below, weight)
                     else:
-                        found[part, target] = Found(target, *((key, end, below, rows_below) if low <= high else (end, end, below + weight, rows_below + count)), 0)
+                        found[part, target] = Found(target, *((key, below, rows_below) if low <= high else (end, below + weight, rows_below + count)))
                 if inside:
                     opened[part, (at << width) | digit] = (below, rows_below, inside)
                 below, rows_below = below + weight, rows_below + count
             for target, _ in rest:  # at or beyond all the weight
-                found[part, target] = Found(target, 1 << 128, 1 << 128, below, rows_below, 0)
+                found[part, target] = Found(target, 1 << 128, below, rows_below)
         open_at, taken = opened, taken + width
     return {part: [found[part, t] for t, _ in ts] for part, ts in targets.items()}

@@ -52,7 +52,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, text: str = "text", doc_id
     """``docs`` with size, law, shard and slot.
 
     A shard's edge lies within ``tolerance`` of a shard's bytes (or half a row) from where it should be. A shard has
-    ``least_runs`` to ``most_runs`` runs of about ``run_bytes``; a run is what one task sorts, spilling if it must.
+    ``least_runs`` to ``most_runs`` runs of about ``run_bytes``; a run is what one task sorts, spilling if it must. The
+    bound on runs bounds what the driver plans with; it changes how long a run is, never which rows a shard gets.
     """
     k1, k2 = _key(F.col(text), F.col(doc_id))
     narrow = written(docs.select(F.lit(0).alias("part"), k1.alias("k1"), k2.alias("k2"), byte_size(F.col(text)).alias("weight")), "shard_keys")
