@@ -1,12 +1,12 @@
 """Sharding and mixing against plain Python on small tables with nulls, ties, repeated rows and clashing names."""
 
+import random
 import zlib
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trailweave.llm import mixing, sharding
 
@@ -50,16 +50,47 @@ def test_word_counts(spark):
     assert got == [0, 0, 7, 2, 1]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
-def test_water_fill(sizes):
-    weights = [1 + i % 3 for i in range(len(sizes))]
-    out = mixing.water_fill(sizes, weights, 3)
-    assert sum(out) == sum(sizes)
-    assert all(0 <= t <= 3 * s for t, s in zip(out, sizes, strict=True))
-    free = {Fraction(t) / w for t, w, s in zip(out, weights, sizes, strict=True) if t < 3 * s}
-    assert len(free) <= 1
-    assert all(t / w <= max(free) for t, w, s in zip(out, weights, sizes, strict=True) if free and t == 3 * s)
+def slow_fill(sizes, weights, most):
+    """Capped water-filling in whole fractions."""
+    left, out, free = Fraction(sum(sizes)), [Fraction(0)] * len(sizes), list(range(len(sizes)))
+    while free:
+        whole = sum(weights[i] for i in free)
+        above = [i for i in free if left * weights[i] / whole > most * sizes[i]]
+        for i in above or free:
+            out[i] = Fraction(most * sizes[i]) if above else left * weights[i] / whole
+        if not above:
+            break
+        left -= sum(out[i] for i in above)
+        free = [i for i in free if i not in set(above)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_water_fill(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 1, 5, 70, 1000, 10**6]) * rng.randrange(3) for _ in range([1, 3, 9, 40, 300, 2][seed])]
+    frame = spark.createDataFrame([(f"s{i:04}", n, i) for i, n in enumerate(sizes)], "source string, size long, place long")
+    got = {r.place: r.target for r in mixing.water_fill(frame, (1, 2, 3), 3).collect()}
+    wanted = slow_fill(sizes, [1 + i % 3 for i in range(len(sizes))], 3)
+    assert [got[i] for i in range(len(sizes))] == pytest.approx([float(t) for t in wanted], rel=1e-12)
+
+
+def test_any_number_of_sources(spark):
+    """Against plain Python: 700 sources, their numbers by code point, and every source's target met to the word."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(12), f"s{rng.randrange(700)}" if i % 50 else None) for i in range(6000)]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    got = {r.source: r.place for r in mixing.numbered_sources(table(spark, rows).select("source", F.length("text").alias("size"))).collect()}
+    assert got == {s: i for i, s in enumerate(order)}
+    wanted = dict(zip(order, slow_fill([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))], 3), strict=True))
+    taken = defaultdict(int)
+    for r in mixing.mix(table(spark, rows).repartition(7)).collect():
+        taken[r.source] += r.taken
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(float(wanted[r.source]))
+    assert all(taken[s] == int(t + Fraction(1, 2)) for s, t in wanted.items())
 
 
 @pytest.mark.parametrize("rows", [MIXED, [], [(1, None, None)], [(7, "same words", "s")] * 9, [(i, "w " * (i % 5), f"s{i % 4}") for i in range(200)]])
@@ -84,6 +115,4 @@ def test_repeats(spark):
 
 
 def test_crc_is_of_utf8(spark):
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(F.crc32(F.lit("äß").cast("binary"))).first()[0] == zlib.crc32("äß".encode())

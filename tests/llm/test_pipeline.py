@@ -69,3 +69,22 @@ def test_stages(spark):
         got[r.doc_id] += r.length
         full[r.sequence_id] += r.length
     assert got == wanted and max(full.values()) <= 1024
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Each stage keeps columns that are named like an operator's own, and takes nulls, repeats and long texts."""
+    import corpus_pipeline
+
+    start = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source")
+    long = spark.createDataFrame([(900_001, "Und das ist der lange Text. " * 20_000, "de", "s"), (900_002, None, None, None), (900_003, "", "en", "s"), (None, "Lo que no tiene nombre es lo que somos.", "es", None), (900_004, "twice the same words of the other", "en", "s"), (900_004, "twice the same words of the other", "en", "s")], start.schema)
+    own = {"score": "'s' || doc_id", "predicted": "'p'", "LANG_pred": "'l'", "lang_rejected": "'r'", "size": "-7", "source_size": "'x'", "target": "'t' || doc_id", "taken": "false", "copies": "99", "fp": "'f'", "room": "'m'", "wide": "'w'"}
+    docs = start.unionByName(long).selectExpr("*", *[f"{v} AS {k}" for k, v in own.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        assert out.filter("size = -7 AND copies = 99 AND NOT taken AND predicted = 'p' AND LANG_pred = 'l' AND fp = 'f' AND room = 'm' AND (doc_id IS NULL OR (target = 't' || doc_id AND score = 's' || doc_id))").count() == out.count() > 0
+        assert stage(spark, docs.limit(0), DIR).count() == 0, name
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, DIR).groupBy("doc_id").count().filter("count > 1")
+    assert kept.count() == 0
+    pack = dict(corpus_pipeline.STAGES)["packing"]
+    assert pack(spark, docs.limit(0), DIR).count() == 0 and pack(spark, docs.filter("doc_id > 900000 OR doc_id IS NULL"), DIR).filter("doc_id = 900002").first().length == 1
