@@ -1,8 +1,15 @@
 """A corpus pipeline: quality, language, near-duplicates, mixing and packing, each stage written and read again.
 
 Every stage works on all rows that the stage before kept. The stages before the last return the columns of
-``documents``: the filters drop the rows that they reject, the near-duplicate stage keeps one document of each
-component, and the mix repeats each document as often as the mix takes it (a document that it takes no copy of goes).
+``documents`` as they were, whatever their names: the filters drop the rows that they reject, the near-duplicate stage
+keeps one document of each component, and the mix repeats each document as often as the mix takes it (a document that
+it takes no copy of goes).
+
+Defined cases, stage by stage: null and empty texts get the share of good labels as their score (quality), are
+rejected (language), are copies of one another (near-duplicates), take nothing (mixing) and are their end token alone
+(packing). Repeated rows are judged alike, stay once, and repeat as their copies say. Rows without a doc_id are judged
+like others; of a component they stay only where no row has one. An empty table passes through as an empty table.
+Further columns stay, also those that are named like an operator's own.
 """
 
 from __future__ import annotations
@@ -12,21 +19,18 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import langid, mixing, neardup, packing, quality
 from trailweave.llm.queries import tokenizer_path
-from trailweave.llm.shared import written
+from trailweave.llm.shared import beside, written
 from trailweave.session import ship
 
 
-def _columns(df: DataFrame, of: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in of.columns])
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     voters = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _columns(quality.score(docs, voters).filter("predicted = 1"), docs)
+    return beside(docs, ("score", "predicted"), lambda d: quality.score(d, voters).filter("predicted = 1"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(langid.identify(docs, langid.fit(docs)).filter("NOT lang_rejected"), docs)
+    models = langid.fit(docs)
+    return beside(docs, ("lang_pred", "score", "lang_rejected"), lambda d: langid.identify(d, models).filter("NOT lang_rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(mixing.repeated(mixing.mix(docs)), docs)
+    return beside(docs, ("size", "source_size", "target", "taken", "copies"), lambda d: mixing.repeated(mixing.mix(d)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
