@@ -76,7 +76,7 @@ def _weighed(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.n
     for row, (columns, counts) in zip(dense, bags, strict=True):
         row[columns] = np.log1p(counts)
     dense *= idf
-    out = np.empty(dense.shape)
+    out = np.empty(dense.shape, np.float32)
     for lo, hi, share in zip((0, SHAPES, DIMENSIONS - 1), (SHAPES, DIMENSIONS - 1, DIMENSIONS), SHARES, strict=True):
         part = dense[:, lo:hi].astype(np.float64)
         # np.sqrt and division are exact in each element; the sums of squares are of floats cut to 12 bits
@@ -95,7 +95,7 @@ class Voters:
 
     def latent(self, weighed: np.ndarray) -> np.ndarray:
         """Latent vectors of length ``_UNIT`` in whole numbers (zero for an empty bag)."""
-        rows = weighed @ self.directions
+        rows = weighed.astype(np.float64) @ self.directions
         return np.rint(rows / np.maximum(np.sqrt((np.rint(rows / _FINE) ** 2).sum(1, keepdims=True)) * _FINE, 1e-12) * _UNIT)
 
     def scores(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -113,7 +113,7 @@ class Voters:
 
 def _directions(rows: np.ndarray, rounds: int = 6) -> np.ndarray:
     """The leading right singular vectors, times ``_FINE`` in whole numbers, by subspace iteration from a seeded start."""
-    some = np.random.default_rng(3).normal(size=(rows.shape[1], min(LATENT + 16, rows.shape[0])))
+    some = np.random.default_rng(3).normal(size=(rows.shape[1], min(LATENT + 16, rows.shape[0]))).astype(np.float32)
     for _ in range(rounds):
         some, _ = np.linalg.qr(rows.T @ (rows @ some))
     _, _, turned = np.linalg.svd(rows @ some, full_matrices=False)
@@ -135,21 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Voters:
             found = [features(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0).cast(pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["label", "columns", "counts"])
 
-    got = rows.mapInArrow(bags, "label int, columns array<int>, counts array<float>").collect()
-    got = sorted(got, key=lambda r: (r[0], r[1], r[2]))
-    label = np.array([r[0] for r in got], np.float64)
+    got = [b for b in rows.mapInArrow(bags, "label int, columns array<int>, counts array<float>").toArrow().to_batches() if b.num_rows]
+    found = [(label, columns.values.to_numpy(), counts.values.to_numpy()) for b in got for label, columns, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True)]
+    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    label = np.array([r[0] for r in found], np.float64)
     share = float(label.mean()) if len(label) else 0.5
-    got_bags = [(np.array(r[1], np.int32), np.array(r[2], np.float32)) for r in got]
+    got_bags = [r[1:] for r in found]
     seen = np.zeros(DIMENSIONS)
     for columns, _ in got_bags:
         seen[columns] += 1
-    idf = np.log((1 + len(got)) / (1 + seen)).astype(np.float32) + 1
+    idf = np.log((1 + len(found)) / (1 + seen)).astype(np.float32) + 1
     if not seen.any():
         return Voters(idf, np.zeros((DIMENSIONS, 1)), np.zeros((0, 1)), label, share)
-    weighed = _weighed(got_bags, idf)
+    weighed = np.concatenate([_weighed(got_bags[lo : lo + _ROWS], idf) for lo in range(0, len(got_bags), _ROWS)])
     filled = np.flatnonzero(weighed.any(1))
-    voters = Voters(idf, _directions(weighed / _FINE), np.zeros((0, 1)), label[filled], share)
-    voters.vectors = voters.latent(weighed[filled])
+    voters = Voters(idf, _directions(weighed), np.zeros((0, 1)), label[filled], share)
+    voters.vectors = np.concatenate([voters.latent(weighed[filled[lo : lo + _ROWS]]) for lo in range(0, len(filled), _ROWS)])
     return voters
 
 
