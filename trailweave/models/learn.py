@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.session import written
+
 
 def scales(rows: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
     """Median, mean and population standard deviation of each column."""
@@ -28,11 +30,12 @@ def standardized(rows: DataFrame, names: list[str], by: dict[str, tuple[float, f
 
 def behaviour_groups(rows: DataFrame, names: list[str], k: int = 8, seeds: int = 10) -> DataFrame:
     """``rows`` with behavior_group from 1: the best of several k-means runs on z-scores."""
-    ready = standardized(rows, names, scales(rows, names)).cache()
-    runs = [KMeans(k=min(k, ready.count()), featuresCol="z", predictionCol="_g", seed=s).fit(ready) for s in range(seeds)]
+    kept = written(rows, "to_group")
+    ready = standardized(kept, names, scales(kept, names))
+    groups = min(k, kept.count())
+    runs = [KMeans(k=groups, featuresCol="z", predictionCol="_g", seed=s).fit(ready) for s in range(seeds)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
-    out = best.transform(ready).withColumn("behavior_group", F.col("_g") + 1).drop("_g", "z")
-    return out
+    return best.transform(ready).withColumn("behavior_group", F.col("_g") + 1).drop("_g", "z")
 
 
 def calibrator(rows: DataFrame, names: list[str], label: str = "label", c: float = 10.0):
@@ -87,24 +90,25 @@ class GraphSage:
         self.b = [np.zeros(hidden), np.zeros(hidden), np.zeros(1)]
         self.by: dict = {}
 
-    @staticmethod
-    def _mean(x: np.ndarray, near: list[list[int]]) -> np.ndarray:
-        return np.array([x[n].mean(0) if n else np.zeros(x.shape[1]) for n in near])
-
     def fit(self, x: np.ndarray, near: list[list[int]], y: np.ndarray, epochs: int = 100, rate: float = 0.008, decay: float = 0.01) -> GraphSage:
         """Full-batch Adam on weighted cross-entropy."""
         n = len(x)
-        mean = np.zeros((n, n))
-        for i, ns in enumerate(near):
-            for j in ns:
-                mean[i, j] += 1 / len(ns)
+        # links as two index lists: a row's mean over its neighbours, and what flows back
+        to, of = np.repeat(np.arange(n), [len(ns) for ns in near]), np.array([j for ns in near for j in ns], int)
+        share = 1 / np.array([len(ns) for ns in near for _ in ns], float)[:, None]
+
+        def around(rows: np.ndarray, target: np.ndarray, source: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, rows.shape[1]))
+            np.add.at(out, target, rows[source] * share)
+            return out
+
         positive = max(1.0, (y == 0).sum() / max(1, (y == 1).sum()))
         params = [*self.w, *self.b]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, epochs + 1):
-            a0 = np.hstack([x, mean @ x])
+            a0 = np.hstack([x, around(x, to, of)])
             z1 = a0 @ self.w[0] + self.b[0]
-            a1 = np.hstack([np.maximum(z1, 0), mean @ np.maximum(z1, 0)])
+            a1 = np.hstack([np.maximum(z1, 0), around(np.maximum(z1, 0), to, of)])
             z2 = a1 @ self.w[1] + self.b[1]
             h2 = np.maximum(z2, 0)
             p = 1 / (1 + np.exp(-(h2 @ self.w[2] + self.b[2])[:, 0]))
@@ -112,7 +116,7 @@ class GraphSage:
             d2 = (d3 @ self.w[2].T) * (z2 > 0)
             da1 = d2 @ self.w[1].T
             k = z1.shape[1]
-            d1 = (da1[:, :k] + mean.T @ da1[:, k:]) * (z1 > 0)
+            d1 = (da1[:, :k] + around(da1[:, k:], of, to)) * (z1 > 0)
             grads = [a0.T @ d1, a1.T @ d2, h2.T @ d3, d1.sum(0), d2.sum(0), d3.sum(0)]
             for i, (q, g) in enumerate(zip(params, grads, strict=True)):
                 g = g + decay * q

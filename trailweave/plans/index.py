@@ -17,9 +17,15 @@ STATES = ("New", "Triaging", "Escalated", "Dismissed")
 
 
 def check_config(weights: dict[str, float], decay: float) -> None:
-    if set(weights) != set(WEIGHTS) or any(not math.isfinite(w) or w < 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-6:
-        raise ValueError("weights must be finite, nonnegative, of the five terms, and sum to 1")
-    if not 0 < decay <= 1:
+    """Refuses weights and decays that would take the index out of 0 to 100."""
+    if missing := WEIGHTS.keys() ^ weights.keys():
+        raise ValueError(f"weights must be of the five terms: {sorted(missing)}")
+    for term, weight in weights.items():
+        if not 0 <= weight < math.inf:
+            raise ValueError(f"the weight of {term} must be finite and nonnegative")
+    if not math.isclose(math.fsum(weights.values()), 1, rel_tol=0, abs_tol=1e-6):
+        raise ValueError("weights must sum to 1")
+    if decay > 1 or not decay > 0:
         raise ValueError("decay must be above 0 and at most 1")
 
 

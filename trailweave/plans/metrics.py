@@ -27,6 +27,25 @@ def percentile_ranks(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return both.withColumn("upto", running + base).filter("row = 1").select("id", "v", (F.col("upto") / max(n, 1)).alias("percentile"))
 
 
+def counts_from(rows: DataFrame) -> DataFrame:
+    """(v, n): for each distinct value of ``rows`` (v double, w long), the sum of w over all rows of at least that value.
+
+    Values are cut into ranges by quantiles; a range's running sum starts with the sums of the ranges above it.
+    """
+    per = rows.groupBy("v").agg(F.sum("w").alias("w"))
+    cuts = sorted(set(per.approxQuantile("v", [i / 64 for i in range(1, 64)], 0.005)))
+    part = F.aggregate(F.array(*[F.lit(float(x)) for x in cuts]), F.lit(0), lambda a, x: a + (x < F.col("v")).cast("int")) if cuts else F.lit(0)
+    placed = per.withColumn("part", part)
+    sums = dict(placed.groupBy("part").agg(F.sum("w")).collect())  # 64 rows at most
+    above, so_far = {}, 0
+    for p in sorted(sums, reverse=True):
+        above[p] = so_far
+        so_far += sums[p]
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in above.items() for x in pair]), F.col("part").cast("long")) if above else F.lit(0)
+    down = Window.partitionBy("part").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select("v", (F.sum("w").over(down) + base).alias("n"))
+
+
 def detection(scored: DataFrame, threshold: float, k: int = 20) -> DataFrame:
     """One row of metrics of ``scored`` (id, score, label): precision at k, at a threshold, and average precision.
 
@@ -37,9 +56,10 @@ def detection(scored: DataFrame, threshold: float, k: int = 20) -> DataFrame:
     flat = scored.agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.count_if(over).alias("over"), F.sum(F.when(over, F.col("label"))).alias("hit"),
         F.count_if(over & (F.col("label") == 0)).alias("wrong"), F.count_if(F.col("label") == 0).alias("negatives"))
-    steps = scored.groupBy("score").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = steps.select("tp", (F.col("tp") * F.sum("tp").over(order) / F.sum("n").over(order)).alias("part")).agg((F.sum("part") / F.greatest(F.lit(1), F.sum("tp"))).alias("ap"))
+    values = scored.select(F.col("score").cast("double").alias("v"), F.col("label").cast("long").alias("label"))
+    upto = counts_from(values.select("v", F.lit(1).cast("long").alias("w"))).join(counts_from(values.select("v", F.col("label").alias("w"))).withColumnRenamed("n", "hits"), "v")
+    steps = values.groupBy("v").agg(F.sum("label").alias("tp")).join(upto, "v")
+    curve = steps.select("tp", (F.col("tp") * F.col("hits") / F.col("n")).alias("part")).agg((F.sum("part") / F.greatest(F.lit(1), F.sum("tp"))).alias("ap"))
     one = F.lit(1).alias("one")
     row = flat.select("*", one).join(top.select("*", one), "one").join(curve.select("*", one), "one")
     r = lambda c: F.round(c, 9)

@@ -21,21 +21,30 @@ def session(app: str = "trailweave", master: str | None = None, **conf: str) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a temporary one is set where the session names none and all run on one machine."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="trailweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts its lineage and outlives any executor."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, which goes when the application ends."""
     path = f"{shared_root(spark)}/trailweave-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(top)
     top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage and outlives any executor."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
