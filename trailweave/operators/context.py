@@ -16,6 +16,12 @@ def is_output() -> Column:
     return F.col("direction") == "output"
 
 
+def sides(flows: DataFrame) -> DataFrame:
+    """address, kind: whether an address is among inputs, outputs or both. One aggregate gives intersection and both differences."""
+    seen = flows.groupBy("address").agg(F.max(is_input()).alias("i"), F.max(is_output()).alias("o"))
+    return seen.select("address", F.when(F.col("i") & F.col("o"), "both").when(F.col("i"), "inputs only").otherwise("outputs only").alias("kind"))
+
+
 def transaction_shapes(flows: DataFrame) -> DataFrame:
     """Per txid: n_in, n_out, in_sats, out_sats, round_outs, most_equal (largest number of equal outputs), distinct_in.
 

@@ -30,6 +30,11 @@ def spends(flows: DataFrame, transactions: DataFrame) -> DataFrame:
     return mine.join(shaped, "txid")
 
 
+def placed(spent: DataFrame) -> DataFrame:
+    """``spent`` with place, the number of the spend among those of its address, in the total order of time and txid."""
+    return spent.withColumn("place", F.row_number().over(Window.partitionBy("address").orderBy("first_seen", "txid")).cast("long"))
+
+
 def gaps(spent: DataFrame) -> DataFrame:
     """``spent`` with gap, the seconds since the address's spend before."""
     order = Window.partitionBy("address").orderBy("first_seen", "txid")

@@ -10,15 +10,16 @@ from trailweave.operators import context as cx
 from trailweave.operators import drift, rules, taint
 from trailweave.operators import features as ft
 from trailweave.plans import audit, index, metrics, views
-from trailweave.plans.proxies import FLOWS, OBS, SPARSE, TX, flows, observations, seeds, table, transactions
+from trailweave.plans.proxies import FLOWS, OBS, TX, flows, observations, seeds, table, transactions
 from trailweave.plans.queries import EDGES, FIRST, MIXERS, SHAPES
 from trailweave.session import written
 
 ENTITIES = """inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
 sized AS (SELECT txid, min(address) AS a FROM inputs WHERE txid NOT IN (SELECT txid FROM mixers) GROUP BY txid HAVING count(*) BETWEEN 2 AND 20),
 links AS (SELECT DISTINCT a, address AS b FROM inputs JOIN sized USING (txid) WHERE address <> a), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT DISTINCT a AS address, a AS other FROM both_ways UNION SELECT r.address, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
-roots AS (SELECT f.address AS address, coalesce(least(min(other), f.address), f.address) AS root FROM (SELECT DISTINCT address FROM p_flows) f LEFT JOIN reach r ON r.address = f.address GROUP BY f.address),
+steps AS (SELECT a, b FROM both_ways UNION SELECT address, address FROM p_flows),
+labels AS (SELECT DISTINCT address, address AS root, 0 AS it FROM p_flows UNION ALL SELECT w.b, min(l.root), max(it) + 1 FROM labels l JOIN steps w ON w.a = l.address WHERE it < 40 GROUP BY w.b),
+roots AS (SELECT address, root FROM labels WHERE it = 40),
 named AS (SELECT root, 'entity:' || substr(sha256(string_agg(address, '|' ORDER BY address)), 1, 16) AS entity_id, CAST(count(*) AS INTEGER) AS n_members FROM roots GROUP BY root)"""
 
 QUERIES: dict = {}
@@ -44,26 +45,43 @@ def ego_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ego_edges(flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir), "A7")
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {EDGES}, roots AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
+@query(f"""WITH RECURSIVE {FLOWS}, {EDGES}, roots AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
 ends AS (SELECT dst AS address, count(*) AS funders FROM edges WHERE dst NOT IN (SELECT src FROM edges) GROUP BY dst HAVING count(*) >= 3),
 walk AS (SELECT address AS root, address, 0 AS hops FROM roots UNION SELECT root, dst, hops + 1 FROM walk JOIN edges ON src = address WHERE hops < 6),
 least_hops AS (SELECT root, address, min(hops) AS hops FROM walk GROUP BY ALL),
 ranked AS (SELECT root, l.address AS endpoint, hops, round(least(0.75, 0.3 + funders * 0.02), 6) AS score, row_number() OVER (PARTITION BY root ORDER BY least(0.75, 0.3 + funders * 0.02) DESC, l.address) AS n FROM least_hops l JOIN ends ON ends.address = l.address WHERE hops > 0)
 SELECT root AS address, endpoint, CAST(hops AS INTEGER) AS hops, CAST(score AS DOUBLE) AS score FROM ranked WHERE n <= 5""")
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.endpoints(flows(spark, sf_dir, True), seeds(spark, sf_dir)).select("address", "endpoint", "hops", F.round("score", 6).alias("score"))
+    return taint.endpoints(flows(spark, sf_dir), seeds(spark, sf_dir)).select("address", "endpoint", "hops", F.round("score", 6).alias("score"))
 
 
-@query()
-def endpoints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``endpoints`` over all orders."""
-    return taint.endpoints(flows(spark, sf_dir), seeds(spark, sf_dir, sparse=False)).select("address", "endpoint", "hops", F.round("score", 6).alias("score"))
 
 
-@query()
+LEDGER = """seeds AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
+timed AS MATERIALIZED (SELECT f.*, first_seen, f.address IN (SELECT address FROM seeds) AS seed FROM p_flows f JOIN p_tx USING (txid)),
+sums AS (SELECT *, coalesce(sum(CASE WHEN direction = 'input' THEN -amount_sats ELSE amount_sats END) OVER b, 0) AS s, coalesce(count(*) FILTER (direction = 'input') OVER b, 0) AS spent, count(*) FILTER (direction = 'input') OVER (PARTITION BY address) AS spends
+         FROM timed WINDOW b AS (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lows AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS UNBOUNDED PRECEDING)) AS balance FROM sums),
+spends AS MATERIALIZED (SELECT address, spent + 1 AS k, txid, amount_sats, amount_sats::DOUBLE / greatest(balance, amount_sats, 1)::DOUBLE AS share, spent + 1 = spends AS last, seed FROM lows WHERE direction = 'input'),
+totals AS (SELECT txid, greatest(sum(amount_sats), 1)::DOUBLE AS total FROM p_flows WHERE direction = 'input' GROUP BY txid),
+outs AS MATERIALIZED (SELECT l.txid, address, CASE WHEN spent < spends THEN spent + 1 END AS k, amount_sats / total * 0.9 AS part FROM lows l JOIN totals t ON t.txid = l.txid WHERE direction = 'output' AND NOT seed),
+steps AS MATERIALIZED (
+    SELECT i.address AS a, i.k AS ka, o.address AS b, o.k AS kb, sum(i.share * o.part) AS w FROM spends i JOIN outs o ON o.txid = i.txid WHERE NOT i.seed AND o.k IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT address, k, address, k + 1, 1 - share FROM spends WHERE NOT seed AND NOT last),
+begin AS (SELECT i.address AS seed, o.address, o.k, sum(i.amount_sats * o.part) AS mass FROM spends i JOIN outs o ON o.txid = i.txid WHERE i.seed GROUP BY ALL),
+waves AS (SELECT seed, address, k, mass, 0 AS it FROM begin WHERE k IS NOT NULL
+          UNION ALL SELECT v.seed, t.b, t.kb, sum(v.mass * t.w), max(it) + 1 FROM waves v JOIN steps t ON t.a = v.address AND t.ka = v.k GROUP BY v.seed, t.b, t.kb HAVING sum(v.mass * t.w) > 0),
+at_spend AS (SELECT seed, address, k, sum(mass) AS mass FROM waves GROUP BY ALL),
+gains AS (SELECT seed, address, mass FROM begin UNION ALL SELECT v.seed, o.address, v.mass * i.share * o.part FROM at_spend v JOIN spends i ON i.address = v.address AND i.k = v.k JOIN outs o ON o.txid = i.txid),
+exposed AS (SELECT seed, address, sum(mass) AS exposed FROM gains WHERE mass > 0 GROUP BY ALL), got AS (SELECT address, sum(amount_sats)::DOUBLE AS received FROM p_flows WHERE direction = 'output' GROUP BY address)"""
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {LEDGER}
+SELECT address, seed, round(least(1.0, exposed / greatest(received, 1.0)), 6) AS fraction, received FROM exposed JOIN got USING (address)
+UNION ALL SELECT DISTINCT address, address, 1.0, 0.0 FROM spends WHERE seed""")
 def haircut_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = [r[0] for r in seeds(spark, sf_dir, sparse=False).collect()]
-    return taint.haircut(flows(spark, sf_dir), transactions(spark, sf_dir), known)
+    known = [r[0] for r in seeds(spark, sf_dir).collect()]
+    return taint.haircut(flows(spark, sf_dir), transactions(spark, sf_dir), known).select("address", "seed", F.round("fraction", 6).alias("fraction"), "received")
 
 
 @query()
@@ -71,16 +89,12 @@ def behavioural_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.behavioural_drift(ft.spends(flows(spark, sf_dir), transactions(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, {ENTITIES}
+@query(f"""WITH RECURSIVE {FLOWS}, {MIXERS}, {ENTITIES}
 SELECT address, entity_id, n_members FROM roots JOIN named USING (root)""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.entities(flows(spark, sf_dir, True))
+    return cx.entities(flows(spark, sf_dir))
 
 
-@query()
-def entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entities`` over all orders."""
-    return cx.entities(flows(spark, sf_dir))
 
 
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +136,6 @@ def behaviour_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.behaviour_groups(rows, list(ft.CHAIN), seeds=2).select("address", "behavior_group")
 
 
-@query("""WITH ordered AS (SELECT event_id + 1 AS seq, props AS payload FROM events)
-SELECT count(*) AS n, count(DISTINCT payload) AS payloads, min(seq) AS first_seq, max(seq) AS last_seq, 0 AS broken FROM ordered""")
-def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = written(audit.extend(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload")), ["event_id"]), "chain")
-    broken = audit.broken_links(chain).agg(F.count(F.lit(1)).cast("int").alias("broken")).withColumn("one", F.lit(1))
-    flat = chain.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("payload").alias("payloads"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).withColumn("one", F.lit(1))
-    return flat.join(broken, "one").drop("one")
-
-
 @query(f"""WITH {OBS}, ordered AS (SELECT src_ip, timestamp, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY src_ip ORDER BY timestamp, id) < 3600000000 THEN 0 ELSE 1 END AS starts, id FROM p_obs),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY src_ip ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS s FROM ordered)
 SELECT src_ip, epoch_us(min(timestamp)) AS start_micros, count(*) AS n FROM numbered GROUP BY src_ip, s""")
@@ -153,11 +158,11 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scenario", "label", "n", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "fpr")])
 
 
-@query(f"""WITH {FLOWS} SELECT txid, address, amount_sats, printf('%d.%08d', amount_sats // 100000000, amount_sats % 100000000) AS btc FROM p_flows WHERE direction = 'output' AND address LIKE 'S%'""")
+@query(f"""WITH {FLOWS} SELECT txid, address, amount_sats, printf('%d.%08d', amount_sats // 100000000, amount_sats % 100000000) AS btc FROM p_flows""")
 def btc_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.sources.references import btc
 
-    return flows(spark, sf_dir).filter(cx.is_output() & F.col("address").startswith("S")).select("txid", "address", "amount_sats", btc(F.col("amount_sats")).alias("btc"))
+    return flows(spark, sf_dir).select("txid", "address", "amount_sats", btc(F.col("amount_sats")).alias("btc"))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_nationkey AS value FROM customer), z AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s, median(c_acctbal) AS med FROM customer)
@@ -169,30 +174,26 @@ def feature_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.round(z, 6).alias("z"), (F.abs(z) > 1.5).alias("far"))
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
-    f = flows(spark, sf_dir, sparse)
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = flows(spark, sf_dir)
     linked = cx.relay_associations(f, observations(spark, sf_dir), window_s=604_800)
     lists = learn.neighbour_lists(cx.entities(f).select("address", "entity_id"), linked)
     return lists.select("address", F.posexplode("neighbours").alias("place", "neighbour")).select("address", "neighbour", (F.col("place") + 1).alias("place"))
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, {ENTITIES}, {OBS}, {FIRST},
+@query(f"""WITH RECURSIVE {FLOWS}, {MIXERS}, {ENTITIES}, {OBS}, {FIRST},
 kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
 pairs AS (SELECT a.txid AS t1, b.txid AS t2 FROM kept a JOIN kept b ON a.src_ip = b.src_ip AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000),
 assoc AS (SELECT s.address AS x, t.address AS y FROM pairs JOIN inputs s ON s.txid = t1 JOIN inputs t ON t.txid = t2 WHERE s.address <> t.address),
 near AS (SELECT a.address AS address, b.address AS other FROM roots a JOIN roots b ON a.root = b.root AND a.address <> b.address UNION SELECT x, y FROM assoc UNION SELECT y, x FROM assoc)
 SELECT address, other AS neighbour, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY other) AS n FROM near) WHERE n <= 16""")
 def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir, True)
+    return _neighbours(spark, sf_dir)
 
 
-@query()
-def neighbour_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``neighbour_lists`` over all orders."""
-    return _neighbours(spark, sf_dir, False)
 
 
-@query("""SELECT o_custkey AS actor, o_orderkey AS txid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'""")
+@query("""SELECT o_custkey AS actor, o_orderkey AS txid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders""")
 def ordered_spends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("actor"), F.col("o_orderkey").alias("txid"), F.row_number().over(order).cast("long").alias("place"))
+    spent = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("address"), F.col("o_orderkey").alias("txid"), F.col("o_orderdate").alias("first_seen"))
+    return ft.placed(spent).select(F.col("address").alias("actor"), "txid", "place")

@@ -10,11 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flows(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Lines as inputs (returned) and outputs; ``sparse`` keeps every tenth order."""
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as inputs (returned) and outputs."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
-    if sparse:
-        lines = lines.filter("l_orderkey % 10 = 0")
     back = F.col("l_returnflag") == "R"
     rows = lines.select(
         F.col("l_orderkey").alias("txid"), F.when(back, "input").otherwise("output").alias("direction"),
@@ -25,26 +23,24 @@ def flows(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txid"), F.col("o_orderdate").alias("first_seen"), F.lit(None).cast("long").alias("fee_sats"), F.lit(None).cast("int").alias("vsize"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txid"), F.col("o_orderdate").alias("first_seen"), F.lit(None).cast("long").alias("fee_sats"), F.when(F.col("o_orderkey") % 5 > 0, (140 + F.col("o_orderkey") % 211).cast("int")).alias("vsize"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("txid"), F.col("ts").alias("timestamp"), F.concat(F.lit("ip"), F.col("user_id")).alias("src_ip"))
 
 
-def seeds(spark: SparkSession, sf_dir: str, k: int = 3, sparse: bool = True) -> DataFrame:
+def seeds(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     """The first k addresses of inputs."""
-    return flows(spark, sf_dir, sparse).filter("direction = 'input'").select("address").distinct().orderBy("address").limit(k)
+    return flows(spark, sf_dir).filter("direction = 'input'").select("address").distinct().orderBy("address").limit(k)
 
 
-FLOWS_SQL = """p_lines AS (
+FLOWS = """p_lines AS (
     SELECT l_orderkey AS txid, CASE WHEN l_returnflag = 'R' THEN 'input' ELSE 'output' END AS direction,
            CASE WHEN l_returnflag <> 'R' AND l_linestatus = 'O' THEN 'S' || l_suppkey ELSE 'A' || l_partkey END AS address,
-           CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_sats, l_linenumber, l_partkey, l_suppkey FROM lineitem{where}),
-p_flows AS (
+           CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_sats, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+p_flows AS MATERIALIZED (
     SELECT txid, direction, CAST(row_number() OVER (PARTITION BY txid, direction ORDER BY l_linenumber, l_partkey, l_suppkey, amount_sats) - 1 AS INTEGER) AS ordinal,
            address, amount_sats FROM p_lines)"""
-FLOWS = FLOWS_SQL.format(where="")
-SPARSE = FLOWS_SQL.format(where=" WHERE l_orderkey % 10 = 0")
-TX = "p_tx AS (SELECT o_orderkey AS txid, o_orderdate AS first_seen FROM orders)"
+TX = "p_tx AS (SELECT o_orderkey AS txid, o_orderdate AS first_seen, CASE WHEN o_orderkey % 5 > 0 THEN CAST(140 + o_orderkey % 211 AS INTEGER) END AS vsize FROM orders)"
 OBS = "p_obs AS (SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS txid, ts AS timestamp, 'ip' || user_id AS src_ip FROM events)"

@@ -9,8 +9,23 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import context as cx
 from trailweave.operators import features as ft
-from trailweave.plans import metrics
-from trailweave.plans.proxies import FLOWS, OBS, SPARSE, TX, flows, observations, seeds, table, transactions
+from trailweave.models import workflow
+from trailweave.plans import audit, index, metrics, views
+from trailweave.session import written
+from trailweave.sources import ingest
+from trailweave.plans.proxies import FLOWS, OBS, TX, flows, observations, seeds, table, transactions
+
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as alerts."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("address"), (F.col("c_acctbal") / 100).alias("priority"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events but views as reviews of customers."""
+    return table(spark, sf_dir, "events").filter("event_type <> 'view'").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("address"), F.col("event_type").alias("status"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +48,7 @@ SHAPES = """shapes AS (
 equal_outs AS (SELECT txid, max(n) AS most_equal FROM (SELECT txid, amount_sats, count(*) AS n FROM p_flows WHERE direction = 'output' GROUP BY ALL) GROUP BY txid),
 spent AS (SELECT DISTINCT address, txid FROM p_flows WHERE direction = 'input'),
 rows AS (
-    SELECT s.address, s.txid, t.first_seen, h.* EXCLUDE (txid), coalesce(e.most_equal, 0) AS most_equal,
+    SELECT s.address, s.txid, t.first_seen, t.vsize, h.* EXCLUDE (txid), coalesce(e.most_equal, 0) AS most_equal,
            (epoch_us(t.first_seen) - lag(epoch_us(t.first_seen)) OVER (PARTITION BY s.address ORDER BY t.first_seen, s.txid)) / 1e6 AS gap
     FROM spent s JOIN p_tx t USING (txid) JOIN shapes h USING (txid) LEFT JOIN equal_outs e USING (txid))"""
 
@@ -53,12 +68,12 @@ def chain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 bins AS (SELECT address, floor(log2(greatest(1.0, gap))) AS bin, count(*) AS k FROM rows WHERE gap IS NOT NULL GROUP BY ALL),
 entropy AS (SELECT address, -sum(p * log2(p)) AS e FROM (SELECT address, k / sum(k) OVER (PARTITION BY address) AS p FROM bins) GROUP BY address),
 hours AS (SELECT address, max(k) AS top FROM (SELECT address, hour(first_seen) AS h, count(*) AS k FROM rows GROUP BY ALL) GROUP BY address),
-flat AS (SELECT address, count(*) AS n, sum(round_outs) / greatest(1, sum(n_out)) AS r FROM rows GROUP BY address)
-SELECT address, abs(round(coalesce(e, 0), 6)) AS interval_entropy, round(top / n, 6) AS hour_concentration, round(r, 6) AS round_output_ratio
+flat AS (SELECT address, count(*) AS n, sum(round_outs) / greatest(1, sum(n_out)) AS r, coalesce(stddev_pop((in_sats - out_sats)::DOUBLE / vsize) / greatest(avg((in_sats - out_sats)::DOUBLE / vsize), 1e-8), 0) AS cv, CAST(count(vsize) > 0 AS INTEGER) AS rated FROM rows GROUP BY address)
+SELECT address, abs(round(coalesce(e, 0), 6)) AS interval_entropy, round(top / n, 6) AS hour_concentration, round(r, 6) AS round_output_ratio, CASE WHEN abs(cv) < 1e6 THEN round(cv, 6) END AS fee_rate_cv, rated AS fee_rate_available
 FROM flat JOIN hours USING (address) LEFT JOIN entropy USING (address)""")
 def timing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ft.timing_features(ft.spends(flows(spark, sf_dir), transactions(spark, sf_dir)))
-    return out.select("address", F.abs(F.round("interval_entropy", 6)).alias("interval_entropy"), F.round("hour_concentration", 6).alias("hour_concentration"), F.round("round_output_ratio", 6).alias("round_output_ratio"))
+    return out.select("address", F.abs(F.round("interval_entropy", 6)).alias("interval_entropy"), F.round("hour_concentration", 6).alias("hour_concentration"), F.round("round_output_ratio", 6).alias("round_output_ratio"), F.when(F.abs("fee_rate_cv") < 1e6, F.round("fee_rate_cv", 6)).alias("fee_rate_cv"), "fee_rate_available")
 
 
 @query(f"""WITH {FLOWS}, {TX}, {OBS}, spent AS (SELECT DISTINCT address, txid FROM p_flows JOIN p_tx USING (txid) WHERE direction = 'input'),
@@ -75,18 +90,15 @@ def network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FLOWS}, {OBS}
 SELECT (SELECT count(*) FROM orders) AS transactions, (SELECT count(*) FROM p_obs) AS observations, (SELECT count(DISTINCT address) FROM p_flows) AS addresses,
        (SELECT count(DISTINCT txid) FROM p_obs) AS observed_transactions, (SELECT coalesce(sum(amount_sats), 0) / 1e8 FROM p_flows WHERE direction = 'output') AS output_btc,
-       (SELECT count(*) FROM p_flows WHERE direction = 'input') AS input_flows""")
+       (SELECT count(*) FROM p_flows WHERE direction = 'input') AS input_flows, (SELECT count(*) FROM customer WHERE c_acctbal / 100 > 60) AS high, (SELECT count(*) FROM customer WHERE c_acctbal / 100 > 30 AND c_acctbal / 100 <= 60) AS review,
+       (SELECT count(DISTINCT user_id) FROM events WHERE event_type <> 'view' AND user_id IN (SELECT c_custkey FROM customer)) AS reviewed""")
 def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flows(spark, sf_dir).agg(F.count_distinct("address").alias("addresses"), (F.coalesce(F.sum(F.when(cx.is_output(), F.col("amount_sats"))), F.lit(0)) / 1e8).alias("output_btc"), F.count_if(cx.is_input()).alias("input_flows"))
-    o = observations(spark, sf_dir).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("txid").alias("observed_transactions"))
-    t = transactions(spark, sf_dir).agg(F.count(F.lit(1)).alias("transactions"))
-    one = F.lit(1).alias("one")
-    return f.select("*", one).join(o.select("*", one), "one").join(t.select("*", one), "one").drop("one")
+    return views.summary(flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir), alerts(spark, sf_dir), reviews(spark, sf_dir))
 
 
-@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H') AS hour, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H') AS hour, count(*) AS n FROM events GROUP BY 1")
 def hourly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return views.hourly_counts(observations(spark, sf_dir))
 
 
 @query(f"WITH {FLOWS} SELECT txid, count(*) FILTER (direction = 'input') AS inputs, count(*) FILTER (direction = 'output') AS outputs FROM p_flows GROUP BY txid")
@@ -131,9 +143,7 @@ def relay_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH last AS (SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'view') WHERE n = 1)
 SELECT c_custkey AS case_id, coalesce(status, 'New') AS status FROM customer LEFT JOIN last ON user_id = c_custkey""")
 def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
-    customers = table(spark, sf_dir, "customer")
-    return customers.join(last, customers.c_custkey == last.user_id, "left").select(F.col("c_custkey").alias("case_id"), F.coalesce("status", F.lit("New")).alias("status"))
+    return index.with_reviews(alerts(spark, sf_dir), reviews(spark, sf_dir)).select(F.col("address").cast("long").alias("case_id"), "status")
 
 
 @query(f"""WITH {FLOWS} SELECT txid, direction, ordinal, address, amount_sats, CAST(place AS INTEGER) AS place FROM (
@@ -143,10 +153,19 @@ def flows_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 3").select("txid", "direction", "ordinal", "address", "amount_sats", "place")
 
 
-@query("SELECT c_custkey AS case_id, c_acctbal AS priority FROM customer WHERE c_acctbal >= 1000 AND c_acctbal < 9000 AND instr(c_name, '1') > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 20")
+PAGE = """WITH last AS (SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'view') WHERE n = 1),
+hits AS (SELECT CAST(c_custkey AS VARCHAR) AS address, c_acctbal / 100 AS priority, coalesce(status, 'New') AS status FROM customer LEFT JOIN last ON user_id = c_custkey
+         WHERE c_acctbal / 100 > 30 AND c_acctbal / 100 <= 60 AND instr(CAST(c_custkey AS VARCHAR), '1') > 0)"""
+
+
+@query(f"{PAGE} SELECT address, priority, status, (SELECT count(*) FROM hits WHERE status = 'signup') AS total FROM hits WHERE status = 'signup' ORDER BY priority DESC, address LIMIT 10 OFFSET 1")
 def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "customer").filter("c_acctbal >= 1000 AND c_acctbal < 9000 AND instr(c_name, '1') > 0")
-    return hits.orderBy(F.desc("c_acctbal"), "c_custkey").offset(20).limit(50).select(F.col("c_custkey").alias("case_id"), F.col("c_acctbal").alias("priority"))
+    return views.alerts_page(alerts(spark, sf_dir), "review", "1", 10, 1, status="signup", reviews=reviews(spark, sf_dir)).select("address", "priority", "status", "total")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS address, c_acctbal / 100 AS priority FROM customer ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR) LIMIT 1")
+def top_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.alerts_page(alerts(spark, sf_dir), limit=1).select("address", "priority")
 
 
 @query(f"""WITH {FLOWS}, {TX}, {SHAPES} SELECT address, count(gap) AS n_gaps, round(median(gap), 6) AS median_gap, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap FROM rows GROUP BY address""")
@@ -226,52 +245,35 @@ def peel_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.peel_chains(cx.peel_links(flows(spark, sf_dir), transactions(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {EDGES}, start AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
+@query(f"""WITH RECURSIVE {FLOWS}, {EDGES}, start AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
 walk AS (SELECT address, 0 AS hops FROM start UNION SELECT dst, hops + 1 FROM walk JOIN edges ON src = address WHERE hops < 6)
 SELECT address, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY address""")
 def seed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.seed_distances(cx.edges(flows(spark, sf_dir, True)), seeds(spark, sf_dir))
+    return cx.seed_distances(cx.edges(flows(spark, sf_dir)), seeds(spark, sf_dir))
 
 
-@query()
-def seed_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seed_distance`` over all orders."""
-    return cx.seed_distances(cx.edges(flows(spark, sf_dir)), seeds(spark, sf_dir, sparse=False))
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {MIXERS}, inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
+@query(f"""WITH RECURSIVE {FLOWS}, {MIXERS}, inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
 sized AS (SELECT txid, min(address) AS a FROM inputs WHERE txid NOT IN (SELECT txid FROM mixers) GROUP BY txid HAVING count(*) BETWEEN 2 AND 20),
 links AS (SELECT DISTINCT a, address AS b FROM inputs JOIN sized USING (txid) WHERE address <> a), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT DISTINCT a AS address, a AS other FROM both_ways UNION SELECT r.address, w.b FROM reach r JOIN both_ways w ON w.a = r.other)
-SELECT f.address AS address, coalesce(least(min(other), f.address), f.address) AS root FROM (SELECT DISTINCT address FROM p_flows) f LEFT JOIN reach r ON r.address = f.address GROUP BY f.address""")
+steps AS (SELECT a, b FROM both_ways UNION SELECT address, address FROM p_flows),
+labels AS (SELECT DISTINCT address, address AS root, 0 AS it FROM p_flows UNION ALL SELECT w.b, min(l.root), max(it) + 1 FROM labels l JOIN steps w ON w.a = l.address WHERE it < 40 GROUP BY w.b)
+SELECT address, root FROM labels WHERE it = 40""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.clusters(flows(spark, sf_dir, True))
+    return cx.clusters(flows(spark, sf_dir))
 
 
-@query()
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``components`` over all orders."""
-    return cx.clusters(flows(spark, sf_dir))
 
 
 @query("""SELECT CASE WHEN c_acctbal / 100 > 60 THEN 'High' WHEN c_acctbal / 100 > 30 THEN 'Moderate' ELSE 'Low' END AS band, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1""")
 def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority = F.col("c_acctbal") / 100
-    band = F.when(priority > 60, "High").when(priority > 30, "Moderate").otherwise("Low")
-    return table(spark, sf_dir, "customer").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
+    cents = F.sum(F.round(F.col("priority") * 10_000).cast("long")).alias("cents")
+    return alerts(spark, sf_dir).groupBy(index.band(F.col("priority")).alias("band")).agg(F.count(F.lit(1)).alias("n"), cents)
 
 
-@query("""WITH ref AS (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 10 = 0)
-SELECT o_orderkey AS id, round(count(v) FILTER (v <= o_totalprice) / greatest(count(v), 1), 9) AS percentile FROM orders, ref WHERE o_orderkey % 50 = 1 GROUP BY o_orderkey""")
+@query("SELECT o_orderkey AS id, round(cume_dist() OVER (ORDER BY o_totalprice), 9) AS percentile FROM orders")
 def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    reference = orders.filter("o_orderkey % 10 = 0").select(F.col("o_totalprice").alias("v"))
-    return metrics.percentile_ranks(orders.filter("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v")), reference).select("id", F.round("percentile", 9).alias("percentile"))
-
-
-@query()
-def percentile_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``percentile_rank`` of all orders among all orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
     return metrics.percentile_ranks(orders, orders.select("v")).select("id", F.round("percentile", 9).alias("percentile"))
 
@@ -303,25 +305,14 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'both' AS kind, address FROM (SELECT address FROM i INTERSECT SELECT address FROM o) UNION ALL SELECT 'inputs only', address FROM (SELECT address FROM i EXCEPT SELECT address FROM o)
 UNION ALL SELECT 'outputs only', address FROM (SELECT address FROM o EXCEPT SELECT address FROM i)""")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = flows(spark, sf_dir).groupBy("address").agg(F.max(cx.is_input()).alias("i"), F.max(cx.is_output()).alias("o"))
-    return sides.select(F.when(F.col("i") & F.col("o"), "both").when(F.col("i"), "inputs only").otherwise("outputs only").alias("kind"), "address")
+    return cx.sides(flows(spark, sf_dir)).select("kind", "address")
 
 
-@query("""WITH ordered AS (SELECT event_id, abs(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS gap_seconds, user_id FROM events)
-SELECT event_id, user_id, round(gap_seconds, 6) AS gap_seconds FROM ordered WHERE gap_seconds > 86400""")
+@query("""WITH ordered AS (SELECT event_id, abs(epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id)) / 1e6 AS gap_seconds FROM events)
+SELECT event_id, round(gap_seconds, 6) AS gap_seconds FROM ordered WHERE gap_seconds > 900""")
 def gap_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.abs(micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("event_id"))) / 1e6
-    return table(spark, sf_dir, "events").withColumn("gap_seconds", gap).filter("gap_seconds > 86400").select("event_id", "user_id", F.round("gap_seconds", 6).alias("gap_seconds"))
-
-
-CHAINED = """chained AS (SELECT user_id, event_id, props, sha256(concat(lag(props, 1, repeat('0', 64)) OVER (PARTITION BY user_id ORDER BY event_id), props)) AS hash FROM events)"""
-
-
-@query(f"WITH {CHAINED} SELECT user_id, event_id, hash FROM chained")
-def hash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("props", 1, "0" * 64).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(F.concat(before, F.col("props")), 256).alias("hash"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("timestamp"))
+    return ingest.file_gaps(rows, stretch=5000).filter("gap_seconds > 900").select(F.col("ordinal").alias("event_id"), F.round("gap_seconds", 6).alias("gap_seconds"))
 
 
 @query(f"""WITH {FLOWS}, {TX}, gone AS (SELECT address FROM p_flows WHERE direction = 'input'),
@@ -335,25 +326,31 @@ def terminal_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FLOWS}, {TX} SELECT t.txid AS txid, strftime(first_seen, '%Y-%m-%d') AS day, direction, address, amount_sats FROM p_flows JOIN p_tx t USING (txid) WHERE first_seen <= TIMESTAMP '1995-01-01'""")
 def flows_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = transactions(spark, sf_dir).filter("first_seen <= TIMESTAMP_NTZ '1995-01-01 00:00:00'")
+    early = views.until(transactions(spark, sf_dir), "1995-01-01 00:00:00")
     return flows(spark, sf_dir).join(early, "txid").select("txid", F.date_format("first_seen", "yyyy-MM-dd").alias("day"), "direction", "address", "amount_sats")
 
 
-@query("""WITH best AS (SELECT user_id, max(value) AS value, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS event_id FROM events GROUP BY user_id) SELECT user_id, value, event_id FROM best""")
+@query("""WITH owned AS (SELECT 'actor' || c_nationkey AS actor, CAST(c_custkey AS VARCHAR) AS address, c_acctbal / 100 AS priority FROM customer WHERE c_custkey NOT IN (1, 2)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY priority DESC, address) AS n, count(*) OVER (PARTITION BY actor) AS profiles FROM owned)
+SELECT actor, address, priority, profiles, priority > 60 AS detected FROM ranked WHERE n = 1""")
 def best_per_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("value"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("address"), F.concat(F.lit("actor"), "c_nationkey").alias("actor"))
+    return workflow.actor_results(alerts(spark, sf_dir).withColumn("subscores", F.lit(None).cast("string")), own, ["1", "2"]).drop("subscores")
 
 
-@query("SELECT user_id, event_id, CASE WHEN regexp_matches(event_type, '^[=+@\\t\\r-]') THEN '''' || event_type ELSE event_type END AS event_type, format('{:.8f}', value) AS amount FROM events WHERE event_id % 7 = 0")
+@query("SELECT user_id, event_id, CASE WHEN event_id % 6 < 4 THEN chr(39) ELSE '' END || substr('=+-@x ', CAST(event_id % 6 + 1 AS INTEGER), 1) || event_type AS event_type, format('{:.8f}', value) AS amount FROM events")
 def guarded_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.sources.sinks import formula_guard
 
-    return table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("user_id", "event_id", formula_guard(F.col("event_type")).alias("event_type"), F.format_string("%.8f", "value").alias("amount"))
+    text = F.concat(F.expr("substring('=+-@x ', cast(event_id % 6 + 1 as int), 1)"), "event_type")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", formula_guard(text).alias("event_type"), F.format_string("%.8f", "value").alias("amount"))
 
 
-@query()
-def guarded_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``guarded_export`` of all events."""
-    from trailweave.sources.sinks import formula_guard
-
-    return table(spark, sf_dir, "events").select("user_id", "event_id", formula_guard(F.col("event_type")).alias("event_type"), F.format_string("%.8f", "value").alias("amount"))
+@query("SELECT count(*) AS rows, sha256('x') = sha256('x') AS valid, list_reduce(list_concat([repeat('0', 64)], list(props ORDER BY event_id)), lambda a, x: sha256(a || x)) AS head, CAST(count(*) FILTER ((event_id + 1) % 1000 = 500) AS BIGINT) AS altered FROM events")
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over all events, its head, and what is found where every thousandth payload was altered."""
+    chain = written(audit.extend(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload")), ["event_id"]), "chain")
+    state = audit.verify(chain)
+    tampered = chain.withColumn("payload", F.when(F.col("seq") % 1000 == 500, F.lit("x")).otherwise(F.col("payload")))
+    found = audit.broken_links(tampered).filter("why = 'altered payload' AND seq % 1000 = 500").agg(F.count(F.lit(1)).alias("altered"))
+    return found.select(F.lit(state["rows"]).cast("long").alias("rows"), F.lit(state["valid"]).alias("valid"), F.lit(state["head"]).alias("head"), "altered")

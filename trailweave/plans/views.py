@@ -2,25 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.operators import context as cx
+from trailweave.plans import index
 
 BANDS = {"all": (None, None), "high": (60, None), "review": (30, 60), "low": (None, 30)}
 EDGE = ("source", "target", "kind", "amount_sats", "certainty")
 
 
-def alerts_page(alerts: DataFrame, band: str = "all", text: str = "", limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of alerts by falling priority; 1 to 100 rows."""
-    low, high = BANDS[band]
-    hits = alerts.filter(F.instr("address", text) > 0) if text else alerts
-    hits = hits.filter(F.col("priority") > low) if low is not None else hits
-    hits = hits.filter(F.col("priority") <= high) if high is not None else hits
-    return hits.orderBy(F.desc("priority"), "address").offset(max(0, offset)).limit(min(100, max(1, limit)))
+def summary(flows: DataFrame, transactions: DataFrame, observations: DataFrame, alerts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The counts of a case in one row: tables, addresses, amounts, alerts by band and reviewed ones."""
+    n = F.count(F.lit(1))
+    parts = [
+        flows.agg(F.count_distinct("address").alias("addresses"), (F.coalesce(F.sum(F.when(cx.is_output(), F.col("amount_sats"))), F.lit(0)) / 1e8).alias("output_btc"), F.count_if(cx.is_input()).alias("input_flows")),
+        observations.agg(n.alias("observations"), F.count_distinct("txid").alias("observed_transactions")), transactions.agg(n.alias("transactions")),
+        alerts.agg(F.count_if(band_is("high")).alias("high"), F.count_if(band_is("review")).alias("review")),
+        alerts.join(reviews, "address", "left_semi").agg(F.count_distinct("address").alias("reviewed")),
+    ]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
+def hourly_counts(observations: DataFrame) -> DataFrame:
+    """hour (text to the hour), n: observations by hour."""
+    return observations.groupBy(F.date_format(F.date_trunc("hour", "timestamp"), "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def until(transactions: DataFrame, at: str) -> DataFrame:
+    """Transactions seen by then."""
+    return transactions.filter(F.col("first_seen") <= F.lit(at).cast("timestamp"))
+
+
+def band_is(name: str) -> Column:
+    """Whether ``priority`` lies in a band."""
+    low, high = BANDS[name]
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (F.col("priority") > low)
+    return inside & (F.col("priority") <= high) if high is not None else inside
+
+
+def alerts_page(alerts: DataFrame, band: str = "all", text: str = "", limit: int = 20, offset: int = 0, status: str = "all", reviews: DataFrame | None = None) -> DataFrame:
+    """A page of alerts by falling priority, 1 to 100 rows, each with the number of all that match (total) and its status."""
+    reviewed = index.with_reviews(alerts, reviews) if reviews is not None else alerts.withColumn("status", F.col("status") if "status" in alerts.columns else F.lit("New"))
+    hits = reviewed.filter(band_is(band))
+    hits = hits.filter(F.instr("address", text) > 0) if text else hits
+    hits = hits.filter(F.col("status") == status) if status != "all" else hits
+    page = hits.orderBy(F.desc("priority"), "address").offset(max(0, offset)).limit(min(100, max(1, limit)))
+    return page.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total"))), F.lit(True)).orderBy(F.desc("priority"), "address")
+
+
+def recent_audit(audit: DataFrame, rows: int = 30) -> DataFrame:
+    """The last audit rows, the latest first."""
+    return audit.orderBy(F.desc("seq")).limit(rows)
+
+
+def quarantine_page(quarantine: DataFrame, rows: int = 100) -> DataFrame:
+    """source_hash, ordinal and error of the first quarantined records."""
+    return quarantine.orderBy("source_hash", "ordinal").limit(rows).select("source_hash", "ordinal", "error")
 
 
-def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame, address: str, layer: str = "fused", limit: int = 80, until: str | None = None, flows_per_tx: int = 40, observations_per_tx: int = 60) -> DataFrame:
+def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame, address: str, layer: str = "fused", limit: int = 80, before: str | None = None, flows_per_tx: int = 40, observations_per_tx: int = 60) -> DataFrame:
     """Edges (source, target, kind, amount_sats, certainty) around an address, up to limits for each transaction.
 
     Observed relays never stand for ownership. The filter by address comes first, so all joins are of its
@@ -29,8 +75,8 @@ def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame
     if layer not in ("fused", "chain", "network"):
         raise ValueError("layer is fused, chain or network")
     mine = flows.filter(F.col("address") == address).select("txid").distinct().join(transactions.select("txid", "first_seen"), "txid")
-    if until:
-        mine = mine.filter(F.col("first_seen") <= F.lit(until).cast("timestamp"))
+    if before:
+        mine = until(mine, before)
     chosen = mine.orderBy("txid").limit(limit).select("txid")
     tx = F.concat(F.lit("tx:"), F.col("txid"))
     parts = []
