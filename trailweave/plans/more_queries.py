@@ -11,7 +11,7 @@ from trailweave.operators import drift, rules, taint
 from trailweave.operators import features as ft
 from trailweave.plans import audit, index, metrics, views
 from trailweave.plans.proxies import FLOWS, OBS, TX, flows, observations, seeds, table, transactions
-from trailweave.plans.queries import EDGES, FIRST, MIXERS, SHAPES
+from trailweave.plans.queries import ASSOCIATIONS, CHANGES, EDGES, FIRST, MIXERS, PEEL, SEEN, SHAPES
 from trailweave.session import written
 
 ENTITIES = """inputs AS (SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input'),
@@ -36,13 +36,27 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {FLOWS}, {TX}, {OBS}, chosen AS (SELECT DISTINCT txid FROM p_flows JOIN p_tx USING (txid) WHERE address = 'A7' ORDER BY txid LIMIT 80),
+@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {OBS}, {MIXERS}, {ENTITIES}, {FIRST}, {ASSOCIATIONS}, {SEEN}, {CHANGES}, chosen AS (SELECT DISTINCT txid FROM p_flows JOIN p_tx USING (txid) WHERE address = 'A7' ORDER BY txid LIMIT 80),
 near AS (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY (address = 'A7') DESC, direction, ordinal) AS n FROM p_flows WHERE txid IN (SELECT txid FROM chosen)),
 obs AS (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY timestamp, id) AS n FROM p_obs WHERE txid IN (SELECT txid FROM chosen))
 SELECT CASE WHEN direction = 'input' THEN 'address:' || address ELSE 'tx:' || txid END AS source, CASE WHEN direction = 'input' THEN 'tx:' || txid ELSE 'address:' || address END AS target, direction AS kind, amount_sats, 'reported_transaction_metadata' AS certainty FROM near WHERE n <= 40
-UNION ALL SELECT DISTINCT 'ip:' || src_ip, 'tx:' || txid, 'observed_source', CAST(NULL AS BIGINT), 'observed_relay_only' FROM obs WHERE n <= 60""")
+UNION ALL SELECT DISTINCT 'ip:' || src_ip, 'tx:' || txid, 'observed_source', CAST(NULL AS BIGINT), 'observed_relay_only' FROM obs WHERE n <= 60
+UNION ALL (SELECT entity_id, 'address:' || r.address, 'candidate_member', NULL, 'heuristic_not_verified' FROM roots r JOIN named USING (root) WHERE root = (SELECT root FROM roots WHERE address = 'A7') ORDER BY r.address LIMIT 20)
+UNION ALL (SELECT 'address:' || source, 'address:' || target, 'relay_association', NULL, 'weak_no_ownership_claim' FROM assoc WHERE 'A7' IN (source, target) ORDER BY txid, other_txid, source, target, src_ip LIMIT 20)
+UNION ALL (SELECT 'address:' || source, 'address:' || target, 'change_candidate', NULL, 'heuristic_not_merged' FROM changes WHERE 'A7' IN (source, target) ORDER BY txid LIMIT 10)""")
 def ego_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.ego_edges(flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir), "A7")
+    f, t, o = flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir)
+    return views.ego_edges(f, t, o, "A7").unionByName(views.ego_context(f, t, o, "A7", window_s=604_800))
+
+
+@query(f"""WITH {FLOWS}, {TX}, {OBS}, mine AS (SELECT DISTINCT txid, first_seen FROM p_flows JOIN p_tx USING (txid) WHERE address = 'A7'), chosen AS (SELECT * FROM mine ORDER BY txid LIMIT 20),
+f AS (SELECT txid, count(*) AS n FROM p_flows WHERE txid IN (SELECT txid FROM chosen) GROUP BY txid), o AS (SELECT txid, count(*) AS n FROM p_obs WHERE txid IN (SELECT txid FROM chosen) GROUP BY txid),
+t AS (SELECT (SELECT count(*) FROM mine) AS total_transactions, (SELECT count(*) FROM chosen) AS shown_transactions, (SELECT strftime(min(first_seen), '%Y-%m-%d') FROM chosen) AS time_min, (SELECT strftime(max(first_seen), '%Y-%m-%d') FROM chosen) AS time_max,
+      (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM f) AS total_flows, (SELECT CAST(coalesce(sum(least(n, 4)), 0) AS BIGINT) FROM f) AS shown_flows, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM o) AS total_observations, (SELECT CAST(coalesce(sum(least(n, 60)), 0) AS BIGINT) FROM o) AS shown_observations)
+SELECT *, total_transactions > shown_transactions OR total_flows > shown_flows OR total_observations > shown_observations AS truncated, 0 AS ownership_claims FROM t""")
+def ego_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = views.ego_totals(flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir), "A7", limit=20, flows_per_tx=4)
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("time_min", "time_max")})
 
 
 @query(f"""WITH RECURSIVE {FLOWS}, {EDGES}, roots AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
@@ -99,15 +113,40 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, t = flows(spark, sf_dir), transactions(spark, sf_dir)
-    spent = ft.spends(f, t)
+    spent = written(ft.spends(f, t), "spent")
     return rules.apply_rules(ft.profiles(f, t, observations(spark, sf_dir)), spent, cx.peel_chains(cx.peel_links(f, t)), cx.reused(f, t), cx.mixer_shapes(f))
 
 
-@query(f"""WITH {FLOWS}, {TX}, {SHAPES}
-SELECT address, count(*) >= 5 AND coalesce(median(gap), 86400.0) <= 90 AS rapid, max(n_out) >= 8 AS fan_out, max(n_in) >= 8 AS fan_in, avg(CASE WHEN most_equal >= 3 THEN 1.0 ELSE 0.0 END) >= 0.5 AS equal_outs FROM rows GROUP BY address""")
+@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {SHAPES}, {MIXERS}, {SEEN}, {PEEL}, links AS (SELECT address, p.next AS next, p.txid AS txid, p.t AS t FROM pointers),
+walk AS (
+    SELECT address, next AS spot, t, [address] AS visited, [txid] AS path FROM links
+    UNION ALL SELECT w.address, l.next, l.t, list_append(visited, w.spot), list_append(path, l.txid) FROM walk w JOIN links l ON l.address = w.spot WHERE NOT list_contains(visited, w.spot) AND l.t >= w.t AND len(path) < 30),
+peeled AS (SELECT DISTINCT unnest(path) AS txid FROM walk WHERE len(path) >= 3), reuse AS (SELECT DISTINCT txid FROM placed WHERE direction = 'output' AND seen_before),
+marked AS (SELECT r.*, txid IN (SELECT txid FROM peeled) AS peel, txid IN (SELECT txid FROM reuse) AS reused, txid IN (SELECT txid FROM mixers) AS mixer FROM rows r),
+mixed AS (SELECT *, min(first_seen) FILTER (mixer) OVER (PARTITION BY address) AS mixed_at FROM marked),
+flags AS (SELECT address, count(*) >= 5 AND coalesce(median(gap), 86400.0) <= 90 AS rapid, max(n_out) >= 8 AS fan_out, max(n_in) >= 8 AS fan_in, avg(CASE WHEN most_equal >= 3 THEN 1.0 ELSE 0.0 END) >= 0.5 AS equal_outs, count(*) AS n,
+          count(*) FILTER (peel) AS peel_n, count(*) FILTER (reused) AS reused_n, count(*) FILTER (mixer) AS mixer_n, count(*) FILTER (first_seen > mixed_at) AS later_n FROM mixed GROUP BY address),
+listed AS (SELECT address, unnest([
+    {{'rule': CASE WHEN fan_out THEN 'High fan-out' END, 'strength': 0.55, 'txids': n}}, {{'rule': CASE WHEN rapid THEN 'Rapid repeated spending' END, 'strength': 0.65, 'txids': n}}, {{'rule': CASE WHEN equal_outs THEN 'Repeated equal outputs' END, 'strength': 0.35, 'txids': n}},
+    {{'rule': CASE WHEN peel_n > 0 THEN 'Peeling-chain pattern' END, 'strength': 0.85, 'txids': peel_n}}, {{'rule': CASE WHEN reused_n > 0 THEN 'Address reuse' END, 'strength': 0.30, 'txids': reused_n}}, {{'rule': CASE WHEN mixer_n > 0 THEN 'CoinJoin-like shape' END, 'strength': 0.35, 'txids': mixer_n}},
+    {{'rule': CASE WHEN fan_in THEN 'High fan-in' END, 'strength': 0.55, 'txids': n}}, {{'rule': CASE WHEN mixer_n > 0 AND later_n > 0 THEN 'Address reuse after mixing pattern' END, 'strength': 0.65, 'txids': mixer_n + later_n}}]) AS r FROM flags)
+SELECT address, r.rule AS rule, CAST(r.strength AS DOUBLE) AS strength, r.txids AS txids, CAST(coalesce(max(r.strength) FILTER (r.rule <> 'Address reuse after mixing pattern') OVER (PARTITION BY address), 0) AS DOUBLE) AS rule_score FROM listed WHERE r.rule IS NOT NULL""")
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = lambda n: F.exists("rules", lambda r: r["name"] == n)
-    return _ruled(spark, sf_dir).select("address", named("Rapid repeated spending").alias("rapid"), named("High fan-out").alias("fan_out"), named("High fan-in").alias("fan_in"), named("Repeated equal outputs").alias("equal_outs"))
+    """All eight rules: a row for each that an address shows, the number of its supporting transactions, and the score."""
+    return _ruled(spark, sf_dir).select("address", F.inline("rules"), "rule_score").select("address", F.col("name").alias("rule"), "strength", F.size("txids").cast("long").alias("txids"), "rule_score")
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {OBS}, {FIRST}, {ASSOCIATIONS}, {EDGES}, {SHAPES}, start AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address DESC LIMIT 2),
+hopped AS (SELECT address, 0 AS hops FROM start UNION SELECT dst, hops + 1 FROM hopped JOIN edges ON src = address WHERE hops < 6), near AS (SELECT address, min(hops) AS hops FROM hopped GROUP BY address),
+ends AS (SELECT address, count(*) AS k FROM (SELECT source AS address FROM assoc UNION ALL SELECT target FROM assoc) GROUP BY address), hits AS (SELECT address, count(*) AS n FROM rows GROUP BY address)
+SELECT address, CAST(n AS BIGINT) AS n, CAST(coalesce(hops, 7) AS DOUBLE) AS seed_hop_distance, CAST(1 AS DOUBLE) AS seed_evidence_available, CAST(coalesce(k, 0) AS DOUBLE) AS relay_associations,
+       CAST(coalesce((SELECT count(*) FROM edges e WHERE e.src = hits.address), 0) AS DOUBLE) AS out_degree, CAST(coalesce((SELECT count(*) FROM edges e WHERE e.dst = hits.address), 0) AS DOUBLE) AS in_degree
+FROM hits LEFT JOIN near USING (address) LEFT JOIN ends USING (address)""")
+def profile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that come from an address's surroundings, seeds and associations included."""
+    f, t = flows(spark, sf_dir), transactions(spark, sf_dir)
+    last = f.filter(cx.is_input()).select("address").distinct().orderBy(F.desc("address")).limit(2)
+    return ft.profiles(f, t, observations(spark, sf_dir), last, window_s=604_800).select("address", "n", "seed_hop_distance", "seed_evidence_available", "relay_associations", "out_degree", "in_degree")
 
 
 def with_percentiles(scored: DataFrame, column: str) -> DataFrame:

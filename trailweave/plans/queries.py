@@ -130,6 +130,11 @@ def first_observed_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.first_observed(observations(spark, sf_dir)).select("txid", "src_ip", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"))
 
 
+ASSOCIATIONS = """kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
+pairs AS (SELECT a.src_ip, a.txid, b.txid AS other_txid FROM kept a JOIN kept b ON a.src_ip = b.src_ip AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000),
+assoc AS (SELECT s.address AS source, t.address AS target, src_ip, p.txid AS txid, other_txid FROM pairs p JOIN p_flows s ON s.txid = p.txid AND s.direction = 'input' JOIN p_flows t ON t.txid = p.other_txid AND t.direction = 'input' WHERE s.address <> t.address)"""
+
+
 @query(f"""WITH {FLOWS}, {OBS}, {FIRST}, kept AS (SELECT * FROM first_obs WHERE src_ip IN (SELECT src_ip FROM first_obs GROUP BY src_ip HAVING count(*) <= 20)),
 pairs AS (SELECT a.src_ip, a.txid, b.txid AS other_txid, (epoch_us(b.timestamp) - epoch_us(a.timestamp)) / 1e6 AS delta_seconds FROM kept a JOIN kept b ON a.src_ip = b.src_ip
           AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.txid > a.txid)) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 604800000000)
@@ -208,6 +213,13 @@ SEEN = """seen AS (SELECT p.*, first_seen, dense_rank() OVER (ORDER BY first_see
 firsts AS (SELECT address, min(spot) AS first_at FROM seen GROUP BY address), placed AS (SELECT seen.*, first_at < spot AS seen_before FROM seen JOIN firsts USING (address))"""
 
 
+CHANGES = """own AS (SELECT DISTINCT txid, address FROM placed WHERE direction = 'input'),
+spent_shapes AS (SELECT p.txid AS txid, count(*) FILTER (direction = 'input') AS n_in, count(*) FILTER (direction = 'output') AS n_out, count(*) FILTER (direction = 'output' AND NOT seen_before AND own.txid IS NULL) AS n_new,
+           max(p.address) FILTER (direction = 'input') AS source, max(p.address) FILTER (direction = 'output' AND NOT seen_before AND own.txid IS NULL) AS target
+           FROM placed p LEFT JOIN own ON own.txid = p.txid AND own.address = p.address GROUP BY p.txid),
+changes AS (SELECT txid, source, target FROM spent_shapes WHERE n_in = 1 AND n_out = 2 AND n_new = 1)"""
+
+
 @query(f"""WITH {FLOWS}, {TX}, {SEEN}, own AS (SELECT DISTINCT txid, address FROM placed WHERE direction = 'input'),
 shaped AS (SELECT p.txid AS txid, count(*) FILTER (direction = 'input') AS n_in, count(*) FILTER (direction = 'output') AS n_out, count(*) FILTER (direction = 'output' AND NOT seen_before AND own.txid IS NULL) AS n_new,
            max(p.address) FILTER (direction = 'input') AS source, max(p.address) FILTER (direction = 'output' AND NOT seen_before AND own.txid IS NULL) AS target

@@ -100,6 +100,45 @@ def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame
     return out
 
 
+def ego_context(flows: DataFrame, transactions: DataFrame, observations: DataFrame, address: str, window_s: int = 60, members: int = 20, associations: int = 20, changes: int = 10) -> DataFrame:
+    """Edges of ``ego_edges``' columns that stand for hypotheses: members of the address's entity, relay associations, change candidates."""
+    own = cx.entities(flows)
+    entity = own.filter(F.col("address") == address).select("entity_id")
+    member = own.join(F.broadcast(entity), "entity_id", "left_semi").orderBy("address").limit(members)
+    node = lambda c: F.concat(F.lit("address:"), F.col(c))
+    none = F.lit(None).cast("long")
+    touching = (F.col("source") == address) | (F.col("target") == address)
+    related = cx.relay_associations(flows, observations, window_s).filter(touching).orderBy("txid", "other_txid", "source", "target", "src_ip").limit(associations)
+    change = cx.change_candidates(flows, transactions).filter(touching).orderBy("txid").limit(changes)
+    parts = [
+        member.select(F.col("entity_id").alias("source"), node("address").alias("target"), F.lit("candidate_member").alias("kind"), none.alias("amount_sats"), F.lit("heuristic_not_verified").alias("certainty")),
+        related.select(node("source").alias("source"), node("target").alias("target"), F.lit("relay_association").alias("kind"), none.alias("amount_sats"), F.lit("weak_no_ownership_claim").alias("certainty")),
+        change.select(node("source").alias("source"), node("target").alias("target"), F.lit("change_candidate").alias("kind"), none.alias("amount_sats"), F.lit("heuristic_not_merged").alias("certainty")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def ego_totals(flows: DataFrame, transactions: DataFrame, observations: DataFrame, address: str, layer: str = "fused", limit: int = 80, before: str | None = None, flows_per_tx: int = 40, observations_per_tx: int = 60) -> DataFrame:
+    """One row: how much of an address's graph the limits show, and whether they cut any of it off."""
+    mine = flows.filter(F.col("address") == address).select("txid").distinct()
+    timed = mine.join(transactions.select("txid", "first_seen"), "txid")
+    chosen = (until(timed, before) if before else timed).orderBy("txid").limit(limit)
+    cut = lambda rows, most: rows.join(chosen, "txid", "left_semi").groupBy("txid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.least(F.col("n"), F.lit(most))), F.lit(0)).alias("shown"))
+    parts = [
+        mine.agg(F.count(F.lit(1)).alias("total_transactions")), chosen.agg(F.count(F.lit(1)).alias("shown_transactions"), F.min("first_seen").alias("time_min"), F.max("first_seen").alias("time_max")),
+        cut(flows, flows_per_tx).select(F.col("total").alias("total_flows"), F.col("shown").alias("shown_flows")), cut(observations, observations_per_tx).select(F.col("total").alias("total_observations"), F.col("shown").alias("shown_observations")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p), F.lit(True))
+    over = F.col("total_transactions") > F.col("shown_transactions")
+    if layer != "network":
+        over = over | (F.col("total_flows") > F.col("shown_flows"))
+    if layer != "chain":
+        over = over | (F.col("total_observations") > F.col("shown_observations"))
+    return out.withColumns({"truncated": over, "ownership_claims": F.lit(0)})
+
+
 def graph_nodes(edges: DataFrame) -> DataFrame:
     """id, kind, label of the ends of edges."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
