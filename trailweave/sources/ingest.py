@@ -7,9 +7,10 @@ whose hash the case has is skipped, and a file without records changes nothing.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.values import canonical
@@ -20,45 +21,80 @@ from trailweave.session import written
 
 CHAIN = ("txid", "input_addresses", "output_addresses", "input_sats", "output_sats", "fee_sats", "script_type", "vsize")
 OBSERVED = ("txid", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port")
-TABLES = ("sources", "records", "quarantine", "gap_warnings")
 
 
 @dataclass
 class Case:
-    """Tables of a case below a folder that all executors share."""
+    """Tables of a case below a folder that all executors share.
+
+    Whatever an import or a scoring run adds is one batch: it is written aside, all its tables, and published by one
+    rename. A run that dies leaves nothing that readers see, and can be run again. One writer at a time is assumed.
+    """
 
     spark: SparkSession
     folder: str
 
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _found(self, pattern: str) -> list[str]:
+        fs, at = self._at(pattern)
+        return sorted(s.getPath().toString() for s in fs.globStatus(at) or [])
+
+    def batches(self) -> list[str]:
+        """Names of the published batches, the oldest first."""
+        return [p.rsplit("/", 1)[-1] for p in self._found(f"{self.folder}/batches/*")]
+
     def has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return bool(self._found(f"{self.folder}/batches/*/{name}"))
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{name}") if self.has(name) else None
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+        paths = self._found(f"{self.folder}/batches/*/{name}")
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def publish(self, label: str, tables: dict[str, DataFrame]) -> None:
+        """Adds the tables' rows, all or none."""
+        aside = f"{self.folder}/aside/{uuid.uuid4().hex}"
+        for name, rows in tables.items():
+            rows.write.parquet(f"{aside}/{name}")
+        fs, source = self._at(aside)
+        _, target = self._at(f"{self.folder}/batches/{len(self.batches()):08d}-{label}")
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(source, target):
+            raise RuntimeError(f"another run has published {target.getName()}")
 
     def accepted(self) -> DataFrame:
         return self.table("records")
 
-    def drop(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def alerts(self) -> DataFrame | None:
+        """Alerts of the last scoring run, if nothing was imported since."""
+        newest = (self.batches() or [""])[-1]
+        paths = self._found(f"{self.folder}/batches/{newest}/alerts") if newest else []
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def references(self, kind: str) -> DataFrame | None:
+        """The last import of a kind (seeds or exchanges)."""
+        paths = self._found(f"{self.folder}/batches/*/references_{kind}")
+        return self.spark.read.parquet(paths[-1]) if paths else None
 
     def archive(self, path: str, name: str) -> str:
         """A copy of a source file in the case's folder."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        source, copy = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/evidence/{name}")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        (from_fs, source), (to_fs, copy) = self._at(path), self._at(f"{self.folder}/evidence/{name}")
+        self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
         return copy.toString()
 
-    def append_audit(self, events: DataFrame, order: list[str]) -> None:
-        """Extends the case's audit chain by events (payload and columns to order by)."""
+    def audited(self, events: DataFrame, order: list[str]) -> DataFrame:
+        """Audit rows for events (payload and columns to order by) after those of the case."""
         chain = self.table("audit")
         last = chain.agg(F.max("seq"), F.max_by("hash", "seq")).first() if chain is not None else (0, audit.ZERO)
-        self.append("audit", written(audit.extend(events, order, seq=last[0], head=last[1]), "audit"))
+        return audit.extend(events, order, seq=last[0], head=last[1])
+
+    def event(self, **payload: object) -> DataFrame:
+        """One audit row, for a batch that has no other."""
+        row = self.spark.createDataFrame([(json.dumps(payload, sort_keys=True),)], "payload string")
+        return self.audited(row, ["payload"])
 
     def transactions(self) -> DataFrame:
         """First seen is the least time of all observations of a transaction, whenever they came."""
@@ -135,6 +171,25 @@ def file_gaps(rows: DataFrame, stretch: int = 1_000_000) -> DataFrame:
     return slim.join(before, "s").select("ordinal", (F.abs(F.col("t") - step) / 1e6).alias("gap_seconds"))
 
 
+def record_digest() -> Column:
+    """Digest of everything that a record says, for the audit and for the check of stored rows against it."""
+    return F.sha2(canonical({n: F.col(n) for n in (*CHAIN, "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "geo_country", "asn", "geo_source")}), 256)
+
+
+def import_references(case: Case, path: str, kind: str) -> int:
+    """Stores a list of seeds or exchanges in the case and its audit; alerts scored before it no longer count."""
+    from trailweave.sources.references import read_references
+
+    if kind not in ("seeds", "exchanges"):
+        raise ValueError("references are seeds or exchanges")
+    rows = written(read_references(case.spark, path).dropDuplicates(["address"]), "references")
+    n = rows.count()
+    if not n:
+        raise ValueError("the file names no reference")
+    case.publish(f"{kind}", {f"references_{kind}": rows, "audit": case.event(event="references_imported", kind=kind, rows=n, sha256=file_hash(case.spark, path))})
+    return n
+
+
 def classify(good: DataFrame, known: DataFrame | None) -> DataFrame:
     """``good`` with chain, observation_id and status: accepted, duplicate or conflict.
 
@@ -193,14 +248,11 @@ def ingest(case: Case, path: str, mapping: dict[str, str] | None = None, ranges:
     raw_hash = F.sha2("raw", 256).alias("raw_sha256")
     known = judged.filter("status <> 'conflict'")
     rest = quarantine.select("ordinal", F.lit(1).alias("step"), F.to_json(F.struct(F.lit("quarantined").alias("event"), "error", raw_hash, F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
-    told = known.select("ordinal", F.lit(1).alias("step"), F.to_json(F.struct(F.col("status").alias("event"), "observation_id", raw_hash, F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
+    told = known.select("ordinal", F.lit(1).alias("step"), F.to_json(F.struct(F.col("status").alias("event"), "observation_id", record_digest().alias("normalized_sha256"), raw_hash, F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
     fees = known.filter("status = 'accepted' AND fee_mismatch_sats <> 0").select("ordinal", F.lit(0).alias("step"), F.to_json(F.struct(F.lit("fee_mismatch_accepted").alias("event"), F.col("fee_sats").alias("computed_fee_sats"), "reported_fee_sats", F.col("ordinal").alias("row"), F.lit(source).alias("source"))).alias("payload"))
     review = {"event": "schema_review", "source_sha256": source, "timestamp_gap_warnings": [[r[0], r[1]] for r in warnings], "unmapped_fields": unmapped}
     ends = [(0, 0, json.dumps({"event": "source_ingested", "mapping": mapping or {}, "name": path, "sha256": source}, sort_keys=True)), (1 << 62, 0, json.dumps(review, sort_keys=True))]
-    case.append("quarantine", quarantine)
-    case.append_audit(told.unionByName(rest).unionByName(fees).unionByName(spark.createDataFrame(ends, "ordinal long, step int, payload string")), ["ordinal", "step"])
-    if case.has("alerts"):  # stale from here on
-        case.drop("alerts")
-    case.append("records", accepted)
-    case.append("sources", spark.createDataFrame([(source, stored, path.rsplit(".", 1)[-1].lower())], "hash string, name string, format string"))
+    events = told.unionByName(rest).unionByName(fees).unionByName(spark.createDataFrame(ends, "ordinal long, step int, payload string"))
+    file = spark.createDataFrame([(source, stored, path.rsplit(".", 1)[-1].lower())], "hash string, name string, format string")
+    case.publish(f"source-{source[:16]}", {"quarantine": quarantine, "audit": case.audited(events, ["ordinal", "step"]), "records": accepted, "sources": file})
     return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "quarantined": rows.filter("error IS NOT NULL").count() + refused.count() + counts.get("conflict", 0), "new_transactions": new_count, "source_sha256": source, "unmapped_fields": unmapped, "timestamp_gap_warnings": [(r[0], r[1]) for r in warnings], "review_required": bool(unmapped or warnings)}
