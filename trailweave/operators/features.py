@@ -114,6 +114,21 @@ def network_features(spent: DataFrame, observations: DataFrame) -> DataFrame:
         F.avg(F.col("obs").isNotNull().cast("double")).alias("network_coverage"), F.coalesce(F.log1p(F.sum("degree_sum") / F.sum("obs")), F.lit(0.0)).alias("mean_source_transaction_degree"))
 
 
+def evidence(spent: DataFrame, observations: DataFrame, hub_limit: int = 20) -> DataFrame:
+    """address, network_coverage, geo_coverage, script_missing, shared_relay, first_seen, last_seen, total_btc: how complete the observations are.
+
+    Observations are summed up by transaction before they meet the addresses.
+    """
+    seen = observations.filter(F.col("src_ip").isNotNull()).join(source_degrees(observations), "src_ip")
+    located = (F.col("geo_country").isNotNull() | F.col("asn").isNotNull()).cast("long")
+    per_tx = seen.groupBy("txid").agg(F.count(F.lit(1)).alias("obs"), F.sum(located).alias("located"), F.max("degree").alias("degree"))
+    rows = spent.join(per_tx, "txid", "left")
+    return rows.groupBy("address").agg(
+        F.avg(F.col("obs").isNotNull().cast("double")).alias("network_coverage"), (F.coalesce(F.sum("located"), F.lit(0)) / F.greatest(F.coalesce(F.sum("obs"), F.lit(0)), F.lit(1))).alias("geo_coverage"),
+        F.avg(F.col("script_type").isNull().cast("double")).alias("script_missing"), F.coalesce(F.max("degree") > hub_limit, F.lit(False)).alias("shared_relay"),
+        F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen"), (F.sum("out_sats") / SATS).alias("total_btc"))
+
+
 def profiles(flows: DataFrame, transactions: DataFrame, observations: DataFrame, seeds: DataFrame | None = None, window_s: int = 60, hub_limit: int = 20) -> DataFrame:
     """address with all features and n."""
     spent = spends(flows, transactions)

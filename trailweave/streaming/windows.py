@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,44 @@ def relay_pairs(left: DataFrame, right: DataFrame, window: str = "60 seconds", l
     return a.join(b, near).select(F.col("a.src_ip").alias("src_ip"), F.col("a.txid").alias("txid"), F.col("b.txid").alias("other_txid"), F.expr("unix_micros(b.timestamp) - unix_micros(a.timestamp)").alias("delta_micros"))
 
 
-def running_gaps(events: DataFrame, key: str, most: float = 86_400.0) -> DataFrame:
-    """key, timestamp, gap_seconds: events further than ``most`` from the key's last one, by keyed state."""
+def first_seen(observations: DataFrame) -> DataFrame:
+    """txid, first_seen: the least time so far, which a late observation lowers (for the update or complete mode)."""
+    return observations.groupBy("txid").agg(F.min("timestamp").alias("first_seen"))
+
+
+def running_gaps(events: DataFrame, key: str, most: float = 86_400.0, late: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """key, timestamp, gap_seconds: events further than ``most`` from the key's last one, by keyed state.
+
+    A key's state is its last time, and goes once the watermark has passed it by ``keep``.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
+
     def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t.timestamp() for pdf in batches for t in pdf["timestamp"])
-        rows = []
-        for t in times:
-            if last is not None and abs(t - last) > most:
-                rows.append((own[0], pd.Timestamp(t, unit="s"), abs(t - last)))
-            last = t
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=[key, "timestamp", "gap_seconds"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        micros = np.sort(np.concatenate([pdf["timestamp"].to_numpy("datetime64[us]").astype("int64") for pdf in batches]))
+        gaps = np.abs(np.diff(micros, prepend=state.get[0] if state.exists else micros[0])) / 1e6
+        state.update((int(micros[-1]),))
+        state.setTimeoutTimestamp(max(int(micros[-1] // 1000), state.getCurrentWatermarkMs()) + hold)
+        far = gaps > most
+        if far.any():
+            yield pd.DataFrame({key: own[0], "timestamp": micros[far].astype("datetime64[us]"), "gap_seconds": gaps[far]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "timestamp").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, gap_seconds double", "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select(key, "timestamp").withWatermark("timestamp", late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, gap_seconds double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def import_files(case, folder: str, **options):
+    """A stream that imports every new file of a folder into a case; each import outdates the alerts scored before it."""
+    from trailweave.sources.ingest import ingest
+
+    def each(batch: DataFrame, _: int) -> None:
+        for row in batch.select("path").distinct().collect():  # new files of a trigger
+            ingest(case, row.path, **options)
+
+    files = case.spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 16).schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
+    return files.writeStream.foreachBatch(each)
