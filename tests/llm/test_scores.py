@@ -188,6 +188,20 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_a_list_of_many_rules(spark):
+    """Thousands of rules from a table, against every rule tried on every url; long and repeated urls."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["allow", "block"]), f"{'sub.' * (i % 3)}site{i}.example.net", rng.choice(["/", "/a/", f"/p{i % 7}"])) for i in range(3000)]
+    rules = urlfilter.rules_of(spark.createDataFrame(rows, "verdict string, host string, path string"))
+    urls = [f"https://{'x.' * (i % 2)}{'sub.' * (i % 4)}site{rng.randrange(3300)}.example.net{rng.choice(['/', '/a/b', '/p3/q', ''])}" for i in range(400)] + ["http://site1.example.net/" + "a/" * 50_000] * 3
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, url in enumerate(urls):
+        host, path = urlfilter.split_url(url)
+        fit = [r for r in rules if (h := r.name.partition("/"))[0] and (host == h[0] or host.endswith("." + h[0])) and path.startswith("/" + h[2])]
+        best = min(fit, key=lambda r: (-len(r.name), rules.index(r)), default=None)
+        assert got[i] == ((best.name, best.verdict) if best else (None, "allow"))
+
+
 def test_index_runs_few_rules():
     rules = tuple(urlfilter.Rule.host("block", f"site{i}.example.org/") for i in range(100))
     index = urlfilter.Index(rules, {"example": 500, "org": 900})

@@ -7,7 +7,8 @@ filed under the rarest. A url's tokens fetch its candidate rules, and only these
 where no host rule fits, the verdict is that of the method's own patterns, else ``allow``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no host rule; an empty table
-gives an empty result; repeated rows are judged alike; a column of the input that is named like a new one gives way.
+gives an empty result; repeated rows are judged
+alike; urls of any length are read whole; rules of equal length go by their order; a column of the input that is named like a new one gives way.
 """
 
 from __future__ import annotations
@@ -47,8 +48,24 @@ class Rule:
 
 
 HOST_RULES = (Rule.host("allow", "org/"), Rule.host("block", "example.org/es/"), Rule.host("block", "example.org/en/1"), Rule.host("allow", "com/fr/"), Rule.host("block", "com/de/"))
-#: The method's own patterns, for urls that no host rule fits: hosts of advertising, tracking, gambling and adult pages.
-OWN_RULES = tuple(Rule(f"own:{t}", "block", rf"(?:[^/]*[.-])?{t}(?:[.-][^/]*)?(?:/.*)?\Z", (t,), True) for t in ("ads", "adserver", "casino", "porn", "tracker", "xxx"))
+#: Parts of host names by what they stand for.
+KINDS = {
+    "advertising": ("ad", "ads", "adserver", "adservice", "banner", "banners", "doubleclick", "popunder"), "tracking": ("analytics", "beacon", "clicktrack", "pixel", "tracker", "tracking"),
+    "gambling": ("bet", "betting", "bingo", "casino", "jackpot", "poker", "slots"), "adult": ("adult", "escort", "porn", "sex", "xxx"), "piracy": ("torrent", "warez"), "malware": ("malware", "phishing"),
+}
+#: The method's own patterns, for urls that no host rule fits: hosts with such a part.
+OWN_RULES = tuple(Rule(f"own:{t}", "block", rf"(?:[^/]*[.-])?{t}(?:[.-][^/]*)?(?:/.*)?\Z", (t,), True) for kind in KINDS.values() for t in kind)
+
+
+def rules_of(table: DataFrame, most: int = 1_000_000) -> tuple[Rule, ...]:
+    """Host rules of a table (verdict, host, path), such as a published list of many thousands.
+
+    A list is a setting, held by every task: more than ``most`` rows are an error.
+    """
+    rows = table.select("verdict", "host", F.coalesce("path", F.lit("/")).alias("path")).filter("host IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(sorted((Rule.host(r.verdict, f"{r.host}{r.path}") for r in rows), key=lambda r: (r.name, r.verdict)))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
