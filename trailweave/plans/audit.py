@@ -14,7 +14,10 @@ ZERO = "0" * 64
 
 
 def extend(events: DataFrame, order: list[str], payload: str = "payload", seq: int = 0, head: str = ZERO) -> DataFrame:
-    """Audit rows of ``events`` in the given order after (seq, head). A hash covers the one before: one ordered task, batch by batch."""
+    """Audit rows of ``events`` in the given order after (seq, head).
+
+    A hash covers the one before, so hashing is one ordered task, batch by batch; what makes the events is not part of it.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last = seq, head
@@ -27,10 +30,11 @@ def extend(events: DataFrame, order: list[str], payload: str = "payload", seq: i
                 last = own
             yield pd.DataFrame(rows, columns=["seq", "payload", "prev_hash", "hash"])
 
-    return events.coalesce(1).sortWithinPartitions(*order).select(F.col(payload).alias("payload")).mapInPandas(fold, AUDIT)
+    narrow = events.select(*dict.fromkeys([*order, payload])).repartition(1).sortWithinPartitions(*order)
+    return narrow.select(F.col(payload).alias("payload")).mapInPandas(fold, AUDIT)
 
 
-def broken_links(audit: DataFrame, stretch: int = 1_000_000) -> DataFrame:
+def broken_links(audit: DataFrame) -> DataFrame:
     """Rows whose number, link or hash is wrong: every row is hashed anew, and compared with the row before it.
 
     A row's predecessor comes by its number, so the check is a join and needs no order over the whole table.

@@ -141,7 +141,7 @@ def tag_tor(rows: DataFrame, exits: DataFrame | None, valid_from: str = "", vali
 
 
 def strict_gaps(rows: DataFrame, most: float) -> DataFrame:
-    """Rows (ordinal, timestamp) too far from the last row that passed: a fold over the file, so in one sorted task."""
+    """Rows (ordinal, timestamp) too far from the last row that passed: a fold over two numbers a row, so in one sorted task."""
     import pandas as pd
 
     def fold(batches):
@@ -155,7 +155,7 @@ def strict_gaps(rows: DataFrame, most: float) -> DataFrame:
                     last = at
             yield pd.DataFrame(bad, columns=["ordinal", "gap_seconds"]).astype({"ordinal": "int64", "gap_seconds": "float64"})
 
-    slim = rows.select("ordinal", (F.unix_micros("timestamp") / 1e6).alias("t")).coalesce(1).sortWithinPartitions("ordinal")
+    slim = rows.select("ordinal", (F.unix_micros("timestamp") / 1e6).alias("t")).repartition(1).sortWithinPartitions("ordinal")
     return slim.mapInPandas(fold, "ordinal long, gap_seconds double")
 
 
