@@ -12,6 +12,7 @@ from trailweave.operators import drift, rules, taint
 from trailweave.operators import features as ft
 from trailweave.plans import audit, index, metrics
 from trailweave.schema import FLOWS, TRANSACTIONS
+from trailweave.session import written
 
 T0 = 1_735_689_600
 
@@ -28,11 +29,12 @@ def case(spark, txs):
 def test_haircut(spark):
     btc = 100_000_000
     txs = {"t1": (0, [("seed", btc), ("clean", btc)], [("mid", int(1.999 * btc))]), "t2": (60, [("mid", int(1.999 * btc))], [("end", int(1.998 * btc))])}
-    got = {r.address: r for r in taint.haircut(*case(spark, txs), ["seed"], 0.9).collect()}
+    out = written(taint.haircut(*case(spark, txs), ["seed"], 0.9), "haircut")
+    got = {r.address: r for r in out.collect()}
     assert got["mid"].fraction == pytest.approx(0.45, abs=1e-3) and got["end"].fraction == pytest.approx(0.405, abs=1e-3)
     assert got["end"].hops == 2 and got["end"].path == ["t1", "t2"]
     assert (got["seed"].fraction, got["seed"].hops) == (1.0, 0)
-    whole = {r.address: r.taint for r in taint.taint_fraction(taint.haircut(*case(spark, txs), ["seed"], 0.9)).collect()}
+    whole = {r.address: r.taint for r in taint.taint_fraction(out).collect()}
     assert whole["seed"] == 1 and set(whole) == {"seed", "mid", "end"}
     assert taint.haircut(*case(spark, txs), ["nobody"], 0.9).count() == 0
 
