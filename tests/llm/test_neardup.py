@@ -158,3 +158,39 @@ def test_wide_links_connect_all_true_candidates(spark):
                 true += 1
                 assert got[i] == got[j]
     assert true > 50 and all(differ(rows[a], rows[b]) <= neardup.WIDE_BUDGET for a, b in links)
+
+
+@pytest.mark.parametrize("words", [(8, 40), (40, 300)])
+def test_nothing_goes_below_the_similarity_and_little_stays_above(spark, words):
+    rng = random.Random(words[0])
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(150):
+        text = [word() for _ in range(rng.randrange(*words))]
+        texts.append(text)
+        for _ in range(rng.randrange(4)):
+            other = list(text)
+            # from far above the similarity to far below it
+            for _ in range(rng.randrange(1, max(2, len(text) // 12))):
+                at = rng.choice([rng.randrange(len(other)), len(other) - 1])
+                other[at : at + 1] = rng.choice([[word()], [], [other[at], word()]])
+            texts.append(other)
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    want = set(least)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
+    gone = len(texts) - len(want)
+    assert gone > 30 and want <= kept
+    assert len(kept - want) <= 0.05 * gone
+
+
+def test_links_are_confirmed_at_the_similarity_itself(spark):
+    sets = spark.createDataFrame([(1, list(range(9))), (2, [*range(8), 20]), (3, list(range(7))), (4, []), (5, [])], "fp long, shingles array<long>")
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 5)], "a long, b long")
+    # 8 of 10; 7 of 9; 7 of 9; none of 9; two texts without words
+    assert {(r.a, r.b) for r in neardup.similar_links(links, sets).collect()} == {(1, 2), (4, 5)}

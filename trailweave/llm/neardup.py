@@ -12,12 +12,15 @@ rounds of large-star and small-star contraction over written tables.
 A fingerprint of 64 bits tells texts apart that share four fifths of their shingles (they differ in about ten bits), and
 a budget of ten bits prunes no trie. ``keep_one`` therefore takes fingerprints of 1,024 bits over five-word shingles,
 where such texts differ in 155 bits give or take 12. It cuts them into 32 keys of 32 bits, finds the pairs of keys
-that differ in at most two bits by the same trie join, and links those whose whole fingerprints differ in at most
-``WIDE_BUDGET`` bits, which a task tests before it joins two components: 98 % of the pairs at similarity 0.8 share such
-a key, and nearly all above. (The further word that a key carries differs in 10 bits, give or take 3, at that
+that differ in at most two bits by the same trie join, and takes those as candidates whose whole fingerprints differ in
+at most ``WIDE_BUDGET`` bits, which a task tests before it joins two components: 98 % of the pairs at similarity 0.8
+share such a key, and nearly all above. (The further word that a key carries differs in 10 bits, give or take 3, at that
 similarity: its budget of 20 loses one such pair in 2,000 in a table, and a pair has several.) Texts of few shingles
 differ in more bits at the same similarity, so ``wide_budget`` grows for them: the bits that 0.8 is expected to cost
-for their number of shingles, and as many standard deviations as 176 is above 155.
+for their number of shingles, and as many standard deviations as ``WIDE_BUDGET`` is above 155.
+
+A task joins the closest candidates first. What it emits is then confirmed: a link stays if the two texts' exact sets
+of shingles have a similarity of ``SIMILARITY`` or more, so nothing goes that isn't joined to what stays by such links.
 
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are hashed whole; a null doc_id takes part but is no representative unless its component has no other
@@ -48,7 +51,11 @@ _FRONT, _DIRECT = 1 << 16, 16
 _PAIRS = 1 << 16
 #: Words of a wide fingerprint, bits that linked ones may differ in, bits that a table's keys may, and bits that a
 #: further word, carried along, may differ in before a pair of keys is taken for chance.
-WIDE, WIDE_BUDGET, KEY_BUDGET, CHECK_BUDGET = 16, 176, 2, 20
+WIDE, WIDE_BUDGET, KEY_BUDGET, CHECK_BUDGET = 16, 184, 2, 20
+#: Shares of the bits that candidates may differ in, in the order in which a task takes them.
+_NEARER = (0.6, 0.8, 0.9, 1.0)
+#: Shared shingles of all shingles of two near copies, at least: four fifths.
+SIMILARITY = (4, 5)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -111,7 +118,7 @@ def wide_budget(shingles: int) -> int:
     # similarity 0.8 by further shingles, and by replaced ones
     p = max(_differ(n, 0, n // 4), _differ(n - n // 9, n // 9, n // 9))
     bits = 64 * WIDE
-    return max(WIDE_BUDGET, round(bits * p + 1.8 * (bits * p * (1 - p)) ** 0.5)) if n < 256 else WIDE_BUDGET
+    return max(WIDE_BUDGET, round(bits * p + 2.5 * (bits * p * (1 - p)) ** 0.5)) if n < 256 else WIDE_BUDGET
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -252,7 +259,10 @@ def _with_candidates(keys: np.ndarray, check: np.ndarray, exact: int, before: li
 
 
 def _wide_forest(keys: np.ndarray, wide: np.ndarray, room: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows a, b), fewer than rows (sorted keys), that connect all pairs of near keys and of fingerprints within ``room`` bits, the larger of the two rows'."""
+    """Links (rows a, b), fewer than rows (sorted keys), that connect all pairs of near keys and of fingerprints within ``room`` bits, the larger of the two rows'.
+
+    Nearer pairs join first, by ``_NEARER`` shares of that room.
+    """
     first, size, several = _grouped(keys)
     label, links = np.arange(len(keys)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
@@ -260,11 +270,12 @@ def _wide_forest(keys: np.ndarray, wide: np.ndarray, room: np.ndarray, exact: in
         low, high = np.minimum.reduceat(label, first)[key], np.maximum.reduceat(label, first)[key]
         return (label[row] != low) | (low != high)
 
-    for a, b in _row_pairs(chain([(several, several)], _trie_pairs(keys[first], KEY_BUDGET, exact)), first, size, matters):
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= np.maximum(room[a], room[b])
-        label = _join_forest(label, a[near], b[near], links)
+    for share in _NEARER:
+        for a, b in _row_pairs(chain([(several, several)], _trie_pairs(keys[first], KEY_BUDGET, exact)), first, size, matters):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= share * np.maximum(room[a], room[b])
+            label = _join_forest(label, a[near], b[near], links)
     return tuple(np.concatenate(v) for v in zip(*links, strict=True))
 
 
@@ -425,18 +436,51 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("wide", ArrayType(LongType())), StructField("room", IntegerType())]))
 
 
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` (text last) without text, with shingles, the hashes of the text's different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(batch.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "shingles"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("shingles", ArrayType(LongType()))]))
+
+
+def similar_links(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``links`` (a, b) between ``sets`` (fp, shingles) of a similarity of ``SIMILARITY`` or more.
+
+    A fingerprint's set travels once for each of its links, and links are fewer than fingerprints in a table of keys.
+    """
+    of, all_ = SIMILARITY
+    pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.filter(all_ * common >= of * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each component of near copies: that of the smallest doc_id, once.
 
     Rows without a doc_id stay only where their component has no other, one of them. Texts are exchanged once, by the
-    pair of id and text hash that the semi-join and the choice among repeated rows share.
+    pair of id and text hash that the semi-join and the choice among repeated rows share, and those of one document for
+    each fingerprint that has a candidate once more, for the exact test of its links.
     """
     names = docs.columns
     row = replace_columns(docs, _tw_id=F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), _tw_text=F.xxhash64("text"))
     wide = wide_fingerprints(row.select("doc_id", "_tw_id", "_tw_text", "text"), shingle)
     slim = written(wide.withColumn("fp", F.xxhash64("wide")), "slim")
     unique = written(slim.groupBy("fp").agg(F.any_value("wide").alias("wide"), F.max("room").alias("room")), "wide")
-    found = with_components(slim.drop("wide", "room"), wide_links(unique))
+    links = written(wide_links(unique), "candidate_links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    of_print = slim.select("fp", "_tw_id", "_tw_text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("_tw_id", "_tw_text")).alias("at")).select("fp", "at.*")
+    # the texts of one row each: repeated rows count once
+    texts = row.select("_tw_id", "_tw_text", "text").join(of_print, ["_tw_id", "_tw_text"]).groupBy("fp").agg(F.any_value("text").alias("text"))
+    sets = written(shingle_sets(texts, shingle), "shingle_sets")
+    found = with_components(slim.drop("wide", "room"), similar_links(links, sets))
     first = found.filter("doc_id <=> component_id").groupBy("root_fp", "_tw_id").agg(F.min("_tw_text").alias("_tw_text")).select("_tw_id", "_tw_text")
     kept = row.join(first, ["_tw_id", "_tw_text"], "left_semi")
     return kept.dropDuplicates(["_tw_id", "_tw_text"]).select(*[F.col(f"`{c}`") for c in names])
