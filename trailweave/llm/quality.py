@@ -43,7 +43,7 @@ ACCEPT = 0.7
 _SIGNS = bytes((ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b) for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _EDGES = re.compile(rb"^[^a-z\x80-\xff]+|[^a-z\x80-\xff]+$")
-_ROWS, _FINE, _UNIT = 512, 1 << 12, 1 << 20
+_ROWS, _FINE, _UNIT = 128, 1 << 12, 1 << 20
 
 
 @lru_cache(1 << 16)
