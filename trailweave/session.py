@@ -49,11 +49,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Rows that a Python worker gets at once, and their setting.
+BATCH_ROWS, _BATCH = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, once for an application, wherever the driver runs."""
+    """Sends this package to the executors' Python workers, once for an application, wherever the driver runs.
+
+    Where the session leaves open how many rows go to a Python worker at once, whole texts are many bytes a row: it is
+    set to ``BATCH_ROWS``.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "-1") == "-1":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         target = Path(os.path.realpath(tempfile.mkdtemp())) / f"{root.name}.zip"
