@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.models import shap
+
 LEAST_ROWS = 20
 
 
@@ -74,21 +76,15 @@ class Forest:
     def base(self) -> float:
         return float(np.mean([t.value[0] for t in self.trees]))
 
-    def contributions(self, rows: np.ndarray) -> np.ndarray:
-        """Per feature, how much it lengthens a row's mean path: the steps of the nodes' means along the row's way.
+    def leaves(self) -> list[list[shap.Path]]:
+        return [shap.paths(t) for t in self.trees]
+
+    def contributions(self, rows: np.ndarray, leaves: list[list[shap.Path]] | None = None) -> np.ndarray:
+        """Per feature, how much it lengthens a row's mean path: Shapley values.
 
-        They add up, with ``base``, to the path length exactly.
+        They add up, with ``base``, to the path length, and don't depend on the order of a path's splits.
         """
-        out = np.zeros((len(rows), len(self.names)))
-        every = np.arange(len(rows))
-        for t in self.trees:
-            at = np.zeros(len(rows), int)
-            while (inner := t.feature[at] >= 0).any():
-                f = np.where(inner, t.feature[at], 0)
-                to = np.where(inner, np.where(rows[every, f] <= t.cut[at], t.left[at], t.right[at]), at)
-                out[every, f] += np.where(inner, t.value[to] - t.value[at], 0)
-                at = to
-        return out / len(self.trees)
+        return shap.shapley(leaves or self.leaves(), rows, len(self.names))
 
 
 def fit(profiles: DataFrame, names: list[str], trees: int = 160, sample: int = 256, seed: int = 41, most_rows: int = 20_000) -> Forest:
