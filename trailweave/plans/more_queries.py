@@ -71,31 +71,44 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: The whole ledger, transaction by transaction: (address, seed) holds bal (of the address), held, exposed, hops and path; row '#' counts.
 LEDGER = """seeds AS (SELECT DISTINCT address FROM p_flows WHERE direction = 'input' ORDER BY address LIMIT 3),
-timed AS MATERIALIZED (SELECT f.*, first_seen, f.address IN (SELECT address FROM seeds) AS seed FROM p_flows f JOIN p_tx USING (txid)),
-sums AS (SELECT *, coalesce(sum(CASE WHEN direction = 'input' THEN -amount_sats ELSE amount_sats END) OVER b, 0) AS s, coalesce(count(*) FILTER (direction = 'input') OVER b, 0) AS spent, count(*) FILTER (direction = 'input') OVER (PARTITION BY address) AS spends
-         FROM timed WINDOW b AS (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lows AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS UNBOUNDED PRECEDING)) AS balance FROM sums),
-spends AS MATERIALIZED (SELECT address, spent + 1 AS k, txid, amount_sats, amount_sats::DOUBLE / greatest(balance, amount_sats, 1)::DOUBLE AS share, spent + 1 = spends AS last, seed FROM lows WHERE direction = 'input'),
-totals AS (SELECT txid, greatest(sum(amount_sats), 1)::DOUBLE AS total FROM p_flows WHERE direction = 'input' GROUP BY txid),
-outs AS MATERIALIZED (SELECT l.txid, address, CASE WHEN spent < spends THEN spent + 1 END AS k, amount_sats / total * 0.9 AS part FROM lows l JOIN totals t ON t.txid = l.txid WHERE direction = 'output' AND NOT seed),
-steps AS MATERIALIZED (
-    SELECT i.address AS a, i.k AS ka, o.address AS b, o.k AS kb, sum(i.share * o.part) AS w FROM spends i JOIN outs o ON o.txid = i.txid WHERE NOT i.seed AND o.k IS NOT NULL GROUP BY ALL
-    UNION ALL SELECT address, k, address, k + 1, 1 - share FROM spends WHERE NOT seed AND NOT last),
-begin AS (SELECT i.address AS seed, o.address, o.k, sum(i.amount_sats * o.part) AS mass FROM spends i JOIN outs o ON o.txid = i.txid WHERE i.seed GROUP BY ALL),
-waves AS (SELECT seed, address, k, mass, 0 AS it FROM begin WHERE k IS NOT NULL
-          UNION ALL SELECT v.seed, t.b, t.kb, sum(v.mass * t.w), max(it) + 1 FROM waves v JOIN steps t ON t.a = v.address AND t.ka = v.k GROUP BY v.seed, t.b, t.kb HAVING sum(v.mass * t.w) > 0),
-at_spend AS (SELECT seed, address, k, sum(mass) AS mass FROM waves GROUP BY ALL),
-gains AS (SELECT seed, address, mass FROM begin UNION ALL SELECT v.seed, o.address, v.mass * i.share * o.part FROM at_spend v JOIN spends i ON i.address = v.address AND i.k = v.k JOIN outs o ON o.txid = i.txid),
-exposed AS (SELECT seed, address, sum(mass) AS exposed FROM gains WHERE mass > 0 GROUP BY ALL), got AS (SELECT address, sum(amount_sats)::DOUBLE AS received FROM p_flows WHERE direction = 'output' GROUP BY address)"""
-
-
-@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {LEDGER}
-SELECT address, seed, round(least(1.0, exposed / greatest(received, 1.0)), 6) AS fraction, received FROM exposed JOIN got USING (address)
-UNION ALL SELECT DISTINCT address, address, 1.0, 0.0 FROM spends WHERE seed""")
+spending AS (SELECT txid, row_number() OVER (ORDER BY first_seen, txid) AS i FROM p_tx WHERE txid IN (SELECT txid FROM p_flows WHERE direction = 'input')),
+timed AS (SELECT f.*, first_seen, CASE WHEN direction = 'input' THEN -amount_sats ELSE amount_sats END AS signed FROM p_flows f JOIN p_tx USING (txid)),
+sums AS (SELECT *, coalesce(sum(signed) OVER (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM timed),
+shares AS (SELECT *, amount_sats::DOUBLE / greatest(s - least(0, min(s) OVER (PARTITION BY address ORDER BY first_seen, txid, direction, ordinal ROWS UNBOUNDED PRECEDING)), amount_sats, 1)::DOUBLE AS share FROM sums),
+ins AS MATERIALIZED (SELECT i, txid, ordinal, address, amount_sats, share * coalesce(product(1 - share) OVER (PARTITION BY txid, address ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS share, product(1 - share) OVER (PARTITION BY txid, address) AS rest, address IN (SELECT address FROM seeds) AS seed, greatest(sum(amount_sats) OVER (PARTITION BY txid), 1) AS total FROM shares JOIN spending USING (txid) WHERE direction = 'input'),
+outs AS MATERIALIZED (SELECT i, txid, address, amount_sats FROM shares JOIN spending USING (txid) WHERE direction = 'output' AND address NOT IN (SELECT address FROM seeds)),
+steps AS MATERIALIZED (SELECT i, any_value(txid) AS txid, any_value(total)::DOUBLE AS total, list({'a': address, 'v': amount_sats::DOUBLE, 'share': share, 'rest': rest, 'seed': seed} ORDER BY ordinal) AS spent FROM ins GROUP BY i),
+gets AS MATERIALIZED (SELECT i, list({'a': address, 'v': amount_sats::DOUBLE}) AS got FROM outs GROUP BY i)"""
+
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, {TX}, {LEDGER},
+led(address, seed, held, exposed, hops, path, i) USING KEY (address, seed) AS (
+    SELECT '#', '#', 0.0::DOUBLE, 0.0::DOUBLE, 0, [0]::BIGINT[], 0::BIGINT
+    UNION
+    SELECT * FROM (
+        WITH nxt AS (SELECT s.* FROM steps s JOIN recurring.led c ON c.address = '#' AND s.i = c.i + 1),
+        spent AS (SELECT n.i, txid, total, unnest(spent) AS p, generate_subscripts(spent, 1) AS o FROM nxt n),
+        taken AS (
+            SELECT p.a AS address, p.a AS seed, o, p.v AS amount, 0 AS hops, []::BIGINT[] AS path, NULL::DOUBLE AS kept, txid, total, spent.i AS i FROM spent WHERE p.seed
+            UNION ALL SELECT p.a, l.seed, o, l.held * p.share, l.hops, l.path, l.held * p.rest, txid, total, spent.i FROM spent JOIN recurring.led l ON l.address = p.a WHERE NOT p.seed AND l.held * p.share > 0),
+        moving AS (SELECT seed, sum(amount) AS mass, arg_max(hops, o) AS hops, arg_max(path, o) AS path, any_value(txid) AS txid, any_value(total) AS total, any_value(i) AS i FROM taken GROUP BY seed),
+        gained AS (SELECT g.got.a AS address, m.seed, sum(g.got.v / m.total * 0.9 * m.mass) AS gain, any_value(m.hops) + 1 AS hops, list_append(any_value(m.path), any_value(m.txid)) AS path, any_value(m.i) AS i
+                   FROM moving m JOIN (SELECT i, unnest(got) AS got FROM gets WHERE i IN (SELECT i FROM nxt)) g ON true GROUP BY g.got.a, m.seed HAVING sum(g.got.v / m.total * 0.9 * m.mass) > 0),
+        kept AS (SELECT address, seed, min(kept) AS kept, any_value(i) AS i FROM taken WHERE kept IS NOT NULL GROUP BY address, seed),
+        both_sides AS (SELECT coalesce(g.address, k.address) AS address, coalesce(g.seed, k.seed) AS seed, g.gain, g.hops, g.path, k.kept, coalesce(g.i, k.i) AS i FROM gained g FULL JOIN kept k ON g.address = k.address AND g.seed = k.seed)
+        SELECT b.address, b.seed, coalesce(b.kept, l.held, 0) + coalesce(gain, 0), coalesce(l.exposed, 0) + coalesce(gain, 0), CASE WHEN l.hops IS NULL OR b.hops < l.hops THEN b.hops ELSE l.hops END, CASE WHEN l.hops IS NULL OR b.hops < l.hops THEN b.path ELSE l.path END, b.i
+        FROM both_sides b LEFT JOIN recurring.led l ON l.address = b.address AND l.seed = b.seed
+        UNION ALL SELECT '#', '#', 0, 0, 0, [0], i FROM nxt)),
+got AS (SELECT address, sum(amount_sats)::DOUBLE AS received FROM p_flows WHERE direction = 'output' GROUP BY address)
+SELECT address, seed, round(least(1.0, exposed / greatest(received, 1.0)), 6) AS fraction, received, hops, array_to_string(path, '>') AS path FROM led JOIN got USING (address) WHERE exposed > 0
+UNION ALL SELECT DISTINCT address, address, 1.0, 0.0, 0, '' FROM ins WHERE seed""")
 def haircut_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = [r[0] for r in seeds(spark, sf_dir).collect()]
-    return taint.haircut(flows(spark, sf_dir), transactions(spark, sf_dir), known).select("address", "seed", F.round("fraction", 6).alias("fraction"), "received")
+    """Taint of all seeds with hops and path; the SQL keeps the whole ledger transaction by transaction."""
+    out = taint.haircut(flows(spark, sf_dir), transactions(spark, sf_dir), seeds(spark, sf_dir))
+    return out.select("address", "seed", F.round("fraction", 6).alias("fraction"), "received", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query()
