@@ -46,25 +46,28 @@ _EDGES = re.compile(rb"^[^a-z\x80-\xff]+|[^a-z\x80-\xff]+$")
 _ROWS, _FINE, _UNIT = 128, 1 << 12, 1 << 20
 
 
-@lru_cache(1 << 16)
 def _shape(shape: bytes) -> int:
     return crc32(_RUNS.sub(rb"\1", shape)) % SHAPES
 
 
-@lru_cache(1 << 16)
 def _word(word: bytes) -> int:
     return SHAPES + crc32(_EDGES.sub(b"", word)) % WORDS
 
 
+#: Columns of words up to _SHORT bytes are remembered; longer ones would fill a worker's memory.
+_SHORT = 48
+_short_shape, _short_word = lru_cache(1 << 15)(_shape), lru_cache(1 << 15)(_word)
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns and counts of the words of a text, of their shapes, and of repeats (the last column, per mille)."""
     data = (text or "").encode("utf-8", "surrogatepass")
     found: Counter = Counter()
     for shape, n in Counter(data.translate(_SIGNS).split()).items():
-        found[_shape(shape)] += n
+        found[(_short_shape if len(shape) <= _SHORT else _shape)(shape)] += n
     words = Counter(data.lower().split())
     for word, n in words.items():
-        found[_word(word)] += n
+        found[(_short_word if len(word) <= _SHORT else _word)(word)] += n
     if words:
         found[DIMENSIONS - 1] = 1000 - 1000 * len(words) // words.total()
     return np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.float32, len(found))
