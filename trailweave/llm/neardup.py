@@ -425,12 +425,14 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` (text last) without text, with wide, an array of longs, and room, the bits that a near copy may differ in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in texts]
-            wide = np.array([_wide(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+            wide, room = np.empty((batch.num_rows, WIDE), np.uint64), np.empty(batch.num_rows, np.int32)
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                wide[i], room[i] = _wide(own), wide_budget(min(len(own), 256))
+            wide = wide.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
-            room = pa.array([wide_budget(min(len(s), 256)) for s in sets], pa.int32())
+            room = pa.array(room)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, room], names=[*batch.schema.names[:-1], "wide", "room"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("wide", ArrayType(LongType())), StructField("room", IntegerType())]))
