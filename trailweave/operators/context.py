@@ -131,13 +131,18 @@ def entities(flows: DataFrame) -> DataFrame:
     return own.join(ids, "root").select("address", "entity_id", "n_members")
 
 
-def peel_links(flows: DataFrame, transactions: DataFrame, share: float = 0.7) -> DataFrame:
-    """address, next, txid, first_seen: where an address's last one-in two-out spend with a dominant output leads."""
+def peel_spends(flows: DataFrame, transactions: DataFrame, share: float = 0.7) -> DataFrame:
+    """txid, address, next, first_seen of one-in two-out spends with a dominant output."""
     two = flows.groupBy("txid").agg(
         F.count_if(is_input()).alias("n_in"), F.count_if(is_output()).alias("n_out"), F.max(F.when(is_input(), F.col("address"))).alias("address"),
         F.max_by("address", F.when(is_output(), F.struct("amount_sats", -F.col("ordinal")))).alias("next"), F.max(F.when(is_output(), F.col("amount_sats"))).alias("most"),
         F.sum(F.when(is_output(), F.col("amount_sats"))).alias("total"))
-    shaped = two.filter(f"n_in = 1 AND n_out = 2 AND most / greatest(total, 1) >= {share}").join(transactions.select("txid", "first_seen"), "txid")
+    return two.filter(f"n_in = 1 AND n_out = 2 AND most / greatest(total, 1) >= {share}").join(transactions.select("txid", "first_seen"), "txid")
+
+
+def peel_links(flows: DataFrame, transactions: DataFrame, share: float = 0.7) -> DataFrame:
+    """address, next, txid, first_seen: where an address's last one-in two-out spend with a dominant output leads."""
+    shaped = peel_spends(flows, transactions, share)
     return shaped.groupBy("address").agg(F.max_by(F.struct("next", "txid", "first_seen"), F.struct("first_seen", "txid")).alias("p")).select("address", "p.*")
 
 

@@ -39,29 +39,35 @@ def first_seen(observations: DataFrame) -> DataFrame:
 
 
 def running_gaps(events: DataFrame, key: str, most: float = 86_400.0, late: str = "1 hour", keep: str = "30 days") -> DataFrame:
-    """key, timestamp, gap_seconds: events further than ``most`` from the key's last one, by keyed state.
+    """key, timestamp, gap_seconds: events further than ``most`` from the key's event before, in the order of time.
 
-    A key's state is its last time, and goes once the watermark has passed it by ``keep``.
+    Events wait in a key's state until the watermark has passed them, so late ones take their place; what comes behind
+    the watermark is dropped. A key's state goes once the watermark has passed its last event by ``keep``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        passed = state.getCurrentWatermarkMs()
+        last, waiting = state.get if state.exists else (None, [])
+        fresh = [] if state.hasTimedOut else [pdf["timestamp"].to_numpy("datetime64[us]").astype("int64") for pdf in batches]
+        micros = np.sort(np.concatenate([np.array(waiting, np.int64), *fresh]))
+        ready, rest = micros[micros <= passed * 1000], micros[micros > passed * 1000]
+        if len(ready):
+            gaps = np.diff(ready, prepend=ready[0] if last is None else last) / 1e6
+            last, far = int(ready[-1]), gaps > most
+            if far.any():
+                yield pd.DataFrame({key: own[0], "timestamp": ready[far].astype("datetime64[us]"), "gap_seconds": gaps[far]})
+        if not len(rest) and last is not None and last // 1000 + hold <= passed:
             state.remove()
             return
-        micros = np.sort(np.concatenate([pdf["timestamp"].to_numpy("datetime64[us]").astype("int64") for pdf in batches]))
-        gaps = np.abs(np.diff(micros, prepend=state.get[0] if state.exists else micros[0])) / 1e6
-        state.update((int(micros[-1]),))
-        state.setTimeoutTimestamp(max(int(micros[-1] // 1000), state.getCurrentWatermarkMs()) + hold)
-        far = gaps > most
-        if far.any():
-            yield pd.DataFrame({key: own[0], "timestamp": micros[far].astype("datetime64[us]"), "gap_seconds": gaps[far]})
+        state.update((last, rest.tolist()))
+        state.setTimeoutTimestamp(max(passed + 1, int(rest[0]) // 1000 + 1 if len(rest) else last // 1000 + hold))
 
     kind = events.schema[key].dataType.simpleString()
     timed = events.select(key, "timestamp").withWatermark("timestamp", late)
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, gap_seconds double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, gap_seconds double", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def import_files(case, folder: str, **options):
