@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.plans import views
+from trailweave.sources.readers import file_hash
 
 
 def dossier_tables(address: str, members: DataFrame, alerts: DataFrame, flows: DataFrame, transactions: DataFrame, observations: DataFrame) -> dict[str, DataFrame]:
@@ -23,18 +24,12 @@ def dossier_tables(address: str, members: DataFrame, alerts: DataFrame, flows: D
 
 def altered_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """Rows of ``sources`` (hash, name) whose file is gone or has another hash."""
-    paths = [r.name for r in sources.select("name").distinct().collect()]  # a case has few source files
-    if not paths:
-        return sources
-    found = None
-    for p in paths:
+    now = []
+    for r in sources.select("name").distinct().collect():  # a case has few source files
         try:
-            one = spark.read.format("binaryFile").load(p).select(F.lit(p).alias("name"), F.sha2("content", 256).alias("now"))
+            now.append((r.name, file_hash(spark, r.name)))
         except Exception as error:  # a missing file is what is looked for
-            if "PATH_NOT_FOUND" not in str(error):
+            if "FileNotFound" not in str(error) and "PATH_NOT_FOUND" not in str(error):
                 raise
-            continue
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return sources
+    found = spark.createDataFrame(now, "name string, now string")
     return sources.join(found, "name", "left").filter(~F.col("hash").eqNullSafe(F.col("now"))).drop("now")
