@@ -12,13 +12,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.functions.selection import medians
 from trailweave.session import written
 
 
+#: Fixed value: inverse strength of the penalty of the feedback model.
+FEEDBACK_STRENGTH = 1.0
+
+
 def scales(rows: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
-    """Median, mean and population standard deviation of each column."""
-    got = rows.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("median", F.median), ("mean", F.avg), ("std", F.stddev_pop))]).first()
-    return {c: (got[f"median_{c}"], got[f"mean_{c}"], got[f"std_{c}"] or 1.0) for c in names}
+    """Median (exact, in bounded memory), mean and population standard deviation of each column."""
+    got = rows.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    middle = medians(rows, names).first()
+    return {c: (middle[c] if middle else None, got[f"mean_{c}"], got[f"std_{c}"] or 1.0) for c in names}
 
 
 def standardized(rows: DataFrame, names: list[str], by: dict[str, tuple[float, float, float]]) -> DataFrame:
@@ -59,7 +65,7 @@ def feedback_model(reviews: DataFrame, terms: list[str], least: int = 20, per_cl
     if sum(counts.values()) < least or min(counts.get(0, 0), counts.get(1, 0)) < per_class:
         raise ValueError("at least 20 labels, five of each class, are needed")
     held = F.pmod(F.xxhash64("address"), F.lit(10)) < 3
-    model = calibrator(rows.filter(~held), names)
+    model = calibrator(rows.filter(~held), names, c=FEEDBACK_STRENGTH)
     scored = probability(model, rows.filter(held), names, "p")
     return model, scored.agg(F.avg(F.pow(F.col("p") - F.col("label"), 2))).first()[0]
 

@@ -58,7 +58,7 @@ def fracture_index(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> Data
 
 def evidence_quality(network_coverage: Column, script_missing: Column) -> Column:
     """Completeness, 0 to 100."""
-    return F.round(100 * (0.65 + 0.25 * network_coverage + 0.10 * (1 - script_missing)), 2)
+    return F.round(100 * (0.65 + 0.25 * network_coverage + 0.10 * (1 - script_missing)), 1)
 
 
 def caveats(has_network: Column, geo_complete: Column, shared_relay: Column) -> Column:

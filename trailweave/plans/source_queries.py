@@ -87,6 +87,35 @@ def read_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_read(readers.read_records(spark, path))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS ordinal FROM orders)
+SELECT ordinal, CASE WHEN k % 40 = 7 THEN 'Invalid JSON record' WHEN k % 40 = 9 THEN 'Blank JSONL record' END AS parse_error, CASE WHEN k % 40 NOT IN (7, 9) THEN k END AS memo FROM o""")
+def read_line_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of lines over all files of a folder, with lines that are cut off and blank ones."""
+    path = f"{shared_folder(spark, 'records')}/lines.jsonl"
+    lines = order_records(spark, sf_dir).withColumn("k", F.col("memo").cast("long"))
+    text = F.to_json(F.struct("txid", "timestamp", "input_addresses", "memo"))
+    text = F.when(F.col("k") % 40 == 7, F.substring(text, 1, 90)).when(F.col("k") % 40 == 9, " ").otherwise(text)
+    lines.repartitionByRange("k").sortWithinPartitions("k").select(text.alias("value")).write.text(path)
+    return readers.read_records(spark, path).select("ordinal", "parse_error", F.col("fields")["memo"].cast("long").alias("memo"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal, o_orderkey AS memo, '{\"n}\": [' || o_orderkey || ', {}]}' AS odd FROM orders")
+def read_array_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of elements over files of one array on one line each, read in ranges of 16 KB that cut through records, strings and lists."""
+    path = f"{shared_folder(spark, 'records')}/arrays.json"
+    rows = order_records(spark, sf_dir).withColumn("k", F.col("memo").cast("long"))
+    odd = F.concat(F.lit('{"n}": ['), "memo", F.lit(", {}]}"))
+    one = F.struct("k", F.to_json(F.struct("txid", "input_addresses", "memo", odd.alias("odd"))).alias("t"))
+    arrays = rows.groupBy(F.lpad(F.floor(F.col("k") / 20_000).cast("string"), 12, "0").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["t"]), ", ").alias("value"))
+    arrays.select("part", F.concat(F.lit("["), "value", F.lit("]")).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        return written(readers.read_records(spark, path).select("ordinal", F.col("fields")["memo"].cast("long").alias("memo"), F.col("fields")["odd"].alias("odd")), "array_ordinals")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 FAULTS = (
     ("txid", "'xyz'", SAYS["txid"]), ("timestamp", "'2024-01-02T03:04:05'", SAYS["zone"]), ("timestamp", "'soon'", SAYS["time"] + "soon'"), ("input_addresses", "'[]'", SAYS["empty"].format("input_addresses")), ("input_addresses", "'[\"a b\"]'", SAYS["address"]),
     ("input_amounts", "'[\"1\",\"2\"]'", SAYS["lengths"].format("input")), ("input_amounts", "'[\"much\"]'", SAYS["amount"]), ("input_amounts", "'[\"0.000000001\"]'", SAYS["range"]), ("input_amounts", "'[\"0.00000001\"]'", SAYS["outputs"]), ("fee", "'0.5'", SAYS["fee"]),
