@@ -68,10 +68,13 @@ class Case:
         return self.table("records")
 
     def alerts(self) -> DataFrame | None:
-        """Alerts of the last scoring run, if nothing was imported since."""
-        newest = (self.batches() or [""])[-1]
-        paths = self._found(f"{self.folder}/batches/{newest}/alerts") if newest else []
-        return self.spark.read.parquet(*paths) if paths else None
+        """The latest alerts, if no records and no references were published after them."""
+        for batch in reversed(self.batches()):
+            if paths := self._found(f"{self.folder}/batches/{batch}/alerts"):
+                return self.spark.read.parquet(*paths)
+            if self._found(f"{self.folder}/batches/{batch}/records") or self._found(f"{self.folder}/batches/{batch}/references_*"):
+                return None
+        return None
 
     def references(self, kind: str) -> DataFrame | None:
         """The last import of a kind (seeds or exchanges)."""
