@@ -356,3 +356,35 @@ def test_license_ties_and_repeats(spark):
     rows = [("/a/LICENSE", "Released under the MIT License"), ("/a/COPYING", "Licensed under CC BY 4.0"), ("/a/b.txt", "x"), ("/a/b.txt", "x"), ("/c/LICENSE", "Released under the MIT License"), ("/c/LICENSE", "Released under the MIT License"), ("/c/d", "long " * 30_000)]
     out = [(r.path, r.license, r.inherited_from) for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()]
     assert sorted(out, key=str) == sorted([("/a/LICENSE", "MIT", None), ("/a/COPYING", "CC-BY-4.0", None), ("/a/b.txt", "CC-BY-4.0", "/a/"), ("/a/b.txt", "CC-BY-4.0", "/a/"), ("/c/LICENSE", "MIT", None), ("/c/LICENSE", "MIT", None), ("/c/d", "MIT", "/c/")], key=str)
+
+
+GNU = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; {}version 2 of the License{}\n\nThis program is distributed in the hope that it will be useful."
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (GNU.format("either ", ", or\n(at your option) any later version."), "GPL-2.0-or-later"), (GNU.format("", "."), "GPL-2.0-only"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\nx = 1\n", "MIT OR Apache-2.0"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "MIT AND BSD-3-Clause"), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: MIT OR Nobody-7", None),
+])
+def test_later_versions_and_expressions(text, want):
+    found = licenses.Templates().scan(text)
+    assert found[1] == want, found
+
+
+def test_templates_of_everyday_words():
+    own = licenses.Templates({"OWN": ("You may use this software for any purpose",), "MIT": licenses.TEMPLATES["MIT"]})
+    assert own.scan("Hello.\nYou may use this software for any purpose.\nBye.")[:2] == (1.0, "OWN")
+
+
+def test_no_part_is_lost_by_the_rare_words():
+    """A part without rare words of a template never reaches the least cosine with it."""
+    known, rng = licenses.Templates(), random.Random(3)
+    everyday = sorted(set(known.idf) - known.telling)
+    for _ in range(300):
+        words = [rng.choice(everyday) for _ in range(rng.randrange(1, 30))]
+        bag = {w: words.count(w) for w in words}
+        norm = sum((n * known.idf[w]) ** 2 for w, n in bag.items()) ** 0.5
+        dots = {}
+        for w, n in bag.items():
+            for i, v in known.postings[w]:
+                dots[i] = dots.get(i, 0) + n * known.idf[w] * v
+        assert max(dots.values()) / norm < licenses.LEAST

@@ -4,7 +4,9 @@ Templates are whole short licences, the opening blocks of long ones and the noti
 parts of a file are sparse TF-IDF vectors (weights from the templates themselves, so they are the same for any
 corpus). A file's parts are the whole file, its blocks between empty lines (a header is one), its lines, their
 sentences, and every run of words over line ends that starts with a line or a sentence and is as long as a template; parts without a rare word of a
-template are left out, as none could come near one. The best part decides the file's own license, if its cosine
+template are left out: a template's rare words are as many of its heaviest by IDF as it takes that the rest of its
+vector is too short for any part to reach ``LEAST``, so nothing is lost. An SPDX tag may join several licenses by OR and
+AND: the expression is the license if each matches its template, else the file has none. The best part decides the file's own license, if its cosine
 reaches ``LEAST``, if it leads the best template of any other license by ``MARGIN``, and if it has just the marks of
 the template: words that tell near relatives apart (``MARKS``: version numbers, lesser, affero, share-alike and so
 on). A near relative without a template of its own is thus no license rather than a wrong one.
@@ -63,11 +65,18 @@ def _gnu(name: str, version: str) -> tuple[str, ...]:
     """Notices and opening blocks of a licence of the GNU family."""
     return (
         f"GNU {name} License Version {version}", f"This work is licensed under the GNU {name} License, version {version}",
-        f"it under the terms of the GNU {name} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version",
         f"it under the terms of the GNU {name} License as published by the Free Software Foundation, version {version} of the License",
     )
 
 
+def _later(name: str, version: str) -> tuple[str, ...]:
+    """Notices that allow later versions of such a licence too."""
+    return (
+        f"it under the terms of the GNU {name} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version",
+        f"This work is licensed under the GNU {name} License, version {version} or any later version",
+    )
+
+
 def _cc(short: str, long: str) -> tuple[str, ...]:
     return (f"Licensed under CC {short} 4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License")
 
@@ -97,28 +106,23 @@ TEXTS = {
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    "AGPL-3.0-or-later": _later("Affero General Public", "3"), "GPL-2.0-or-later": _later("General Public", "2"), "GPL-3.0-or-later": _later("General Public", "3"),
+    "LGPL-2.1-or-later": _later("Lesser General Public", "2.1"), "LGPL-3.0-or-later": _later("Lesser General Public", "3"),
     "Unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 }
 TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in TEXTS.items()}
 #: Words that tell near relatives apart, and words that a version number follows.
 MARKS = frozenset(
-    "lesser affero fdl mit bsd isc apache mozilla sharealike noncommercial noderivatives attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
+    "lesser affero later fdl mit bsd isc apache mozilla sharealike noncommercial noderivatives attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
     "attribution-noncommercial-noderivatives by-sa by-nc by-nd by-nc-sa by-nc-nd cc0 endorse endorses".split())
 _VERSIONED = frozenset("version v license licence gpl lgpl agpl mpl by".split()) | MARKS
 LEAST, MARGIN = 0.6, 0.02
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _SENTENCE = re.compile(r"[^.;|]+(?:\.\d[^.;|]*)*")
+#: An SPDX tag with several licenses, and what joins them; brackets are taken off, so an expression reads from left to right.
+_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([\w.+()-]+(?:[ \t]+(?:or|and)[ \t]+[\w.+()-]+)+)")
+_JOINS = re.compile(r"[ \t]+(or|and)[ \t]+")
 _FILE = re.compile(r"(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?\Z", re.I)
-#: Words of templates that are everyday words: a part of these alone is no license.
-_EVERYDAY = frozenset(
-    "a above action advised agreed all an and any anyone appear applicable are arising as associated at author authors back basis be binary business but by can cause caused charge charges claim code commercial compile compiled compliance conditions "
-    "connection consequential contract contributors copies copy cover damage damages data deal dealings derived domain exemplary fitness general incidental into limitations means permit permissions procurement regard resulting so regard direct distribute distributed do documentation either even event except express failure fee file files following for form forms foundation free from furnished goods governing holder holders however if implied in included including indirect "
-    "international interruption is it its january june february kind language later law liability liable library limitation limited list loss lost made materials may means merge met modify must name names neither no nor not notice obtain obtaining of on "
-    "one option or other otherwise out particular performance person persons portions possibility prior products profits promote provided public publish published purpose purposes reproduce required restriction retain rights s see sell services shall "
-    "similar software source special specific strict subject substantial substitute such terms that the theory this to under unless use used v version warranties warranty was way what whatsoever whether whom with without work writing written you your "
-    "1 2 3 4.0 2.0 2.1 29 1991 1999 2004 2007 http www org".split())
-
-
 def marks_of(words: list[str]) -> frozenset[str]:
     """The marks among words, and the version numbers."""
     versions = {f"#{w}" for before, w in pairwise(words) if w[0].isdigit() and before in _VERSIONED}
@@ -132,15 +136,28 @@ class Templates:
         seen = Counter(w for b in bags for w in b)
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in seen.items()}
         self.unknown = math.log(1 + len(bags)) + 1
-        self.telling = frozenset(self.idf) - _EVERYDAY
         self.marks = [marks_of(_WORD.findall(t.lower())) for texts in templates.values() for t in texts]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
             for w, n in bag.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
-        # rare words of the templates of each length
-        self.lengths = {n: frozenset().union(*(b.keys() & self.telling for b in bags if b.total() == n)) for n in sorted({b.total() for b in bags})}
+        # the rare words of the templates of each length, and of all
+        rare = [(b.total(), self._rare(b)) for b in bags]
+        self.lengths = {n: frozenset().union(*(r for m, r in rare if m == n)) for n in sorted({m for m, _ in rare})}
+        self.telling = frozenset().union(*(r for _, r in rare))
+
+    def _rare(self, bag: Counter) -> set[str]:
+        """A template's rarest words, as many as it takes that a part without any of them can't reach ``LEAST``: what is left of the template's vector is shorter."""
+        weight = {w: (n * self.idf[w]) ** 2 for w, n in bag.items()}
+        left, out = sum(weight.values()), set()
+        bound = LEAST**2 * left
+        for w in sorted(bag, key=lambda w: (-self.idf[w], -weight[w], w)):
+            if left < bound * 0.999:
+                break
+            out.add(w)
+            left -= weight[w]
+        return out
 
     def match(self, words: list[str]) -> tuple[float, str | None, int]:
         """Best cosine with a template that has the same marks, its license if it leads by ``MARGIN``, and the number of words."""
@@ -199,10 +216,24 @@ class Templates:
                                 done.add((lo, n))
                                 yield flat[lo : lo + n]
 
+    def expression(self, text: str) -> tuple[bool, str | None]:
+        """Whether a tag joins several licenses, and the expression if each has a template of its own."""
+        if not (found := _TAGGED.search(text)):
+            return False, None
+        parts = _JOINS.split(found[1].strip())
+        matched = [self.match(["spdx-license-identifier", *_WORD.findall(p.strip("() "))]) for p in parts[::2]]
+        if any(name is None or cosine < 0.999 for cosine, name, _ in matched):
+            return True, None
+        names = [name for _, name, _ in matched]
+        return True, " ".join([names[0], *(x for op, name in zip(parts[1::2], names[1:], strict=True) for x in (op.upper(), name))])
+
     def scan(self, text: str | None) -> tuple[float, str | None, bool]:
         """Cosine and license of a text's best part, and whether that part is half of the text."""
         best, name, size = 0.0, None, 0
         text = (text or "").lower()
+        several, told = self.expression(text)
+        if several:
+            return float(told is not None), told, told is not None and 2 * len(_WORD.findall(told)) + 2 >= len(_WORD.findall(text))
         for words in () if self.telling.isdisjoint(_WORD.findall(text)) else self.parts(text):
             cosine, found, n = self.match(words)
             if found and (cosine > best or (cosine == best and name is not None and (found, -n) < (name, -size))):
