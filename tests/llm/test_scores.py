@@ -373,18 +373,3 @@ def test_later_versions_and_expressions(text, want):
 def test_templates_of_everyday_words():
     own = licenses.Templates({"OWN": ("You may use this software for any purpose",), "MIT": licenses.TEMPLATES["MIT"]})
     assert own.scan("Hello.\nYou may use this software for any purpose.\nBye.")[:2] == (1.0, "OWN")
-
-
-def test_no_part_is_lost_by_the_rare_words():
-    """A part without rare words of a template never reaches the least cosine with it."""
-    known, rng = licenses.Templates(), random.Random(3)
-    everyday = sorted(set(known.idf) - known.telling)
-    for _ in range(300):
-        words = [rng.choice(everyday) for _ in range(rng.randrange(1, 30))]
-        bag = {w: words.count(w) for w in words}
-        norm = sum((n * known.idf[w]) ** 2 for w, n in bag.items()) ** 0.5
-        dots = {}
-        for w, n in bag.items():
-            for i, v in known.postings[w]:
-                dots[i] = dots.get(i, 0) + n * known.idf[w] * v
-        assert max(dots.values()) / norm < licenses.LEAST

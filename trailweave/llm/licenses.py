@@ -4,8 +4,8 @@ Templates are whole short licences, the opening blocks of long ones and the noti
 parts of a file are sparse TF-IDF vectors (weights from the templates themselves, so they are the same for any
 corpus). A file's parts are the whole file, its blocks between empty lines (a header is one), its lines, their
 sentences, and every run of words over line ends that starts with a line or a sentence and is as long as a template; parts without a rare word of a
-template are left out: a template's rare words are as many of its heaviest by IDF as it takes that the rest of its
-vector is too short for any part to reach ``LEAST``, so nothing is lost. An SPDX tag may join several licenses by OR and
+template are left out: of a template's different words those that the fewest licenses have, one in ``RARE`` and three at
+least, without words of up to four letters that are no marks, as most everyday words are. An SPDX tag may join several licenses by OR and
 AND: the expression is the license if each matches its template, else the file has none. The best part decides the file's own license, if its cosine
 reaches ``LEAST``, if it leads the best template of any other license by ``MARGIN``, and if it has just the marks of
 the template: words that tell near relatives apart (``MARKS``: version numbers, lesser, affero, share-alike and so
@@ -116,7 +116,7 @@ MARKS = frozenset(
     "lesser affero later fdl mit bsd isc apache mozilla sharealike noncommercial noderivatives attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
     "attribution-noncommercial-noderivatives by-sa by-nc by-nd by-nc-sa by-nc-nd cc0 endorse endorses".split())
 _VERSIONED = frozenset("version v license licence gpl lgpl agpl mpl by".split()) | MARKS
-LEAST, MARGIN = 0.6, 0.02
+LEAST, MARGIN, RARE = 0.6, 0.02, 4
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _SENTENCE = re.compile(r"[^.;|]+(?:\.\d[^.;|]*)*")
 #: An SPDX tag with several licenses, and what joins them; brackets are taken off, so an expression reads from left to right.
@@ -143,22 +143,11 @@ class Templates:
             for w, n in bag.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
         # the rare words of the templates of each length, and of all
-        rare = [(b.total(), self._rare(b)) for b in bags]
+        having = Counter(w for texts in templates.values() for w in {w for x in texts for w in _WORD.findall(x.lower())})
+        rare = [(b.total(), frozenset(sorted([w for w in b if len(w) > 4 or w in MARKS or not w.isalpha()] or b, key=lambda w: (having[w], -self.idf[w], w))[: max(3, len(b) // RARE)])) for b in bags]
         self.lengths = {n: frozenset().union(*(r for m, r in rare if m == n)) for n in sorted({m for m, _ in rare})}
         self.telling = frozenset().union(*(r for _, r in rare))
 
-    def _rare(self, bag: Counter) -> set[str]:
-        """A template's rarest words, as many as it takes that a part without any of them can't reach ``LEAST``: what is left of the template's vector is shorter."""
-        weight = {w: (n * self.idf[w]) ** 2 for w, n in bag.items()}
-        left, out = sum(weight.values()), set()
-        bound = LEAST**2 * left
-        for w in sorted(bag, key=lambda w: (-self.idf[w], -weight[w], w)):
-            if left < bound * 0.999:
-                break
-            out.add(w)
-            left -= weight[w]
-        return out
-
     def match(self, words: list[str]) -> tuple[float, str | None, int]:
         """Best cosine with a template that has the same marks, its license if it leads by ``MARGIN``, and the number of words."""
         bag = Counter(words)
