@@ -223,3 +223,22 @@ def test_metrics(spark):
     assert got.p_at_20 == 0.5 and got.precision == pytest.approx(2 / 3) and got.recall == 1 and got.average_precision == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
     ranks = {r.id: r.percentile for r in metrics.percentile_ranks(rows.select("id", F.col("score").alias("v")), spark.createDataFrame([(0.5,), (0.9,), (0.2,), (0.2,)], "v double")).collect()}
     assert ranks == {1: 1.0, 2: 1.0, 3: 0.75, 4: 0.0}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_address_gets_what_the_whole_case_gives(spark, seed):
+    from trailweave.plans import views
+
+    rng = random.Random(seed)
+    names = [f"w{i:02}" for i in range(30)]
+    txs = {f"t{i:02}": (rng.randrange(5000), [(rng.choice(names), rng.randrange(1, 99)) for _ in range(rng.choice([1, 1, 2, 3]))], [(rng.choice(names), rng.randrange(1, 99)) for _ in range(rng.choice([1, 2, 2, 3]))]) for i in range(40)}
+    flows, transactions = case(spark, txs)
+    seen = spark.createDataFrame([(f"o{i}", rng.choice(list(txs)), 1_700_000_000 + rng.randrange(900), f"ip{rng.randrange(6)}") for i in range(90)], "id string, txid string, s long, src_ip string").selectExpr("id", "txid", "timestamp_seconds(s) AS timestamp", "src_ip")
+    whole, pairs, changes = cx.entities(flows).collect(), cx.relay_associations(flows, seen, 120), cx.change_candidates(flows, transactions)
+    for address in rng.sample(sorted({r.address for r in whole}), 3):
+        own = next(r.entity_id for r in whole if r.address == address)
+        assert sorted(cx.entity_of(flows, address).collect()) == sorted(r for r in whole if r.entity_id == own)
+        touching = f"source = '{address}' OR target = '{address}'"
+        assert sorted(map(str, cx.relay_associations(flows, cx.observed_around(flows, seen, address), 120).filter(touching).collect())) == sorted(map(str, pairs.filter(touching).collect()))
+        assert sorted(map(str, cx.change_candidates(cx.around(flows, address), transactions).filter(touching).collect())) == sorted(map(str, changes.filter(touching).collect()))
+    assert views.ego_context(flows, transactions, seen, "nobody").count() == 0

@@ -131,6 +131,38 @@ def entities(flows: DataFrame) -> DataFrame:
     return own.join(ids, "root").select("address", "entity_id", "n_members")
 
 
+def entity_of(flows: DataFrame, address: str) -> DataFrame:
+    """(address, entity_id, n_members) of one address's entity alone: its cluster is walked from it, link by link of distance.
+
+    The frontier is joined with the links each round, so no other cluster is labelled.
+    """
+    one_way = common_input_links(flows)
+    links = written(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both_ways")
+    frontier = reached = written(flows.filter(F.col("address") == address).select("address").limit(1), "member")
+    turn = 0
+    while not frontier.isEmpty():
+        turn += 1
+        near = links.join(frontier, F.col("a") == F.col("address"), "left_semi").select(F.col("b").alias("address")).distinct()
+        frontier = written(near.join(reached, "address", "left_anti"), f"member_{turn}")
+        reached = reached.unionByName(frontier)
+    named = reached.agg(F.array_sort(F.collect_list("address")).alias("members"))
+    ids = named.select(F.concat(F.lit("entity:"), F.substring(F.sha2(F.array_join("members", "|"), 256), 1, 16)).alias("entity_id"), F.size("members").alias("n_members"))
+    return reached.crossJoin(F.broadcast(ids))  # one row
+
+
+def around(flows: DataFrame, address: str) -> DataFrame:
+    """All flows of the addresses in the transactions of ``address``: what tells their first appearance."""
+    mine = flows.filter(F.col("address") == address).select("txid").distinct()
+    return flows.join(flows.join(mine, "txid", "left_semi").select("address").distinct(), "address", "left_semi")
+
+
+def observed_around(flows: DataFrame, observations: DataFrame, address: str) -> DataFrame:
+    """All observations of the transactions that a source saw which saw one that ``address`` spends in: what tells those sources' first observations."""
+    mine = flows.filter(is_input() & (F.col("address") == address)).select("txid").distinct()
+    sources = observations.join(mine, "txid", "left_semi").filter(F.col("src_ip").isNotNull()).select("src_ip").distinct()
+    return observations.join(observations.join(sources, "src_ip", "left_semi").select("txid").distinct(), "txid", "left_semi")
+
+
 def peel_spends(flows: DataFrame, transactions: DataFrame, share: float = 0.7) -> DataFrame:
     """txid, address, next, first_seen of one-in two-out spends with a dominant output."""
     two = flows.groupBy("txid").agg(

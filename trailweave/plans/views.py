@@ -101,15 +101,16 @@ def ego_edges(flows: DataFrame, transactions: DataFrame, observations: DataFrame
 
 
 def ego_context(flows: DataFrame, transactions: DataFrame, observations: DataFrame, address: str, window_s: int = 60, members: int = 20, associations: int = 20, changes: int = 10) -> DataFrame:
-    """Edges of ``ego_edges``' columns that stand for hypotheses: members of the address's entity, relay associations, change candidates."""
-    own = cx.entities(flows)
-    entity = own.filter(F.col("address") == address).select("entity_id")
-    member = own.join(F.broadcast(entity), "entity_id", "left_semi").orderBy("address").limit(members)
+    """Edges of ``ego_edges``' columns that stand for hypotheses: members of the address's entity, relay associations, change candidates.
+
+    Only the address's own cluster is walked, and associations and changes are sought among what its transactions touch.
+    """
+    member = cx.entity_of(flows, address).orderBy("address").limit(members)
     node = lambda c: F.concat(F.lit("address:"), F.col(c))
     none = F.lit(None).cast("long")
     touching = (F.col("source") == address) | (F.col("target") == address)
-    related = cx.relay_associations(flows, observations, window_s).filter(touching).orderBy("txid", "other_txid", "source", "target", "src_ip").limit(associations)
-    change = cx.change_candidates(flows, transactions).filter(touching).orderBy("txid").limit(changes)
+    related = cx.relay_associations(flows, cx.observed_around(flows, observations, address), window_s).filter(touching).orderBy("txid", "other_txid", "source", "target", "src_ip").limit(associations)
+    change = cx.change_candidates(cx.around(flows, address), transactions).filter(touching).orderBy("txid").limit(changes)
     parts = [
         member.select(F.col("entity_id").alias("source"), node("address").alias("target"), F.lit("candidate_member").alias("kind"), none.alias("amount_sats"), F.lit("heuristic_not_verified").alias("certainty")),
         related.select(node("source").alias("source"), node("target").alias("target"), F.lit("relay_association").alias("kind"), none.alias("amount_sats"), F.lit("weak_no_ownership_claim").alias("certainty")),
