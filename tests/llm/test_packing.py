@@ -50,3 +50,11 @@ def test_round_trip(spark, rows):
             assert all(r.doc_tokens == len(ids) // 4 for r in pieces)
     if len(rows) > 100:
         assert 1 - full / 64 / len(sequences) < 0.1
+
+
+def test_other_columns_are_not_read(spark):
+    rows = [(i, f"word {i} " * 9) for i in range(20)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    clashing = plain.selectExpr("doc_id", "text", "'x' AS start", "1 AS sequence_id", "array(1) AS ids", "'y' AS TEXT_", "doc_id AS offset")
+    pieces = lambda df: sorted((r.doc_id, r.start, bytes(r.ids), r.sequence_id, r.offset) for r in packing.pack(df, PATH, room=64).collect())
+    assert pieces(clashing) == pieces(plain)

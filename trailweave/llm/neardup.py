@@ -24,8 +24,9 @@ of shingles have a similarity of ``SIMILARITY`` or more, so nothing goes that is
 
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; texts of fewer words than
 a shingle are hashed whole; a null doc_id takes part but is no representative unless its component has no other
-(then the component_id is null); repeated rows come out as often as they occur; an empty table gives an empty
-result.
+(then the component_id is null); repeated rows come out as often as they occur; a very long text is hashed whole, and
+texts with equal fingerprints are linked whatever their length; ``keep_one`` keeps further columns as they are, also
+those that are named like its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations

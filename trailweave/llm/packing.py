@@ -9,7 +9,9 @@ until one is left. Space is bounded by the open windows of a task, not by its in
 Sequences are numbered by (round, partition, place), which is unique and needs no shuffle.
 
 Defined cases: a null text is an empty one, and an empty text is its end token alone; the null doc_id is kept;
-repeated rows are packed as often as they occur; an empty table gives an empty result.
+repeated rows are packed as often as they occur; a very long text is tokenized whole and cut over as many sequences as
+it fills; of windows that fit equally well the one opened first is taken; other columns of the input, whatever their
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ turn these numbers into gapless slots of the shard, so that no task ever holds a
 copies spans several runs, cut by doc_id.
 
 Defined cases: a null text weighs 1 byte and all null texts lie together; a null doc_id sorts first; repeated rows
-get different slots in any order; an empty table gives an empty result; a column of the input that is named like a
+get different slots in any order (as do all rows with equal text and doc_id); a very long text weighs its bytes and is
+never cut, so a shard may exceed its share by one; an empty table gives an empty result; a column of the input that is named like a
 new one gives way to it.
 """
 
