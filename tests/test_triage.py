@@ -57,3 +57,14 @@ def test_bad_reviews_are_refused(case, given):
     with pytest.raises(ValueError):
         triage.review(case, *given)
     assert case.table("reviews") is None
+
+
+def test_evidence_is_the_union_of_rules_changes_and_taint(spark):
+    from trailweave.plans import views
+
+    rule = "array<struct<name:string,strength:double,txids:array<string>>>"
+    alerts = spark.createDataFrame([("a", [("r", 0.5, ["t1", "t2"])], ["t0"]), ("b", [], ["t7", "t8"]), ("c", [], ["t9"])], f"address string, rules {rule}, txids array<string>")
+    assert {r.txid for r in views.evidence_transactions(alerts).collect()} == {"t1", "t2", "t7", "t9"}
+    changes = spark.createDataFrame([("b", "t3", ["t4"], ["t5", "t1"]), ("z", "t99", [], None)], "address string, txid string, before_txids array<string>, after_txids array<string>")
+    tainted = spark.createDataFrame([("a", ["t6"]), ("z", ["t98"])], "address string, path array<string>")
+    assert sorted(r.txid for r in views.evidence_transactions(alerts, changes, tainted).collect()) == ["t1", "t2", "t3", "t4", "t5", "t6", "t9"]

@@ -147,10 +147,21 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return ends.select("id", F.when(head == "tx", "transaction").otherwise(head).alias("kind"), F.expr("substring(id, instr(id, ':') + 1)").alias("label"))
 
 
-def evidence_transactions(alerts: DataFrame) -> DataFrame:
-    """txids that support the rules of alerts (address, rules, txids); where none does, an alert's first."""
-    support = F.array_distinct(F.flatten(F.transform("rules", lambda r: r["txids"])))
-    return alerts.select(F.explode(F.when(F.size(support) > 0, support).otherwise(F.slice("txids", 1, 1))).alias("txid")).distinct()
+def evidence_transactions(alerts: DataFrame, changes: DataFrame | None = None, tainted: DataFrame | None = None) -> DataFrame:
+    """txids that support alerts (address, rules, txids); where nothing does, an alert's first.
+
+    Support are the rules' transactions, those of ``changes`` in behaviour (address, txid, before_txids, after_txids) with
+    the ones on both sides, and those on the paths of ``tainted`` (address, path).
+    """
+    support = alerts.select("address", F.explode(F.flatten(F.transform("rules", lambda r: r["txids"]))).alias("txid"))
+    own = alerts.select("address").distinct()
+    if changes is not None:
+        around = F.concat(F.array("txid"), F.coalesce("before_txids", F.array().cast("array<string>")), F.coalesce("after_txids", F.array().cast("array<string>")))
+        support = support.unionByName(changes.join(own, "address", "left_semi").select("address", F.explode(around).alias("txid")))
+    if tainted is not None:
+        support = support.unionByName(tainted.join(own, "address", "left_semi").select("address", F.explode("path").alias("txid")))
+    bare = alerts.join(support.select("address").distinct(), "address", "left_anti").select(F.explode(F.slice("txids", 1, 1)).alias("txid"))
+    return support.select("txid").unionByName(bare).distinct()
 
 
 def evidence_edges(flows: DataFrame, observations: DataFrame, txids: DataFrame) -> DataFrame:
