@@ -45,7 +45,8 @@ UNION ALL (SELECT entity_id, 'address:' || r.address, 'candidate_member', NULL,
 UNION ALL (SELECT 'address:' || source, 'address:' || target, 'relay_association', NULL, 'weak_no_ownership_claim' FROM assoc WHERE 'A7' IN (source, target) ORDER BY txid, other_txid, source, target, src_ip LIMIT 20)
 UNION ALL (SELECT 'address:' || source, 'address:' || target, 'change_candidate', NULL, 'heuristic_not_merged' FROM changes WHERE 'A7' IN (source, target) ORDER BY txid LIMIT 10)""")
 def ego_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, t, o = flows(spark, sf_dir), transactions(spark, sf_dir), observations(spark, sf_dir)
+    # the case's tables are made once; what follows reads them by column
+    f, t, o = written(flows(spark, sf_dir), "ego_flows"), transactions(spark, sf_dir), written(observations(spark, sf_dir), "ego_observations")
     return views.ego_edges(f, t, o, "A7").unionByName(views.ego_context(f, t, o, "A7", window_s=604_800))
 
 
