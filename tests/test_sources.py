@@ -218,3 +218,17 @@ def test_streams(spark, tmp_path):
     gaps = run(windows.running_gaps(stream(), "src_ip", late="10 minutes"), "gaps")
     assert gaps.count() == 3
     assert run(windows.sessions(stream(), "src_ip"), "runs").count() >= 3
+
+
+def test_json_files_stay_small(spark, tmp_path, monkeypatch):
+    """More orders are more files: no group of records that is written as one row grows with the table."""
+    from trailweave.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "FILE_ROWS", 40)
+    seen = []
+    monkeypatch.setattr(source_queries.readers, "read_records", lambda s, path: seen.append(path) or read_records(s, path))
+    got = source_queries.read_json_records(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert got.count() == n
+    longest = spark.read.text(seen[0], wholetext=True).select(F.max(F.regexp_count("value", F.lit('"txid"')))).first()[0]
+    assert longest < 120 < n // 10
