@@ -167,6 +167,41 @@ def test_partition_is_optimal(seed):
     assert sum(cost(a, b) + penalty for a, b in zip(bounds, bounds[1:], strict=False)) - penalty == pytest.approx(best[n])
 
 
+@pytest.mark.parametrize("n", [8, 9, 23, 64])
+def test_many_partitions_are_those_of_each(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(300, n, 4)) + np.where(np.arange(n)[None, :, None] < rng.integers(1, n, (300, 1, 1)), 0, rng.normal(0, 3, (300, 1, 4)))
+    x[::3] = np.round(x[::3])  # ties
+    for penalty in (1.0, 4 * np.log(n)):
+        got = drift.many_changepoints(x, penalty)
+        assert got == [drift.changepoints(s, penalty) for s in x] and len(set(map(tuple, got))) > 2
+
+
+def test_drift_judges_many_addresses_in_one_call(spark, monkeypatch):
+    """Addresses with few, some and many spends, over the borders of what is judged at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate([1, 7, 8, 8, 30, 64, 65, 200, 12, 8, 3, 90]):
+        cut = int(rng.integers(2, n)) if n > 7 and i % 2 else n
+        rows += [(f"w{i:02}", f"t{k:04}", 10**6 * int(3600 * k + rng.integers(0, 900)), float(10**8 if k < cut else 10**11), 2.0, None, 200.0) for k in range(n)]
+    names = ["address", "txid", "at", "out_sats", "n_out", "fee_sats", "vsize"]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4], strict=True)], names=names)
+    whole = [r for b in drift._detect(iter(table.to_batches(max_chunksize=len(rows)))) for r in b.to_pylist()]
+    monkeypatch.setattr(drift, "ROWS", 20)
+    calls = []
+    judged = drift._judged
+    monkeypatch.setattr(drift, "_judged", lambda t, c: calls.append(len(c)) or judged(t, c))
+    parts = [r for b in drift._detect(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    order = lambda of: sorted(of, key=lambda r: (r["address"], r["place"] or 0))
+    assert order(parts) == order(whole) and len(calls) > 3 and sum(calls) == len(rows)
+    assert {r["address"] for r in whole} == {r[0] for r in rows}
+    for i in (5, 7, 11):
+        assert [r["status"] for r in whole if r["address"] == f"w{i:02}"][0] == "changed"
+    assert {r["status"] for r in whole if r["address"] in ("w00", "w01", "w10")} == {"insufficient_history"}
+
+
 def test_forest_identity(spark):
     rng = np.random.default_rng(0)
     rows = [(f"a{i}", *map(float, rng.normal(0, 1, 3))) for i in range(200)] + [("far", 9.0, 9.0, -9.0)]
