@@ -167,6 +167,31 @@ def test_partition_is_optimal(seed):
     assert sum(cost(a, b) + penalty for a, b in zip(bounds, bounds[1:], strict=False)) - penalty == pytest.approx(best[n])
 
 
+def test_flows_that_carry_nothing_are_left_out():
+    """Of two chains of spends only that of the seed is walked; one longer than the steps has all flows looked at."""
+    def flows(n):
+        rows = [(at + k + (not side), at + k, side) for at in (0, 1000) for k in range(n) for side in (True, False)]
+        return (np.array(c) for c in zip(*rows, strict=True))
+
+    codes, txids, spends = flows(9)
+    seeds = spends & (codes == 0)
+    none = np.array([], int)
+    assert np.array_equal(taint._carrying(codes, txids, spends, seeds, seeds, none), txids < 1000)
+    assert np.array_equal(taint._carrying(codes, txids, spends, seeds, np.zeros(len(codes), bool), np.array([1004])), txids >= 1004)
+    assert not taint._carrying(codes, txids, spends, seeds, np.zeros(len(codes), bool), none).any()
+    codes, txids, spends = flows(taint.STEPS + 8)
+    assert taint._carrying(codes, txids, spends, np.zeros(len(codes), bool), np.zeros(len(codes), bool), np.array([0])).all()
+
+
+def test_a_layer_reads_the_folders_that_wait_for_it(spark, monkeypatch):
+    txs = {f"t{i:02}": (i * 60, [(f"p{i}", 100)], [(f"p{i + 1}", 60), ("far", 40)]) for i in range(12)}
+    read, waiting = [], taint._waiting
+    monkeypatch.setattr(taint, "_waiting", lambda s, folder, places: read.append(len(places)) or waiting(s, folder, places))
+    got = taint.haircut(*case(spark, txs), ["p0"], 1.0, 4).count()
+    # "far" waits from each layer for the next: every layer but the first reads at most what two layers left, and the end what is left
+    assert got == 14 and len(read) > 5 and max(read[:-1]) <= 2
+
+
 @pytest.mark.parametrize("n", [8, 9, 23, 64])
 def test_many_partitions_are_those_of_each(n):
     rng = np.random.default_rng(n)
