@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import taint
 from trailweave.plans import audit
-from trailweave.streaming import stateful, windows
+from trailweave.streaming import ledger, stateful, windows
 
 DAY = datetime(2024, 5, 1)
 PART = "array<struct<address:string,amount:bigint>>"
@@ -83,3 +83,22 @@ def test_gaps_wait_for_the_watermark(spark, tmp_path):
     got = streamed(spark, tmp_path, "src_ip string, timestamp timestamp", files, lambda s: windows.running_gaps(s, "src_ip", most=3 * 3600, late="8 hours", keep="10 days"))
     # the event of hour 4 comes after that of hour 10 and is taken before it; that of hour 1 is behind the watermark and dropped
     assert sorted((r.timestamp, r.gap_seconds / 3600) for r in got if r.src_ip == "k") == [(DAY + timedelta(hours=h), g) for h, g in ((4, 4), (10, 6), (30, 20))]
+
+
+@pytest.mark.parametrize("most", [1 << 19, 25])
+def test_ledger_of_tables(spark, tmp_path, most):
+    txs = sorted(case(random.Random(11), 60))
+    files = [txs[:15], txs[18:30] + txs[15:18], txs[30:45], [(txs[0][0], "late", [("w2", 50)], [("w3", 50)]), *txs[45:]], [(DAY + timedelta(days=90), "end", [], [])]]
+    ddl = f"timestamp timestamp, txid string, inputs {PART}, outputs {PART}"
+    make = lambda: ledger.TaintLedger(spark, f"{tmp_path}/book", ["w0", "w1"], 0.8, "1 hour", most)
+    for n, rows in enumerate(files):
+        batch = spark.createDataFrame(rows, ddl)
+        make().take(batch, n)
+        if n == 2:
+            make().take(batch, n)  # a batch that is run again, as after a failure
+    flows = [(t, side, i, a, n) for _, t, *sides in txs for side, parts in zip(("input", "output"), sides, strict=True) for i, (a, n) in enumerate(parts)]
+    want = taint.haircut(spark.createDataFrame(flows, "txid string, direction string, ordinal int, address string, amount_sats long"), spark.createDataFrame([(t, at) for at, t, *_ in txs], "txid string, first_seen timestamp"), ["w0", "w1"], 0.8).filter("hops > 0").collect()
+    got = make().holdings()
+    assert {(r.address, r.seed): (pytest.approx(r.exposed), r.hops, r.path) for r in got.collect()} == {(r.address, r.seed): (r.exposed, r.hops, r.path) for r in want} and want
+    # what waits is in segments of the table, and several batches have released some
+    assert len([v for v in (tmp_path / "book/balances").iterdir()]) >= 3
