@@ -64,3 +64,28 @@ def test_a_forest_on_spark(spark):
     assert np.allclose(fitted.base() + got.sum(1), fitted.path_lengths(data), atol=1e-9)
     assert shap.explained(frame.limit(0), fitted.trees, ["x", "y", "z"]).count() == 0
     assert shap.explained(frame, [], ["x", "y", "z"]).select(F.array_max("shapley").alias("m")).distinct().collect()[0].m == 0
+
+
+def test_neighbours_of_a_large_entity_are_lists(spark):
+    """An entity's members aren't multiplied by its first members: a row for each member on the way."""
+    from trailweave.models import learn
+
+    n = 3000
+    members = spark.range(n).select(F.format_string("a%05d", "id").alias("address"), F.lit("e").alias("entity_id"))
+    ends = spark.createDataFrame([("a00000", f"0{i:02}") for i in range(20)] + [("a02999", "zz"), ("lone", "a00001")], "source string, target string")
+    out = learn.neighbour_lists(members, ends)
+    got = {r.address: r.neighbours for r in out.collect()}
+    heads = [f"a{i:05}" for i in range(17)]
+    assert got["a02999"] == heads[:16] and got["a00003"] == [h for h in heads if h != "a00003"] and got["lone"] == ["a00001"] and got["001"] == ["a00000"]
+    assert got["a00000"] == [f"0{i:02}" for i in range(16)] and len(got) == n + 22
+
+    def rows(node):
+        below = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        children = node.children()
+        kids = [below] if below is not None else [children.apply(i) for i in range(children.size())]
+        own = node.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(rows, kids)])
+
+    plan = out._jdf.queryExecution().executedPlan()
+    out._jdf.collectToPython()  # runs this very plan
+    assert rows(plan) <= n + 100
