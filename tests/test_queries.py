@@ -65,3 +65,21 @@ def test_percentiles_are_among_all_rows(spark):
     ranked = sorted(scores)
     out = with_percentiles(spark.createDataFrame(list(enumerate(scores)), "address long, fused double"), "fused").collect()
     assert {r.address: r.fused_percentile for r in out} == {i: bisect_right(ranked, v) / 5000 for i, v in enumerate(scores)}
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from trailweave import session
+    from trailweave.plans.proxies import flows
+
+    key, given = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "PARTITION_BYTES", 4096, raising=False)
+    try:
+        flows(spark, str(DIR))
+        assert int(spark.conf.get(key)) > 4
+        raised = spark.conf.get(key)
+        with session.as_given(spark):
+            assert spark.conf.get(key) == given
+        assert spark.conf.get(key) == raised
+    finally:
+        spark.conf.set(key, given)
+        spark.conf.unset("trailweave.shuffle.partitions")
