@@ -232,3 +232,14 @@ def test_json_files_stay_small(spark, tmp_path, monkeypatch):
     assert got.count() == n
     longest = spark.read.text(seen[0], wholetext=True).select(F.max(F.regexp_count("value", F.lit('"txid"')))).first()[0]
     assert longest < 120 < n // 10
+
+
+def test_xml_is_read_for_the_kinds_that_occur(spark, tmp_path):
+    """A kind of element that no file names costs no pass; texts that merely end like its name don't either."""
+    record = "<records><record><txid>{}</txid><memo>a transaction</memo></record>{}</records>"
+    for name, more in (("one", ""), ("two", "<transaction><txid>t</txid></transaction>")):
+        (tmp_path / f"{name}.xml").write_text(record.format(name, more))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    one, two = (readers.read_records(spark, str(tmp_path / f"{n}.xml")) for n in ("one", "two"))
+    assert [r.fields["txid"] for r in one.orderBy("ordinal").collect()] == ["one"] and [r.fields["txid"] for r in two.orderBy("ordinal").collect()] == ["two", "t"]
+    assert 0 < 2 * scans(one) == scans(two)
