@@ -302,3 +302,17 @@ def test_one_address_gets_what_the_whole_case_gives(spark, seed):
         assert sorted(map(str, cx.relay_associations(flows, cx.observed_around(flows, seen, address), 120).filter(touching).collect())) == sorted(map(str, pairs.filter(touching).collect()))
         assert sorted(map(str, cx.change_candidates(cx.around(flows, address), transactions).filter(touching).collect())) == sorted(map(str, changes.filter(touching).collect()))
     assert views.ego_context(flows, transactions, seen, "nobody").count() == 0
+
+
+def test_profiles_make_edges_and_spends_once(spark, monkeypatch):
+    """Degrees and distances come from one table of edges, and two kinds of features from one of spends."""
+    flows, transactions = case(spark, {"t1": (0, [("a", 5)], [("b", 2), ("c", 3)]), "t2": (60, [("b", 2)], [("c", 1), ("a", 1)])})
+    seen = spark.createDataFrame([("o", "t1", "ip")], "id string, txid string, src_ip string").withColumn("timestamp", F.timestamp_seconds(F.lit(T0)))
+    made, plain = [], {n: getattr(m, n) for m, n in ((cx, "edges"), (ft, "spends"))}
+    for module, name in ((cx, "edges"), (ft, "edges"), (ft, "spends")):
+        monkeypatch.setattr(module, name, lambda *a, n=name: made.append(n) or plain[n](*a))
+    out = ft.profiles(flows, transactions, seen, spark.createDataFrame([("a",)], "address string"))
+    assert sorted(made) == ["edges", "spends"]
+    assert sorted((r.address, r.out_degree, r.in_degree, r.seed_hop_distance) for r in out.collect()) == [("a", 2, 1, 0), ("b", 2, 1, 1)]
+    ft.profiles(flows, transactions, seen, spent=written(ft.spends(flows, transactions), "own"))
+    assert sorted(made) == ["edges", "edges", "spends", "spends"]  # the second one is the call above

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.operators.context import degrees, edges, is_input, relay_associations, seed_distances, transaction_shapes
+from trailweave.operators.context import degrees_of, edges, is_input, relay_associations, seed_distances, transaction_shapes
 from trailweave.schema import SATS
+from trailweave.session import written
 
 CHAIN = ("log_tx_count", "log_total_btc", "log_mean_btc", "amount_variation", "max_fan_out", "max_fan_in", "log_median_gap_seconds", "mean_fee_ratio", "equal_output_fraction")
 EXTRA = ("in_degree", "out_degree", "seed_hop_distance", "seed_evidence_available", "round_output_ratio", "interval_entropy", "hour_concentration", "fee_rate_cv", "fee_rate_available")
@@ -129,14 +130,18 @@ def evidence(spent: DataFrame, observations: DataFrame, hub_limit: int = 20) ->
         F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen"), (F.sum("out_sats") / SATS).alias("total_btc"))
 
 
-def profiles(flows: DataFrame, transactions: DataFrame, observations: DataFrame, seeds: DataFrame | None = None, window_s: int = 60, hub_limit: int = 20) -> DataFrame:
-    """address with all features and n."""
-    spent = spends(flows, transactions)
+def profiles(flows: DataFrame, transactions: DataFrame, observations: DataFrame, seeds: DataFrame | None = None, window_s: int = 60, hub_limit: int = 20, spent: DataFrame | None = None) -> DataFrame:
+    """address with all features and n; ``spent`` are the ``spends``, where they are written already.
+
+    Spends are written once, as several features are made of them; so are edges where seeds are followed along them.
+    """
+    spent = written(spends(flows, transactions), "profile_spends") if spent is None else spent
+    linking = edges(flows) if seeds is None else written(edges(flows), "profile_edges")
     linked = relay_associations(flows, observations, window_s, hub_limit)
     touched = linked.select(F.explode(F.array("source", "target")).alias("address")).groupBy("address").agg(F.count(F.lit(1)).cast("double").alias("relay_associations"))
-    out = history_features(spent).join(degrees(flows), "address", "left").join(network_features(spent, observations), "address").join(touched, "address", "left")
+    out = history_features(spent).join(degrees_of(linking), "address", "left").join(network_features(spent, observations), "address").join(touched, "address", "left")
     if seeds is not None:
-        out = out.join(seed_distances(edges(flows), seeds), "address", "left")
+        out = out.join(seed_distances(linking, seeds, kept=True), "address", "left")
     else:
         out = out.withColumn("hops", F.lit(None).cast("int"))
     out = out.withColumns({"seed_hop_distance": F.coalesce("hops", F.lit(UNREACHED)), "seed_evidence_available": F.lit(int(seeds is not None)), "in_degree": F.coalesce("in_degree", F.lit(0)), "out_degree": F.coalesce("out_degree", F.lit(0)), "relay_associations": F.coalesce("relay_associations", F.lit(0.0))})
