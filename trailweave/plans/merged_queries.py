@@ -62,7 +62,7 @@ def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the merged case: seven fire."""
     f, t = merged_case(spark, sf_dir)
     spent = written(ft.spends(f, t), "merged_spends")
-    ruled = rules.apply_rules(ft.profiles(f, t, observations(spark, sf_dir)), spent, cx.peel_chains(cx.peel_links(f, t)), cx.reused(f, t), cx.mixer_shapes(f))
+    ruled = rules.apply_rules(ft.profiles(f, t, observations(spark, sf_dir), spent=spent), spent, cx.peel_chains(cx.peel_links(f, t)), cx.reused(f, t), cx.mixer_shapes(f))
     return ruled.select("address", F.inline("rules"), "rule_score").select("address", F.col("name").alias("rule"), "strength", F.size("txids").cast("long").alias("txids"), "rule_score")
 
 
