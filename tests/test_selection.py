@@ -32,3 +32,23 @@ def test_all_rows(spark, n):
     rows = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double, d double")
     assert np.array_equal(list(medians(rows, list("abcd"), most=1).first()), np.median(data, axis=0))
     assert learn.scales(rows, ["b", "c"])["c"][0] == np.median(data[:, 2])
+
+
+def test_rows_are_made_once_and_rounds_leave_rows_behind(spark, monkeypatch):
+    """What is read is a table, not the rows' own plan again, and later rounds have only what shares the bits found."""
+    from trailweave.functions import selection
+
+    kept, write = {}, selection.written
+    monkeypatch.setattr(selection, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 400, 1, 4).selectExpr("IF(id < 300, 'large', 'small') AS k", "CAST(id AS DOUBLE) AS v").mapInArrow(count, "k string, v double")
+    assert sorted(map(tuple, medians(rows, ["v"], "k", most=200).collect())) == [("large", 149.5), ("small", 349.5)]
+    assert made.value == 400
+    sizes = [kept[f"shared_{i}"].count() for i in range(1, 5)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] < 300 and sizes[-1] == 2

@@ -45,6 +45,8 @@ def medians(rows: DataFrame, names: list[str], key: str | None = None, most: int
     Nulls don't count; a group of nulls alone has a null. NaN is larger than all other values.
     """
     at = F.col(key) if key else F.lit(0)
+    # read for sizes, for small groups and for large ones, however costly the rows are to make
+    rows = written(rows.select(*([key] if key else []), *names), "median_rows")
     long = rows.select(at.alias("g"), F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])))
     sizes = long.groupBy("g", "c").agg(F.count("v").alias("n"))
     big = written(sizes.filter(F.col("n") > most), "big_groups")
@@ -64,9 +66,12 @@ def _selected(long: DataFrame, groups: DataFrame) -> DataFrame:
     state, left = groups.select("g", "c", F.inline(ranks), F.lit(0).cast("long").alias("found")), 64
     for turn, width in enumerate(DIGITS):
         left -= width
-        known = F.shiftrightunsigned("u", left + width) if turn else F.lit(0).cast("long")
         digit = F.shiftrightunsigned("u", left).bitwiseAND(F.lit((1 << width) - 1))
-        hits = values.select("g", "c", known.alias("found"), digit.alias("digit")).join(state.select("g", "c", "found").distinct(), ["g", "c", "found"], "left_semi")
+        if turn:  # what shares no bits found is left behind, so the later rounds read little; before the first all do
+            known = values.withColumn("found", F.shiftrightunsigned("u", left + width))
+            values = written(known.join(state.select("g", "c", "found").distinct(), ["g", "c", "found"], "left_semi").select("g", "c", "u"), f"shared_{turn}")
+        found = F.shiftrightunsigned("u", left + width) if turn else F.lit(0).cast("long")
+        hits = values.select("g", "c", found.alias("found"), digit.alias("digit"))
         counts = state.join(hits.groupBy("g", "c", "found", "digit").agg(F.count(F.lit(1)).alias("k")), ["g", "c", "found"])
         line = Window.partitionBy("g", "c", "s").orderBy("digit")  # at most 2^width digits
         upto = counts.withColumn("upto", F.sum("k").over(line)).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
