@@ -76,3 +76,17 @@ def test_failed_import_changes_nothing(spark, tmp_path):
     assert store.manifest() == before and sorted(store.profiles().collect()) == rows
     store.apply(*more)
     assert store.profiles().count() == len({f[3] for f in flows if f[1] == "input"})
+
+
+def test_a_first_import_writes_no_copies(spark, tmp_path, monkeypatch):
+    """With nothing to merge with, rows and profiles go straight into their tables; later imports do merge."""
+    from trailweave.plans import maintain
+
+    labels, write = [], maintain.written
+    monkeypatch.setattr(maintain, "written", lambda df, label: labels.append(label) or write(df, label))
+    txs, flows = made(random.Random(6), 24)
+    store = Maintained(spark, str(tmp_path / "case"), 4)
+    store.apply(spark.createDataFrame(txs[:12], TX), spark.createDataFrame([f for f in flows if f[0] < "t012"], FLOW), spark.createDataFrame([], OBS))
+    assert labels.count("touched_rows") == 1 and not {"merged_rows", "new_profiles"} & set(labels)
+    store.apply(spark.createDataFrame(txs[12:], TX), spark.createDataFrame([f for f in flows if f[0] >= "t012"], FLOW), spark.createDataFrame([], OBS))
+    assert {"merged_rows", "new_profiles"} <= set(labels) and store.profiles().count() == len({f[3] for f in flows if f[1] == "input"})

@@ -105,10 +105,13 @@ class Maintained:
             fresh = fresh.unionByName(late)
         fresh = written(fresh, "touched_rows")
         by_tx, by_address = self._touched(fresh, "txid"), self._touched(fresh, "address")
-        rows = written(self._merged("by_address", fresh, ["address", "txid"], by_address), "merged_rows")
         addresses = fresh.select("address").distinct()
-        profiles = features(rows.join(addresses, "address", "left_semi"))
-        changes = {"by_tx": (self._merged("by_tx", fresh, ["txid", "address"], by_tx), by_tx), "by_address": (rows, by_address), "profiles": (self._merged("profiles", written(profiles, "new_profiles"), ["address"], by_address), by_address)}
+        if known is None:  # all rows are fresh and all addresses touched: nothing to merge with, and nothing that is read twice
+            rows, profiles = fresh, features(fresh)
+        else:
+            rows = written(self._merged("by_address", fresh, ["address", "txid"], by_address), "merged_rows")
+            profiles = written(features(rows.join(addresses, "address", "left_semi")), "new_profiles")
+        changes = {"by_tx": (self._merged("by_tx", fresh, ["txid", "address"], by_tx), by_tx), "by_address": (rows, by_address), "profiles": (self._merged("profiles", profiles, ["address"], by_address), by_address)}
         met = flows.select("address").distinct()
         changes |= self._clusters(met, cx.common_input_links(flows))
         touched = {"by_tx": fresh.select("txid").distinct().count()} | dict.fromkeys(("by_address", "profiles"), addresses.count())
