@@ -83,3 +83,27 @@ def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, given)
         spark.conf.unset("trailweave.shuffle.partitions")
+
+
+def test_partitions_stay_apart_once_raised(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trailweave import session
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "trailweave.shuffle.partitions")
+    had = {n: spark.conf.get(n, None) for n in names}
+    monkeypatch.setattr(session, "PARTITION_BYTES", 1 << 20)
+    path = str(tmp_path / "wide")
+    spark.range(1_500_000, numPartitions=4).select(F.xxhash64("id").alias("k")).write.parquet(path)
+    try:
+        for n in names[1:]:
+            spark.conf.unset(n)
+        tasks = spark.read.parquet(session.spread(spark, path)).repartition("k").rdd.getNumPartitions()
+        assert tasks >= 10  # about 12 MB; the cores alone would make it four
+        spark.conf.set(names[0], "4")
+        spark.conf.set(names[1], "32m")
+        session.spread(spark, path)
+        assert spark.conf.get(names[1]) == "32m"
+    finally:
+        for n, v in had.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
