@@ -316,3 +316,39 @@ def test_profiles_make_edges_and_spends_once(spark, monkeypatch):
     assert sorted((r.address, r.out_degree, r.in_degree, r.seed_hop_distance) for r in out.collect()) == [("a", 2, 1, 0), ("b", 2, 1, 1)]
     ft.profiles(flows, transactions, seen, spent=written(ft.spends(flows, transactions), "own"))
     assert sorted(made) == ["edges", "edges", "spends", "spends"]  # the second one is the call above
+
+
+def test_common_inputs_are_dealt_once(spark):
+    """Links are those of transactions that are no mixers, whatever repeats or is null; inputs go by txid once and outputs once."""
+    rng, rows = random.Random(15), []
+    for t in range(120):
+        few = [f"a{rng.randrange(12)}" for _ in range(rng.choice([1, 2, 2, 3, 5, 8]))]
+        rows += [(f"t{t}" if t % 40 else None, "input", i, a if rng.random() > 0.05 else None, 5) for i, a in enumerate(few)]
+        rows += [(f"t{t}" if t % 40 else None, "output", i, f"o{rng.randrange(9)}", rng.choice([7, 700, 70_000, 71_000])) for i in range(rng.randrange(6))]
+    flows = written(spark.createDataFrame(rows, "txid string, direction string, ordinal int, address string, amount_sats long"), "linked")
+    wanted = set()
+    for t in {r[0] for r in rows} - {None}:
+        ins, outs = {r[3] for r in rows if r[0] == t and r[1] == "input"}, sorted(r[4] for r in rows if r[0] == t and r[1] == "output")
+        mixed = any(c - a <= max(1, a * 0.01) for a, c in zip(outs, outs[2:], strict=False))
+        if 2 <= len(ins) <= 4 and not mixed:
+            least = min(ins - {None})
+            wanted |= {(least, b) for b in ins - {None, least}}
+    links = cx.common_input_links(flows, 4)
+    assert sorted(tuple(r) for r in links.collect()) == sorted(wanted)
+    assert links._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("FileScan") == 2
+
+
+def test_ego_context_reads_what_it_found(spark):
+    """An address's surroundings are tables, so what follows doesn't read all flows again."""
+    flows, transactions = case(spark, {"t1": (0, [("a", 5)], [("b", 2), ("c", 3)]), "t2": (60, [("b", 2)], [("c", 1), ("a", 1)]), "t3": (90, [("x", 2)], [("y", 1), ("z", 1)])})
+    near = cx.around(flows.drop("ordinal"), "a")
+    assert len(near.inputFiles()) > 0 and {r.txid for r in near.collect()} == {"t1", "t2"}
+
+
+def test_numbered_lines_of_some_transactions(spark):
+    from trailweave.plans.proxies import flows as lines
+
+    folder = "/root/testdata/sf0.001"
+    every = lines(spark, folder)
+    some = every.filter("address = 'A7'").select("txid").distinct()
+    assert sorted(lines(spark, folder, some).collect()) == sorted(every.join(some, "txid", "left_semi").select(every.columns).collect())

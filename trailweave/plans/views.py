@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import context as cx
 from trailweave.plans import index
+from trailweave.session import written
 
 BANDS = {"all": (None, None), "high": (60, None), "review": (30, 60), "low": (None, 30)}
 EDGE = ("source", "target", "kind", "amount_sats", "certainty")
@@ -109,8 +110,10 @@ def ego_context(flows: DataFrame, transactions: DataFrame, observations: DataFra
     node = lambda c: F.concat(F.lit("address:"), F.col(c))
     none = F.lit(None).cast("long")
     touching = (F.col("source") == address) | (F.col("target") == address)
-    related = cx.relay_associations(flows, cx.observed_around(flows, observations, address), window_s).filter(touching).orderBy("txid", "other_txid", "source", "target", "src_ip").limit(associations)
-    change = cx.change_candidates(cx.around(flows, address), transactions).filter(touching).orderBy("txid").limit(changes)
+    seen = cx.observed_around(flows, observations, address)
+    spent = flows.filter(cx.is_input()).join(written(seen.select("txid").distinct(), "associable"), "txid", "left_semi")
+    related = cx.relay_associations(written(spent, "associable_inputs"), seen, window_s).filter(touching).orderBy("txid", "other_txid", "source", "target", "src_ip").limit(associations)
+    change = cx.change_candidates(cx.around(flows.select("txid", "direction", "address"), address), transactions).filter(touching).orderBy("txid").limit(changes)
     parts = [
         member.select(F.col("entity_id").alias("source"), node("address").alias("target"), F.lit("candidate_member").alias("kind"), none.alias("amount_sats"), F.lit("heuristic_not_verified").alias("certainty")),
         related.select(node("source").alias("source"), node("target").alias("target"), F.lit("relay_association").alias("kind"), none.alias("amount_sats"), F.lit("weak_no_ownership_claim").alias("certainty")),
