@@ -243,3 +243,13 @@ def test_xml_is_read_for_the_kinds_that_occur(spark, tmp_path):
     one, two = (readers.read_records(spark, str(tmp_path / f"{n}.xml")) for n in ("one", "two"))
     assert [r.fields["txid"] for r in one.orderBy("ordinal").collect()] == ["one"] and [r.fields["txid"] for r in two.orderBy("ordinal").collect()] == ["two", "t"]
     assert 0 < 2 * scans(one) == scans(two)
+
+
+def test_checks_are_made_once(spark):
+    """A filter on the error reads its column; it doesn't repeat all checks of a record."""
+    from trailweave.sources.normalize import SAYS, normalize
+
+    rows = spark.createDataFrame([(1, {"txid": "x"}, "{}", None)], "ordinal long, fields map<string,string>, raw string, parse_error string")
+    good = normalize(rows).filter("error IS NULL").select("txid", "timestamp", "fee_sats")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count(SAYS["txid"]) == 1
+    assert [r.error for r in normalize(rows).collect()] == [SAYS["txid"]]
