@@ -102,3 +102,15 @@ def test_ledger_of_tables(spark, tmp_path, most):
     assert {(r.address, r.seed): (pytest.approx(r.exposed), r.hops, r.path) for r in got.collect()} == {(r.address, r.seed): (r.exposed, r.hops, r.path) for r in want} and want
     # what waits is in segments of the table, and several batches have released some
     assert len([v for v in (tmp_path / "book/balances").iterdir()]) >= 3
+
+
+def test_peeling_spends_are_made_once(spark, monkeypatch):
+    """The parts of the stream are read from a table of spends, not each made from all lines again."""
+    from trailweave.plans import stream_queries
+
+    seen = []
+    monkeypatch.setattr(stream_queries, "_in_turns", lambda parts, make: seen.extend(parts) or spark.createDataFrame([], "address string, at long, txid string, next string"))
+    stream_queries.stream_peel_pointers(spark, "/root/testdata/sf0.001")
+    files = [f for p in seen[:2] for f in p.inputFiles()]
+    assert files and not any("lineitem" in f for f in files)
+    assert sum(p.count() for p in seen[:2]) > 0
