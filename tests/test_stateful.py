@@ -114,3 +114,29 @@ def test_peeling_spends_are_made_once(spark, monkeypatch):
     files = [f for p in seen[:2] for f in p.inputFiles()]
     assert files and not any("lineitem" in f for f in files)
     assert sum(p.count() for p in seen[:2]) > 0
+
+
+def test_the_ledger_keeps_what_a_batch_may_need(spark, tmp_path):
+    """A batch's movements go with it; segments and holdings that neither it nor the one before it needs go too."""
+    txs = sorted(case(random.Random(5), 24))
+    files = [txs[:8], txs[8:16], txs[16:], [(DAY + timedelta(days=90), "end", [], [])]]
+    book = ledger.TaintLedger(spark, f"{tmp_path}/book", ["w0"], 0.8, "1 hour")
+    needed = []
+    for n, rows in enumerate(files):
+        book.take(spark.createDataFrame(rows, f"timestamp timestamp, txid string, inputs {PART}, outputs {PART}"), n)
+        needed.append(book._last())
+    names = lambda part: {int(p.name) for p in (tmp_path / "book" / part).iterdir()}
+    assert names("waiting") == {*needed[-2][1], *needed[-1][1]} and 0 not in names("waiting")
+    assert names("holdings") == {needed[-2][2], needed[-1][2]}
+    assert not names("moves")
+
+
+def test_a_stream_of_taint_lies_there_once(spark, tmp_path, monkeypatch):
+    """The transactions aren't written aside before they are streamed, and what the stream has taken waits in its ledger alone."""
+    from trailweave.plans import stream_queries
+
+    made = []
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda s, label: made.append(label) or str(tmp_path / label))
+    monkeypatch.setattr(stream_queries, "written", lambda df, label: pytest.fail(f"{label} is written"))
+    assert stream_queries.stream_taint(spark, "/root/testdata/sf0.001").count() > 0
+    assert made == ["ledger"] and {p.name for p in (tmp_path / "ledger").iterdir() if not p.name.startswith(".")} == {"book", "state"}
