@@ -1,6 +1,7 @@
 """Exact cases of the engine's operators, and small graphs against plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -352,3 +353,22 @@ def test_numbered_lines_of_some_transactions(spark):
     every = lines(spark, folder)
     some = every.filter("address = 'A7'").select("txid").distinct()
     assert sorted(lines(spark, folder, some).collect()) == sorted(every.join(some, "txid", "left_semi").select(every.columns).collect())
+
+
+def test_haircut_leaves_no_steps_behind(spark, tmp_path, monkeypatch):
+    """Flows, movements and walked layers go when the next step has them, and shuffle files with their query; what addresses hold stays."""
+    made = []
+    monkeypatch.setattr(taint, "shared_folder", lambda s, label: made.append(label) or str(tmp_path / label))
+    shuffled = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    txs = {f"t{i:02}": (i * 60, [(f"p{i}", 100)], [(f"p{i + 1}", 60), ("far", 40)]) for i in range(12)}
+    flows, times = (written(df, "case") for df in case(spark, txs))
+    before, given = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = taint.haircut(flows, times, ["p0"], 1.0, 4)
+    until = time.time() + 20
+    while shuffled() > before and time.time() < until:  # they go a moment later
+        time.sleep(0.2)
+    assert shuffled() <= before
+    left = {p.relative_to(tmp_path).parts[0] for p in tmp_path.rglob("*.parquet")}
+    assert left == {"haircut"} and not list((tmp_path / "haircut/links").rglob("*.parquet"))
+    assert {p.parent.name for p in (tmp_path / "haircut/holdings").rglob("*.parquet")} == {"due=-1"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == given and out.count() == 14
